@@ -12,7 +12,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from dataclasses import dataclass
-from math import exp, log
+from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,17 @@ from pyspark.sql import functions as F
 
 #: Documents of each language that training uses, in expectation; all of them where fewer.
 TRAIN_DOCS = 800
-#: Distinct words that a task remembers at most before it starts afresh.
-REMEMBERED = 300_000
+#: Units of text that a task remembers at most before it starts afresh, and characters of
+#: texts that it scores together.
+REMEMBERED, _SLICE = 120_000, 4_000_000
 #: Longer words are scored in parts of this many characters, which keeps sums in range.
 MAX_WORD = 32
 #: Probability of a single character that is no piece, and mass kept for pieces unseen.
 FLOOR, SMOOTH = 1e-7, 0.05
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LETTERS_OR_BREAK = regex.compile(r"\p{L}[\p{L}\p{M}]*|\n")
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _STATE: dict = {}
 
 
@@ -161,40 +165,136 @@ def train_language_model(docs: DataFrame, pieces: list[str], id_col: str = "doc_
     return LanguageModel(languages, joint)
 
 
+class ForwardPass:
+    """The forward algorithm over many words at once.
+
+    Substrings are found among the pieces by rolling hashes, one table for each length; a
+    bitmap of hash bits answers most look-ups.  Pieces of equal hash are refused at the start.
+    """
+
+    def __init__(self, model: LanguageModel):
+        by_length: dict[int, list[str]] = {}
+        for piece in model.table:
+            by_length.setdefault(len(piece), []).append(piece)
+        self.groups, self.tables = len(model.languages), {}
+        for k, pieces in by_length.items():
+            codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.uint64)
+            h = np.zeros(len(pieces), np.uint64)
+            for j in range(k):
+                h = h * _BASE + codes[:, j]
+            order = np.argsort(h)
+            if (np.diff(h[order]) == 0).any():
+                raise ValueError("two pieces of the vocabulary have one hash")
+            seen = np.zeros(1 << 16, bool)
+            seen[self._low(h)] = True
+            p = np.array([model.table[x] for x in pieces], np.float64).reshape(len(pieces), self.groups)
+            self.tables[k] = (h[order], p[order], seen)
+
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return ((h * _MIX) >> np.uint64(48)).astype(np.int64)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """(word x language), for words of at most MAX_WORD characters."""
+        out = np.zeros((len(words), self.groups))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(lengths) - lengths
+        for low, high in zip((0, 5, 8, 11, 15, 20), (5, 8, 11, 15, 20, MAX_WORD)):
+            some = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in np.array_split(some, -(-len(some) // 8192)) if len(some) else ():
+                out[part] = self._part(codes, starts[part], lengths[part])
+        return out
+
+    def _part(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        n, width = len(starts), int(lengths.max())
+        place = np.arange(width)
+        # Letters by place, so that all words' letters of one place lie together.
+        c = np.where(place[:, None] < lengths, codes[np.minimum(starts + place[:, None], len(codes) - 1)], 0).astype(np.uint64)
+        found, h = {}, np.zeros((width, n), np.uint64)
+        for k in range(1, min(width, max(self.tables)) + 1):
+            h = np.concatenate([np.zeros((1, n), np.uint64), h[:-1]]) * _BASE + c if k > 1 else c.copy()
+            if k not in self.tables:
+                continue
+            keys, p, seen = self.tables[k]
+            end, word = np.nonzero(seen[self._low(h[k - 1 :])])
+            end += k - 1
+            want = h[end, word]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = (keys[at] == want) & (end < lengths[word])
+            end, word, at = end[hit], word[hit], at[hit]
+            found[k] = (np.searchsorted(end, np.arange(width + 1)), word, p[at])
+        ahead = np.zeros((width + 1, n, self.groups))
+        ahead[0] = 1.0
+        for end in range(width):
+            total = ahead[end] * FLOOR
+            for k, (bounds, word, p) in found.items():
+                a, b = bounds[end], bounds[end + 1]
+                if k == 1:
+                    total[word[a:b]] = ahead[end][word[a:b]] * p[a:b]
+                elif a < b:
+                    total[word[a:b]] += ahead[end + 1 - k][word[a:b]] * p[a:b]
+            ahead[end + 1] = total
+        return np.log(ahead[lengths, np.arange(n)])
+
+
 class _Scorer:
+    """Scores texts of one task in slices, and remembers the scores of units met before."""
+
     def __init__(self, model: LanguageModel):
-        self.model, self.longest = model, model.longest
+        self.model, self.ahead = model, ForwardPass(model)
+        self.forget()
+
+    def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.words: dict[str, list[float]] = {}
-        self.rows = np.zeros((1024, len(model.languages) + 1))
-
-    def _unit(self, unit: str) -> int:
-        total = [0.0] * (len(self.model.languages) + 1)
-        for w in words_of(unit):
-            scores = self.words.get(w)
-            if scores is None:
-                scores = self.words[w] = [*self.model.word(w, self.longest), 1.0]
-            total = [x + y for x, y in zip(total, scores)]
-        k = len(self.at)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = total
-        self.at[unit] = k
-        return k
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        if len(self.at) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.at.clear()
-            self.words.clear()
-        get, one, total = self.at.get, self._unit, np.zeros(self.rows.shape[1])
-        units = (text or "").split()
-        for a in range(0, len(units), 1 << 16):
-            idx = [k if (k := get(u)) is not None else one(u) for u in units[a : a + (1 << 16)]]
-            total += self.rows[idx].sum(axis=0)
-        if not self.model.languages or not total[-1]:
-            return UNKNOWN, 0.0
-        best = int(total[:-1].argmax())
-        return self.model.languages[best], 1.0 / sum(exp(max(-700.0, x - total[best])) for x in total[:-1])
+        self.rows = np.zeros((0, len(self.model.languages) + 1))
+
+    def learn(self, units: list[str]) -> None:
+        """The last number of a unit's row counts its words."""
+        order: dict[str, int] = {}
+        place, owner = [], []
+        for k in range(0, len(units), 20_000):
+            unit = k
+            for w in _LETTERS_OR_BREAK.findall("\n".join(units[k : k + 20_000]).lower()):
+                if w == "\n":
+                    unit += 1
+                    continue
+                w = "▁" + w
+                for part in (w,) if len(w) <= MAX_WORD else [w[j : j + MAX_WORD] for j in range(0, len(w), MAX_WORD)]:
+                    place.append(order.setdefault(part, len(order)))
+                    owner.append(unit)
+        scores = np.c_[self.ahead.log_probabilities(list(order)), np.ones(len(order))][np.array(place, np.int64)]
+        new = np.stack([np.bincount(np.array(owner, np.int64), scores[:, g], len(units)) for g in range(scores.shape[1])], axis=1)
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        self.rows = np.concatenate([self.rows, new])
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            held.append(text)
+            size += len(text or "")
+            if size >= _SLICE or k == len(texts) - 1:
+                out += self._slice(held)
+                held, size = [], 0
+        return out
+
+    def _slice(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.languages or not self.model.table:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self.at) > REMEMBERED:
+            self.forget()
+        cut = [(t or "").split() for t in texts]
+        new = [u for u in set(chain.from_iterable(cut)) if u not in self.at]
+        if new:
+            self.learn(new)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        idx = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        total, some = np.zeros((len(cut), self.rows.shape[1])), np.flatnonzero(counts)
+        if len(some):
+            total[some] = np.add.reduceat(self.rows[idx], (np.cumsum(counts) - counts)[some], axis=0)
+        best = total[:, :-1].argmax(axis=1)
+        rest = np.exp(np.maximum(-700.0, total[:, :-1] - total[np.arange(len(cut)), best][:, None])).sum(axis=1)
+        return [(self.model.languages[b], float(1.0 / r)) if n else (UNKNOWN, 0.0) for b, r, n in zip(best, rest, total[:, -1])]
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -210,7 +310,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     def of(texts: pa.Array) -> pa.Array:
         if _STATE.get("name") != name:
             _STATE.update(name=name, scorer=_Scorer(shared.value))
-        rows = [_STATE["scorer"].text(t) for t in texts.to_pylist()]
+        rows = _STATE["scorer"].texts(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "score"])
 
     marked = docs.withColumn("_lang", of(F.col(text_col)))
