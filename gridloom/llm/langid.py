@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import packed, unpacked, written
+
 #: Documents of each language that training uses, in expectation; all of them where fewer.
 TRAIN_DOCS = 800
 #: Units of text that a task remembers at most before it starts afresh, and characters of
@@ -131,8 +133,6 @@ def train_language_model(docs: DataFrame, pieces: list[str], id_col: str = "doc_
     Each round is one Spark job over distinct words with their counts; what reaches the
     driver is at most one number for each language and piece.
     """
-    from gridloom.llm.shared import written
-
     spark = docs.sparkSession
     words = written(training_words(docs, id_col, text_col, lang_col, max_docs).repartition("lang", "word"), "words")
     languages = tuple(sorted(r.lang for r in words.select("lang").distinct().collect()))
@@ -301,7 +301,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     """``docs`` with ``lang_pred`` and ``score``, the posterior under even priors, 0 to 1.
 
     Whole texts count.  A null text or one without letters gives ``und`` and 0, as does a
-    model without languages; ties go to the first language by name.  No row is dropped.
+    model without languages; ties go to the first language by name.  No row is dropped, and
+    columns of these two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x vocabulary
     name = hashlib.sha256(repr((model.languages, sorted(model.table.items()))).encode()).hexdigest()
@@ -313,8 +314,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         rows = _STATE["scorer"].texts(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "score"])
 
-    marked = docs.withColumn("_lang", of(F.col(text_col)))
-    return marked.select(*docs.columns, F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    told = packed(docs, text_col).withColumn("told", of(F.col("text")))
+    return unpacked(told, docs, text_col, lang_pred=F.col("told.lang"), score=F.col("told.score"))
 
 
 def fold(id_col: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import written
+from gridloom.llm.shared import packed, unpacked, written
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -57,20 +57,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id come last in the order of occurrences.  Windows can overlap and
     repeat within one document.
     """
-    gone = repeated_positions(docs, id_col, text_col, size)
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(
-        gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_gone_hash"), "gone"),
-        keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_gone_hash")),
-        "left",
-    )
-    lines = F.split(F.col(text_col), "\n", -1)
-    marked = F.map_from_arrays("gone", "gone")
-    left = F.array_join(F.filter(lines, lambda x, k: F.try_element_at(F.col("_marked"), k).isNull()), "\n")
-    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return joined.select(
-        *[F.col(c) for c in docs.columns if c != text_col],
-        F.col(text_col),
-        F.when(F.col("gone").isNotNull(), marked).alias("_marked"),
-        F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long").alias("lines_removed"),
-    ).select(*[F.when(F.col("_marked").isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns], "lines_removed")
+    gone = repeated_positions(docs, id_col, text_col, size).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
+    rows = packed(docs, text_col, id=id_col).withColumn("hash", F.xxhash64("text"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
+    marked = joined.withColumn("marks", F.when(F.col("gone").isNotNull(), F.map_from_arrays("gone", "gone")))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: F.try_element_at("marks", k).isNull()), "\n")
+    changed = marked.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return unpacked(changed, docs, text_col, lines_removed=removed)

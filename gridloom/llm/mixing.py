@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import written
+from gridloom.llm.shared import packed, unpacked, written
 
 #: Sources whose rates may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 100_000
@@ -57,20 +57,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, defau
     return weighed.select("source", "n", rate.alias("rate"))
 
 
-def replication_counts(docs: DataFrame, rates: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``n_copies`` (int), joined on the source, nulls included."""
-    small = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    if rates.count() <= MAX_BROADCAST_SOURCES:
-        small = F.broadcast(small)
-    joined = docs.join(small, docs[source_col].eqNullSafe(F.col("_source")), "left").drop("_source")
-    whole = F.when(F.col("_rate") > MAX_MEAN, F.floor(F.col("_rate") - MAX_MEAN / 2)).otherwise(0)
-    u = hashed_unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return joined.withColumn("n_copies", (whole + poisson_quantile(F.col("_rate") - whole, u)).cast("int")).drop("_rate")
-
-
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, default: float = 1.0, epochs: float = 1.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, default: float = 1.0, epochs: float = 1.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` repeated to the target weights and shuffled, with ``copy`` (0-based int) and
-    ``mix_key`` (hex string, the place in the global order) added.
+    ``mix_key`` (hex string, the place in the global order) added; columns of these names are
+    replaced.
 
     Partitions follow from the key and rows are sorted by it inside them, so the layout is a
     random permutation that a lost executor's tasks repeat exactly.  A null source is a
@@ -78,7 +68,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     and keys, null and empty texts are rows like others, an empty table gives none.
     """
     rates = source_rates(docs, weights, default, epochs, source_col)
-    counted = replication_counts(docs, rates, seed, id_col, source_col).where("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))).drop("n_copies")
-    key = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return copies.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    small = rates.select(F.col("source").alias("rated"), "rate")
+    if rates.count() <= MAX_BROADCAST_SOURCES:
+        small = F.broadcast(small)
+    rows = packed(docs, text_col, id=id_col, source=source_col).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    rated = rows.join(small, F.col("source").eqNullSafe(F.col("rated")), "left")
+    whole = F.when(F.col("rate") > MAX_MEAN, F.floor(F.col("rate") - MAX_MEAN / 2)).otherwise(0)
+    count = (whole + poisson_quantile(F.col("rate") - whole, hashed_unit(F.lit(seed), F.col("id")))).cast("int")
+    counted = rated.select("row", "text", "id", count.alias("count")).where("count > 0")
+    copies = counted.select("row", "text", "id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), F.col("id"), F.col("copy").cast("string")))
+    placed = copies.withColumn("key", key).repartition("key").sortWithinPartitions("key")
+    return unpacked(placed, docs, text_col, copy=F.col("copy"), mix_key=F.col("key"))

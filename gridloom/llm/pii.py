@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import written
+from gridloom.llm.shared import packed, unpacked, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}'’-]{1,30}+"
@@ -151,9 +151,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Null texts stay null and have an empty array, texts without entities stay as they are,
     rows with equal id and text have equal results, and an empty table stays empty.
     """
-    text = F.col(text_col)
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
-    holds = keyed.where(text.rlike(_ALL)).select(F.col(id_col).alias("id"), F.col("_hash").alias("hash"), text.alias("text"))
+    rows = packed(docs, text_col, id=id_col).withColumn("hash", F.xxhash64("text"))
+    holds = rows.where(F.col("text").rlike(_ALL)).select("id", "hash", "text")
     groups = [f"g{k}" for k in range(len(TYPES))]
     arrays = {g: F.regexp_extract_all("text", F.lit(_ALL), F.lit(k + 1)) for k, g in enumerate(groups)}
     cut = holds.select("id", "hash", F.split("text", _ALL, -1).alias("between"), F.regexp_extract_all("text", F.lit(_ALL), F.lit(0)).alias("m"), *[c.alias(g) for g, c in arrays.items()])
@@ -167,7 +166,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     back = cut.select("id", "hash", "between").dropDuplicates(["id", "hash"])
     same = back["id"].eqNullSafe(gathered["id"]) & (back["hash"] == gathered["hash"])
     both = back.join(gathered, same).select(back["id"].alias("_id"), back["hash"].alias("_h"), "between", "new")
-    joined = F.concat(F.array_join(F.flatten(F.zip_with("between", "new", lambda p, e: F.array(p, F.coalesce(e["new"], F.lit(""))))), ""))
+    joined = F.array_join(F.flatten(F.zip_with("between", "new", lambda p, e: F.array(p, F.coalesce(e["new"], F.lit(""))))), "")
     spans_type = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("out"))
 
@@ -177,7 +176,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["e"]["kind"].alias("kind"), start.alias("start"), end.alias("end"), x["e"]["new"].alias("surrogate")))).alias("out"))
 
     pairs = F.zip_with(F.slice("between", F.lit(1), F.size("new")), F.col("new"), lambda p, e: F.struct(p.alias("p"), e.alias("e")))
-    changed = both.select("_id", "_h", joined.alias("_new"), F.aggregate(pairs, begin, place, lambda a: a["out"]).alias("_pii"))
-    out = keyed.join(changed, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    empty = F.array().cast(spans_type)
-    return out.select(*[F.coalesce(F.col("_new"), text).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce("_pii", empty).alias("pii"))
+    changed = both.select("_id", "_h", joined.alias("new_text"), F.aggregate(pairs, begin, place, lambda a: a["out"]).alias("spans"))
+    out = rows.join(changed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
+    replaced = out.withColumn("text", F.coalesce("new_text", "text"))
+    return unpacked(replaced, docs, text_col, pii=F.coalesce("spans", F.array().cast(spans_type)))

@@ -14,6 +14,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import packed, unpacked
+
 # The kinds and their patterns.  For ``access`` and ``hex`` a run of at least
 # the wanted length is what a run of any length that passes the length test is.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -125,24 +127,24 @@ def find_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", mi
     Places are in code points of the whole text, ends exclusive.  A null or empty text has an
     empty array; repeated rows have equal results; nothing is shuffled.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     always = lambda m: F.lit(True)
-    found = docs.withColumns(
+    found = packed(docs, text_col).withColumns(
         {
-            "_assign": _found(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 8),
-            "_access": _found(text, ACCESS, always, F.contains(text, F.lit("AKIA"))),
-            "_hex": _found(text, HEX, always),
-            "_token": _found(text, r"[A-Za-z0-9+/_=-]{%d,}" % min_length, lambda m: model.score(m) >= threshold),
+            "assign": _found(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 8),
+            "access": _found(text, ACCESS, always, F.contains(text, F.lit("AKIA"))),
+            "hex": _found(text, HEX, always),
+            "token": _found(text, r"[A-Za-z0-9+/_=-]{%d,}" % min_length, lambda m: model.score(m) >= threshold),
         }
     )
 
     def ranked(column: str, rank: int) -> Column:
         return F.transform(column, lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(KINDS[rank]).alias("kind"), s["match"]))
 
-    based = found.withColumn("_base", F.concat(ranked("_assign", 0), ranked("_access", 1), ranked("_hex", 2)))
-    extra = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    added = based.withColumn("_token", extra)
-    return added.withColumn("secrets", F.array_sort(F.concat("_base", ranked("_token", 3)))).drop("_assign", "_access", "_hex", "_token", "_base")
+    based = found.withColumn("base", F.concat(ranked("assign", 0), ranked("access", 1), ranked("hex", 2)))
+    extra = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    added = based.withColumn("token", extra)
+    return unpacked(added, docs, text_col, secrets=F.array_sort(F.concat("base", ranked("token", 3))))
 
 
 def spans_text(secrets: Column, max_rank: int = len(KINDS) - 1) -> Column:

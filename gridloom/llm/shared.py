@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, text_col: str, **named: str) -> DataFrame:
+    """``text``, the ``named`` columns under their new names, and ``row``, a struct of all
+    columns but the text: an operator's own names then cannot clash with any column's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("row"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text_col: str, **added: Column) -> DataFrame:
+    """The columns of ``docs`` in order, from ``row`` and ``text``, and the added ones, which
+    take the place of columns of the same name."""
+    kept = [c for c in docs.columns if c not in added]
+    return df.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in kept], *[v.alias(n) for n, v in added.items()])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given by long columns ``a`` and ``b``.
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import connected_components, written
+from gridloom.llm.shared import connected_components, packed, unpacked, written
 
 #: Histograms look at no more than this many bits of a partition, which bounds them.
 HISTOGRAM_BITS = 16
@@ -382,6 +382,6 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_hash")))
     chosen = simhash_groups(docs, id_col, text_col, **options).groupBy("component_fp").agg(first.alias("first"))
     chosen = written(chosen.select(F.col(f"first.{id_col}").alias("_id"), F.col("first.text_hash").alias("_hash")), "chosen")
-    marked = docs.withColumn("_hash_", F.xxhash64(F.col(text_col)))
-    kept = marked.join(chosen, marked[id_col].eqNullSafe(chosen["_id"]) & (marked["_hash_"] == chosen["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash_"]).select(*docs.columns)
+    rows = packed(docs, text_col, id=id_col).withColumn("hash", F.xxhash64("text"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return unpacked(kept.dropDuplicates(["id", "hash"]), docs, text_col)
