@@ -87,7 +87,8 @@ def generated_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
 
 def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled tokens of ``max_docs`` documents, first by a hash of their id: what the
-    patterns find is random, other tokens of eight or more characters are ordinary."""
+    patterns find is random, other tokens of eight or more characters, and identifiers put
+    together from them, are ordinary."""
     chosen = docs.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     some = docs.join(F.broadcast(chosen), docs[id_col].eqNullSafe(F.col("_id")), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 8)
@@ -95,6 +96,10 @@ def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_.=-]{8,}"), F.lit(0))
     parted = some.select(values.alias("values"), runs.alias("runs"), tokens.alias("tokens"))
     ordinary = F.filter("tokens", lambda t: ~(F.array_contains("values", t) | t.rlike(ACCESS) | t.rlike(HEX)))
+    # Identifiers are also made of words: each token with another of its text, in both usual styles.
+    pairs = F.filter(F.zip_with(ordinary, F.reverse(ordinary), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b"))), lambda p: p["a"] < p["b"])
+    made = F.concat(F.transform(pairs, lambda p: F.concat(p["a"], F.initcap(p["b"]))), F.transform(pairs, lambda p: F.concat_ws("_", p["a"], p["b"])))
+    ordinary = F.concat(ordinary, made)
     labelled = F.concat(
         F.transform(F.concat("values", "runs"), lambda t: F.struct(t.alias("token"), F.lit(True).alias("secret"))),
         F.transform(ordinary, lambda t: F.struct(t.alias("token"), F.lit(False).alias("secret"))),
