@@ -56,8 +56,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given by long columns ``a`` and ``b``.
 
     Returns ``node`` and ``root`` (the smallest node reachable) for every node
-    that has an edge to another node; self loops, repeated edges and edges with
-    a null end are ignored.  An empty input gives an empty result.
+    that can reach a smaller one; roots themselves have no row.  Self loops,
+    repeated edges and edges with a null end are ignored.  An empty input gives
+    an empty result.
 
     Alternates large-star and small-star steps, each a partially aggregated
     minimum and one join, until the edges no longer change.  A node with very
