@@ -20,9 +20,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in the lexicon at most.
 LEXICON_WORDS = 65536
@@ -487,31 +489,69 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text_col: str = "text", size
     return compile_transducer({w: bpe.merge(w) for w in words})
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, lexicon: bytes | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` (array of int), the tokens of each whole text.
+def _by_slices(docs: DataFrame, size_of, columns: dict[str, T.DataType], work) -> DataFrame:
+    """``docs`` with columns made by ``work`` from a record batch, in tasks, a slice at a time:
+    rows that together hold some megabytes, so that memory is bounded by the longest text."""
+    kept = [f for f in docs.schema.fields if f.name not in columns]
+    schema = T.StructType(kept + [T.StructField(n, t) for n, t in columns.items()])
+    names = [f.name for f in docs.schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            size = np.cumsum(size_of(batch, names))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _SLICE, side="right")))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in kept), *work(part, names)], schema.names)
+                a = b
+
+    return docs.mapInArrow(run, schema)
+
+
+def _encoder(declared: _Shared, block: _Shared | None) -> Encoder:
+    key = ("encoder", declared.name, block.name if block else None)
+    if key not in _STATE:
+        for old in [k for k in _STATE if k[0] == "encoder"]:
+            del _STATE[old]
+        _STATE[key] = Encoder(_bpe(declared), Transducer(mapped(block.value)) if block else None)
+    return _STATE[key]
+
+
+def _text_sizes(text_col: str):
+    return lambda batch, names: pc.utf8_length(batch.column(names.index(text_col))).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _ids_array(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
+
+
+def _decoded(bpe: ByteBpe, flat: np.ndarray, counts) -> pa.Array:
+    table, out, at = bpe.bytes_of.__getitem__, [], 0
+    for n in counts:
+        out.append(b"".join(map(table, flat[at : at + n].tolist())).decode("utf-8", "replace"))
+        at += n
+    return pa.array(out, pa.string())
+
+
+def encode_texts(docs: DataFrame, vocabulary: str, lexicon: bytes | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col`` (array of int), the tokens of each whole text, and with
+    ``decoded_col``, if named, the text decoded from these ids by the same task.
 
     Strings of added tokens within a text become those tokens.  A null or empty text has no
-    tokens, repeated rows have equal ones, an empty table stays empty, and an existing column
-    of that name is replaced.
+    tokens and decodes to an empty text, repeated rows have equal results, an empty table
+    stays empty, and existing columns of these names are replaced.
     """
-    spark = docs.sparkSession
-    declared = _shared(spark, vocabulary)
-    block = _Shared(spark, lexicon) if lexicon else None  # bounded: see build_lexicon
-
-    def encoder() -> Encoder:
-        key = ("encoder", declared.name, block.name if block else None)
-        if key not in _STATE:
-            for old in [k for k in _STATE if k[0] == "encoder"]:
-                del _STATE[old]
-            _STATE[key] = Encoder(_bpe(declared), Transducer(mapped(block.value)) if block else None)
-        return _STATE[key]
+    declared = _shared(docs.sparkSession, vocabulary)
+    block = _Shared(docs.sparkSession, lexicon) if lexicon else None  # bounded: see build_lexicon
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        flat, counts = encoder().encode(texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
+    def work(part: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+        encoder = _encoder(declared, block)
+        flat, counts = encoder.encode(part.column(names.index(text_col)).to_pylist())
+        return [_ids_array(flat, counts), *([_decoded(encoder.bpe, flat, counts)] if decoded_col else ())]
 
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+    columns = {ids_col: T.ArrayType(T.IntegerType()), **({decoded_col: T.StringType()} if decoded_col else {})}
+    return _by_slices(docs, _text_sizes(text_col), columns, work)
 
 
 def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -522,13 +562,11 @@ def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     """
     declared = _shared(docs.sparkSession, vocabulary)
 
-    @F.arrow_udf("string")
-    def texts(ids: pa.Array) -> pa.Array:
-        table = _bpe(declared).bytes_of.__getitem__
-        flat, out, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
-        for n in ids.value_lengths().fill_null(0).to_pylist():
-            out.append(b"".join(map(table, flat[at : at + n])).decode("utf-8", "replace"))
-            at += n
-        return pa.array(out, pa.string())
+    def sizes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+        return 3 * pc.list_value_length(batch.column(names.index(ids_col))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def work(part: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+        ids = part.column(names.index(ids_col))
+        return [_decoded(_bpe(declared), ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).fill_null(0).to_pylist())]
 
-    return docs.withColumn(text_col, texts(F.col(ids_col)))
+    return _by_slices(docs, sizes, {text_col: T.StringType()}, work)

@@ -126,9 +126,8 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, BPE_FILE, bpe.build_lexicon(docs, BPE_FILE)).select("doc_id", "ids")
-    back = bpe.decode_ids(coded, BPE_FILE)
-    return back.select(
+    coded = bpe.encode_texts(docs, BPE_FILE, bpe.build_lexicon(docs, BPE_FILE), decoded_col="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

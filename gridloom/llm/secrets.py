@@ -89,8 +89,9 @@ def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Labelled tokens of ``max_docs`` documents, first by a hash of their id: what the
     patterns find is random, other tokens of eight or more characters, and identifiers put
     together from them, are ordinary."""
-    chosen = docs.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    some = docs.join(F.broadcast(chosen), docs[id_col].eqNullSafe(F.col("_id")), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = rows.select(F.col("id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(max_docs)
+    some = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 8)
     runs = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_.=-]{8,}"), F.lit(0))

@@ -76,6 +76,8 @@ def test_round_trip_on_documents(spark, tokenizer):
     lexicon = bpe.build_lexicon(docs, FILE, size=2000)
     back = bpe.decode_ids(bpe.encode_texts(docs, FILE, lexicon), FILE)
     rows = back.select("text", "ids", "decoded").collect()
+    both = bpe.encode_texts(docs, FILE, lexicon, decoded_col="decoded").select("text", "ids", "decoded").collect()
+    assert sorted(both) == sorted(rows)
     assert all(r.decoded == r.text for r in rows)
     assert [r.ids for r in rows] == [e.ids for e in tokenizer.encode_batch([r.text for r in rows], add_special_tokens=False)]
 

@@ -66,7 +66,8 @@ def test_models_tell_random_from_ordinary(spark):
 
 def test_method_spans_never_overlap_base_spans(spark):
     df = spark.createDataFrame([("token = qZ8xP0mLkT3vB9wY2rNf7cDsQ1 and qZ8xP0mLkT3vB9wY2rNf7cDsQ1",)], "text string")
-    assert [s.kind for s in secrets.find_secrets(df, model(spark)).first().secrets] == ["assign", "markov"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert [s.kind for s in secrets.find_secrets(df, model(spark, docs)).first().secrets] == ["assign", "markov"]
 
 
 def test_odd_rows(spark):

@@ -56,7 +56,7 @@ def test_links_lose_nothing(spark, monkeypatch, block, parts):
         monkeypatch.setattr(simhash, "partitions_for", lambda n, radius: parts)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     pairs = [(r.a, r.b) for r in simhash.fingerprint_links(df, block=block).collect()]
-    assert all(np.bitwise_count(np.int64(a) ^ np.int64(b)) <= 4 for a, b in pairs)
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in pairs)
     assert components([int(x) for x in fps.view(np.int64)], pairs) == brute(fps)
 
 
