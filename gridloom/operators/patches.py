@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _quoted(names: list[str]) -> list[Column]:
+    """Columns by name, dots included."""
+    return [F.col(f"`{n}`").alias(n) for n in names]
+
+
 def patch_cells(centres: DataFrame, pixels: DataFrame, halfwidth: int, bands: list[str], id_col: str = "pid", x_col: str = "x", y_col: str = "y") -> DataFrame:
     """Long form: (id, yp, xp, bands..., in_image), a row for each cell of each patch.
 
@@ -20,17 +25,17 @@ def patch_cells(centres: DataFrame, pixels: DataFrame, halfwidth: int, bands: li
     offsets = F.array(*[F.struct(F.lit(j).alias("yp"), F.lit(i).alias("xp")) for j in side for i in side])
     cells = centres.select(F.col(id_col), F.col(x_col).alias("_cx"), F.col(y_col).alias("_cy"), F.inline(offsets))
     cells = cells.select(id_col, "yp", "xp", (F.col("_cy") + F.col("yp") - halfwidth).alias("y"), (F.col("_cx") + F.col("xp") - halfwidth).alias("x"))
-    there = pixels.select("y", "x", *bands, F.lit(True).alias("in_image"))
-    return cells.join(there, ["y", "x"], "left").select(id_col, "yp", "xp", *bands, F.coalesce("in_image", F.lit(False)).alias("in_image"))
+    there = pixels.select("y", "x", *_quoted(bands), F.lit(True).alias("in_image"))
+    return cells.join(there, ["y", "x"], "left").select(id_col, "yp", "xp", *_quoted(bands), F.coalesce("in_image", F.lit(False)).alias("in_image"))
 
 
 def patch_arrays(cells: DataFrame, bands: list[str], id_col: str = "pid") -> DataFrame:
     """One row per patch: for each band an array of its cells in row-major order, and its mask
     (true where masked for either reason)."""
-    packed = F.array_sort(F.collect_list(F.struct("yp", "xp", *bands)))
+    packed = F.array_sort(F.collect_list(F.struct("yp", "xp", *_quoted(bands))))
     out = cells.groupBy(id_col).agg(packed.alias("_c"))
     values = [_taken("_c", b).alias(b) for b in bands]
-    return out.select(id_col, *values).select("*", *[F.transform(b, F.isnull).alias(f"{b}_mask") for b in bands])
+    return out.select(id_col, *values).select("*", *[F.transform(f"`{b}`", F.isnull).alias(f"{b}_mask") for b in bands])
 
 
 def _taken(structs: str, name: str) -> Column:
@@ -39,7 +44,7 @@ def _taken(structs: str, name: str) -> Column:
 
 def pixel_rows(pixels: DataFrame, bands: list[str], width: int) -> DataFrame:
     """The row table: (y, and for each band the array of its values by x)."""
-    at = F.struct("x", *bands)
+    at = F.struct("x", *_quoted(bands))
     rows = pixels.groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x"), at))).alias("m"))
     places = F.sequence(F.lit(0), F.lit(width - 1))
     wide = rows.select("y", F.transform(places, lambda x: F.try_element_at("m", x)).alias("_r"))
@@ -60,14 +65,14 @@ def patch_rows(centres: DataFrame, rows: DataFrame, halfwidth: int, bands: list[
 
     joined = strips.join(rows.withColumn("_row", F.lit(True)), "y", "left")
     inside = F.transform(F.sequence(F.lit(-halfwidth), F.lit(halfwidth)), lambda i: F.col("_row").isNotNull() & (F.col("_x") + i >= 0) & (F.col("_x") + i < width))
-    parts = joined.select(id_col, F.struct("yp", *[piece(F.col(b)).alias(b) for b in bands], inside.alias("in_image")).alias("p"))
+    parts = joined.select(id_col, F.struct("yp", *[piece(c).alias(b) for b, c in zip(bands, map(F.col, (f"`{b}`" for b in bands)))], inside.alias("in_image")).alias("p"))
     whole = parts.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("p"))
     flat = [F.flatten(_taken("p", b)).alias(b) for b in [*bands, "in_image"]]
-    masks = [F.transform(b, F.isnull).alias(f"{b}_mask") for b in bands]
-    return whole.select(id_col, *flat).select(id_col, *bands, *masks, "in_image")
+    masks = [F.transform(f"`{b}`", F.isnull).alias(f"{b}_mask") for b in bands]
+    return whole.select(id_col, *flat).select(id_col, *_quoted(bands), *masks, "in_image")
 
 
 def patch_summary(cells: DataFrame, band: str, id_col: str = "pid") -> DataFrame:
     """Mean of a band over each patch, and how many cells are outside or missing."""
-    v = F.col(band)
+    v = F.col(f"`{band}`")
     return cells.groupBy(id_col).agg(F.avg(v.cast("double")).alias("mean"), F.count_if(~F.col("in_image")).alias("outside"), F.count_if(F.col("in_image") & v.isNull()).alias("missing"))
