@@ -72,6 +72,28 @@ def patch_rows(centres: DataFrame, rows: DataFrame, halfwidth: int, bands: list[
     return whole.select(id_col, *flat).select(id_col, *_quoted(bands), *masks, "in_image")
 
 
+def patch_scatter(pixels: DataFrame, halfwidth: int, bands: list[str], width: int, first: int, stop: int) -> DataFrame:
+    """Patches of *every* pixel of image rows [first, stop), as (y, x), the bands' arrays and
+    masks, and ``in_image``: best where nearly all pixels are centres.
+
+    Each pixel is sent to the centres that it is near, so that one shuffle both gathers and
+    groups, in place of a join and then a group; ``pixels`` must hold the rows that the patches
+    reach, which is ``halfwidth`` beyond the range.
+    """
+    side = 2 * halfwidth + 1
+    offsets = F.array(*[F.struct(F.lit(j).alias("yp"), F.lit(i).alias("xp")) for j in range(side) for i in range(side)])
+    near = pixels.where((F.col("y") >= first - halfwidth) & (F.col("y") < stop + halfwidth))
+    sent = near.select("y", "x", F.struct(*_quoted(bands)).alias("v"), F.inline(offsets))
+    cy, cx = F.col("y") - F.col("yp") + halfwidth, F.col("x") - F.col("xp") + halfwidth
+    kept = sent.select(cy.alias("y"), cx.alias("x"), (F.col("yp") * side + F.col("xp")).alias("k"), "v")
+    kept = kept.where((F.col("y") >= first) & (F.col("y") < stop) & (F.col("x") >= 0) & (F.col("x") < width))
+    cells = kept.groupBy("y", "x").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_c"))
+    places = F.sequence(F.lit(0), F.lit(side * side - 1))
+    wide = cells.select("y", "x", F.transform(places, lambda k: F.try_element_at("_c", k)).alias("_c"))
+    out = wide.select("y", "x", *[_taken("_c", b).alias(b) for b in bands], F.transform("_c", F.isnotnull).alias("in_image"))
+    return out.select("y", "x", *_quoted(bands), *[F.transform(f"`{b}`", F.isnull).alias(f"{b}_mask") for b in bands], "in_image")
+
+
 def patch_summary(cells: DataFrame, band: str, id_col: str = "pid") -> DataFrame:
     """Mean of a band over each patch, and how many cells are outside or missing."""
     v = F.col(f"`{band}`")

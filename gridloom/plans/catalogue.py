@@ -316,6 +316,13 @@ def patch_by_rows(spark, sf_dir):
     return _cells_text(patches.patch_rows(g.withColumn("pid", F.col("event_id")), patches.pixel_rows(g, ["cell"], WIDTH), 1, ["cell"], WIDTH))
 
 
+@registered(PATCH_TEXT_SQL)
+def patch_scatter(spark, sf_dir):
+    g = grid(spark, sf_dir).withColumn("cell", F.col("event_id"))
+    out = patches.patch_scatter(g, 1, ["cell"], WIDTH, 0, grid_spec(spark, sf_dir).y.n)
+    return _cells_text(out.withColumn("pid", F.col("y").cast("long") * WIDTH + F.col("x")))
+
+
 # ----------------------------------------------------------------- extraction
 @registered("select cast(vec_id % 25 as int) as x, cast(vec_id // 25 as int) as y, embedding[1] as a, embedding[2] as b from embeddings")
 def stack_join(spark, sf_dir):
@@ -356,11 +363,10 @@ def traintest_extract(spark, sf_dir):
 )
 def query_extract(spark, sf_dir):
     g = grid_spec(spark, sf_dir)
-    start, stop = strip_bounds(g.y.n, STRIPS)[3]
-    centres = pixels.positioned(pixels.all_pixels(spark, g, 4, STRIPS), g)
-    near = grid(spark, sf_dir).where((F.col("y") >= start - 1) & (F.col("y") < stop + 1))
-    sums = patches.patch_cells(centres, near, 1, ["value"], "pixel").groupBy("pixel").agg(F.count_if("in_image").alias("cells"), F.round(F.sum("value"), 6).alias("total"))
-    return centres.select("pixel", "cx", "cy").join(sums, "pixel")
+    gathered = patches.patch_scatter(grid(spark, sf_dir), 1, ["value"], WIDTH, *strip_bounds(g.y.n, STRIPS)[3])
+    total = F.aggregate(F.filter("value", F.isnotnull), F.lit(0.0), lambda a, v: a + v)
+    there = F.size(F.filter("in_image", lambda i: i)).cast("long")
+    return pixels.positioned(gathered, g).select((F.col("y").cast("long") * WIDTH + F.col("x")).alias("pixel"), "cx", "cy", there.alias("cells"), F.round(total, 6).alias("total"))
 
 
 @registered(f"with {GRID_SQL} select y, x, cast(value as float) as value from grid")

@@ -82,15 +82,19 @@ def gathered(centres: DataFrame, table: DataFrame, features: Features, id_col: s
     """``centres`` (with ix, iy) and the arrays of their patches."""
     con, cat = list(features.continuous), list(features.categorical)
     cells = patches.patch_cells(centres, table, features.halfwidth, features.bands, id_col, "ix", "iy")
-    packed = F.array_sort(F.collect_list(F.struct("yp", "xp", *[F.col(f"`{b}`").alias(f"v{i}") for i, b in enumerate(features.bands)])))
+    return centres.join(_by_cell(patches.patch_arrays(cells, features.bands, id_col), con, cat, [id_col]), id_col)
 
-    def flat(first: int, n: int, kind: str):
-        cell = lambda s: F.array(*[s[f"v{i}"] for i in range(first, first + n)]).cast(f"array<{kind}>")
-        return F.flatten(F.transform("_p", cell)) if n else F.array().cast(f"array<{kind}>")
 
-    one = cells.groupBy(id_col).agg(packed.alias("_p")).select(id_col, flat(0, len(con), "float").alias("con"), flat(len(con), len(cat), "int").alias("cat"))
-    masked = one.select("*", *[F.transform(c, lambda v: v.isNull()).alias(f"{c}_mask") for c in ("con", "cat")])
-    return centres.join(masked, id_col)
+def _by_cell(arrays: DataFrame, con: list[str], cat: list[str], keys: list[str]) -> DataFrame:
+    """``con``, ``cat`` and their masks from an array for each band: bands within cells."""
+
+    def flat(bands: list[str], kind: str):
+        zipped = F.arrays_zip(*[F.col(f"`{b}`").alias(f"v{i}") for i, b in enumerate(bands)]) if bands else None
+        cell = lambda s: F.array(*[s[f"v{i}"] for i in range(len(bands))]).cast(f"array<{kind}>")
+        return F.flatten(F.transform(zipped, cell)) if bands else F.array().cast(f"array<{kind}>")
+
+    one = arrays.select(*keys, flat(con, "float").alias("con"), flat(cat, "int").alias("cat"))
+    return one.select("*", *[F.transform(c, F.isnull).alias(f"{c}_mask") for c in ("con", "cat")])
 
 
 def extract_traintest(spark: SparkSession, features_path: str, targets_path: str, out: str, test_fold: int = 1, nfolds: int = 10, seed: int = 666, halfwidth: int = 0, outside: str = "error") -> Training:
@@ -115,18 +119,14 @@ def extract_query(spark: SparkSession, features_path: str, out: str, strip: int
     features = sidecar.load_metadata(spark, features_path, Features)
     features.halfwidth, features.strip = halfwidth, (strip, strips)
     start, stop = strip_bounds(features.grid.y.n, strips)[strip - 1]
-    table = spark.read.parquet(features_path).where((F.col("y") >= start - halfwidth) & (F.col("y") < stop + halfwidth))
-    gathered(query_centres(spark, features, strip, strips), table, features, "pixel").write.mode("overwrite").parquet(out)
+    arrays = patches.patch_scatter(spark.read.parquet(features_path), halfwidth, features.bands, features.grid.x.n, start, stop)
+    cells = _by_cell(arrays, list(features.continuous), list(features.categorical), ["y", "x"])
+    placed = pixels.positioned(cells.withColumn("pixel", F.col("y").cast("long") * features.grid.x.n + F.col("x")), features.grid)
+    placed.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy", "con", "cat", "con_mask", "cat_mask").write.mode("overwrite").parquet(out)
     sidecar.save_metadata(spark, out, features)
     return features
 
 
-def query_centres(spark: SparkSession, features: Features, strip: int = 1, strips: int = 1) -> DataFrame:
-    centres = pixels.all_pixels(spark, features.grid, strip, strips)
-    placed = pixels.positioned(centres, features.grid)
-    return placed.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy")
-
-
 class FeatureReader:
     """Samples straight from a feature table."""
 

@@ -27,10 +27,12 @@ def centres(spark):
     return spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(GOLDEN)], "pid int, x int, y int")
 
 
-@pytest.mark.parametrize("way", ["cells", "rows"])
+@pytest.mark.parametrize("way", ["cells", "rows", "scatter"])
 def test_golden_patches(spark, image, way):
     if way == "cells":
         out = patches.patch_arrays(patches.patch_cells(centres(spark), image, 1, ["v", "w"]), ["v", "w"])
+    elif way == "scatter":
+        out = patches.patch_scatter(image, 1, ["v", "w"], 5, 0, 5).join(centres(spark), ["x", "y"])
     else:
         out = patches.patch_rows(centres(spark), patches.pixel_rows(image, ["v", "w"], 5), 1, ["v", "w"], 5)
     rows = {r.pid: r for r in out.collect()}
