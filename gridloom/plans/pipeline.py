@@ -50,9 +50,9 @@ def describe(table: DataFrame, grid: GridSpec, continuous: list[str], categorica
 def save_features(table: DataFrame, features: Features, out: str, normalise: bool = True) -> None:
     known = {b: c for b, c in features.continuous.items() if normalise and c.mean is not None}
     done = table.withColumns({b: ((F.col(f"`{b}`").cast("double") - c.mean) / c.sd).cast("float") for b, c in known.items()})
-    for b, c in features.categorical.items():
-        codes = F.array_position(F.array(*[F.lit(v) for v in c.values]), F.col(f"`{b}`")) - 1 if c.values else F.lit(None)
-        done = done.withColumn(b, codes.cast("int"))
+    mapping = stats.category_map(table, list(features.categorical)) if features.categorical else None
+    for b in features.categorical:
+        done = stats.encoded(done, b, mapping)
     sidecar.save_table(done, out, features)
 
 

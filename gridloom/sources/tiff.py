@@ -349,7 +349,7 @@ def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous",
 def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[str], tag: str = "", rows_per_file: int | None = None) -> DataFrame:
     """One image per label and block of rows, ``<label>_<tag>[_<first row>].tif``; NULL becomes
     the missing value.  Each task writes whole files, so a mosaic of any size is written in
-    parallel; by default a file holds as many rows as make 256 MB.
+    parallel; by default a file holds as many rows as make 32 MB.
 
     Returns (label, path, rows).  A block that lacks pixels is an error.
     """
@@ -357,7 +357,7 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
     bad = [c for c in labels if kinds.get(c) not in ("float", "double", "int", "smallint", "tinyint", "bigint")]
     if bad:
         raise ValueError(f"predictions must be single numbers: {bad}")
-    per = rows_per_file or max(1, (256 << 20) // (grid.x.n * 8))
+    per = rows_per_file or max(1, (32 << 20) // (grid.x.n * 8))
     one = per >= grid.y.n
     long = pixels.select("y", "x", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("v")) for c in labels]))).withColumn("block", F.floor(F.col("y") / F.lit(per)))
     types = {c: {"float": "<f4", "double": "<f8"}.get(kinds[c], "<i4") for c in labels}
