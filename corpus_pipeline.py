@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, langid, linededup, mixing, simhash
-from gridloom.llm.shared import written
+from gridloom.llm.shared import spread, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents without letters, or whose language is less sure than this, are rejected.
@@ -25,8 +25,9 @@ PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language; models are trained on the labelled ones."""
+    docs = spread(docs.select(*COLUMNS))
     model = langid.train_language_model(docs, langid.vocabulary_pieces(PIECES_FILE))
-    told = langid.predict_language(docs.select(*COLUMNS), model)
+    told = langid.predict_language(docs, model)
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import bpe, chat, embeddings, langid, linededup, media, mixing, pii, secrets, simhash
-from gridloom.llm.shared import scratch_path, written
+from gridloom.llm.shared import scratch_path, spread, written
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     attack = spark.range(2).select(
@@ -104,7 +108,7 @@ from embeddings e join (select a, min(b) as component_id from reach group by a)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     model = secrets.train_secret_model(secrets.corpus_samples(docs).union(secrets.generated_samples(spark)))
     found = secrets.find_secrets(docs, model)
 
@@ -120,12 +124,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    groups = simhash.simhash_groups(_documents(spark, sf_dir, "doc_id", "text"))
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     coded = bpe.encode_texts(docs, BPE_FILE, bpe.build_lexicon(docs, BPE_FILE), decoded_col="decoded")
     return coded.select(
         "doc_id",
@@ -136,13 +140,13 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.fold(F.col("doc_id")) == 1)
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", langid.fold(F.col("doc_id")) == 1)
     model = langid.train_language_model(docs.where(~F.col("held_out")), langid.vocabulary_pieces(PIECES_FILE))
     return langid.predict_language(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("payload"))
     index = written(media.store_payloads(docs, scratch_path(spark, "media"), "payload", ["doc_id"]), "media-index")
     read = media.with_payload_features(media.with_metadata(index))
     feature = F.concat_ws(";", F.concat_ws("x", "width", "height", "bits"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("low", "high", "total", "ones")])
@@ -174,7 +178,7 @@ from (select *, unnest(range(n_copies)) as copy from copies)
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    safe = pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    safe = pii.replace_pii(_documents(spark, sf_dir, "doc_id", "text"), PII_KEY)
     return safe.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",").alias("replaced"))
 
 

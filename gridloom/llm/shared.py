@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out evenly where it has fewer partitions than there are cores, as
+    a small table in one file has; large tables stay as they are, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def packed(docs: DataFrame, text_col: str, **named: str) -> DataFrame:
     """``text``, the ``named`` columns under their new names, and ``row``, a struct of all
     columns but the text: an operator's own names then cannot clash with any column's."""
