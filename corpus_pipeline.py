@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, linededup, mixing, simhash
+from gridloom.llm import bpe, langid, linededup, mixing, neardup
 from gridloom.llm.shared import spread, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,8 +38,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near duplicates, the one with the smallest id."""
-    return simhash.keep_one_per_group(docs.select(*COLUMNS))
+    """Leaves one document of each group of near duplicates, the one with the smallest id: those
+    linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    return neardup.keep_one_of_near(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
