@@ -8,6 +8,8 @@ on other runs.  Rows are exploded by their counts and shuffled globally.
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from gridloom.llm.shared import packed, unpacked, written
 
 #: Sources whose rates may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 100_000
-#: The largest mean whose distribution is tabulated; a larger rate is split into whole
-#: repeats and a rest below it.
-MAX_MEAN = 30.0
+#: The largest mean whose probabilities are summed up from zero, where exp(-mean) is far from
+#: underflow; those of a larger mean are summed up in log space from its lower tail.
+MAX_MEAN = 600.0
 
 
 def hashed_unit(*columns: Column) -> Column:
@@ -27,18 +29,25 @@ def hashed_unit(*columns: Column) -> Column:
 
 
 def poisson_quantile(mean: Column, u: Column) -> Column:
-    """The least k whose cumulative Poisson probability exceeds ``u``; means up to MAX_MEAN.
+    """The least k whose cumulative Poisson probability exceeds ``u``, for any mean.
 
-    The tail stops at 200, where for such means the rest is below double precision.
+    Sums start at 0, or for means over MAX_MEAN at 10 standard deviations below the mean, and
+    stop at 12 above it (at 200 at least): the rest is below the 52 bits of ``u``.
     """
-    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"), F.lit(False).alias("done"))
+    low = F.when(mean > MAX_MEAN, F.floor(mean - 10 * F.sqrt(mean))).otherwise(0).cast("int")
+    high = F.greatest(F.lit(200), F.ceil(mean + 12 * F.sqrt(mean))).cast("int")
+    k = low.cast("double")
+    # The logarithm of low's probability, its factorial by Stirling's series.
+    log_p = k * F.log(mean) - mean - (k * F.log(k) - k + F.log(2 * pi * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k))
+    p = F.when(mean > MAX_MEAN, F.exp(log_p)).otherwise(F.exp(-mean))
+    zero = F.struct(p.alias("p"), p.alias("c"), low.alias("k"), F.lit(False).alias("done"))
 
     def step(acc: Column, i: Column) -> Column:
         done = acc["done"] | (acc["c"] > u)
         p = acc["p"] * mean / i
         return F.struct(p.alias("p"), F.when(done, acc["c"]).otherwise(acc["c"] + p).alias("c"), F.when(done, acc["k"]).otherwise(i).alias("k"), done.alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(200)), zero, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(low + 1, high), zero, step, lambda acc: acc["k"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, default: float = 1.0, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
@@ -73,8 +82,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         small = F.broadcast(small)
     rows = packed(docs, text_col, id=id_col, source=source_col).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("null")))
     rated = rows.join(small, F.col("source").eqNullSafe(F.col("rated")), "left")
-    whole = F.when(F.col("rate") > MAX_MEAN, F.floor(F.col("rate") - MAX_MEAN / 2)).otherwise(0)
-    count = (whole + poisson_quantile(F.col("rate") - whole, hashed_unit(F.lit(seed), F.col("id")))).cast("int")
+    count = poisson_quantile(F.col("rate"), hashed_unit(F.lit(seed), F.col("id")))
     counted = rated.select("row", "text", "id", count.alias("count")).where("count > 0")
     copies = counted.select("row", "text", "id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), F.col("id"), F.col("copy").cast("string")))

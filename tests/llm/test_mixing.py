@@ -1,6 +1,7 @@
 import hashlib
-from math import exp
+from math import exp, lgamma, log
 
+import pytest
 from tests.llm.helpers import empty, odd_documents
 
 from gridloom.llm import mixing
@@ -80,3 +81,23 @@ def test_odd_rows(spark):
     assert all(n % 2 == 0 for (k, _, _), n in got.items() if k == 2)
     assert mixing.mix_sources(empty(spark)).count() == 0
     assert mixing.mix_sources(odd, default=0.0).count() == 0
+
+
+@pytest.mark.parametrize("mean", [30.0, 49.5, 100.0, 600.0, 601.0, 1000.0])
+def test_large_rates_are_one_poisson(spark, mean):
+    n = 1000
+    docs = spark.range(n).selectExpr("id as doc_id", "'t' as text", "'s' as source")
+    got = counted(mixing.mix_sources(docs, epochs=mean, seed=3))
+
+    def inverted(u):
+        c, k = exp(-mean), 0
+        while c <= u:
+            k += 1
+            c += exp(k * log(mean) - mean - lgamma(k + 1))
+        return k
+
+    counts = [got.get((k, "s"), 0) for k in range(n)]
+    assert counts == [inverted(unit(3, k)) for k in range(n)]
+    average = sum(counts) / n
+    assert abs(average - mean) < 5 * (mean / n) ** 0.5
+    assert 0.8 * mean < sum((c - average) ** 2 for c in counts) / n < 1.2 * mean
