@@ -373,8 +373,8 @@ def query_extract(spark, sf_dir):
 def raster_round_trip(spark, sf_dir):
     g, folder = grid_spec(spark, sf_dir), scratch_folder(spark, "rasters")
     full = pixels.all_pixels(spark, g).select("x", "y").join(grid(spark, sf_dir).select("x", "y", F.col("value").cast("float").alias("value")), ["x", "y"], "left")
-    path = tiff.write_rasters(full, g, folder, ["value"]).collect()[0].path  # one row a file
-    return tiff.read_stack(spark, [path]).select("y", "x", "value").join(grid(spark, sf_dir).select("x", "y"), ["x", "y"], "left_semi").select("y", "x", "value")
+    paths = [r.path for r in tiff.write_rasters(full, g, folder, ["value"]).collect()]  # one row a file
+    return tiff.read_blocks(spark, paths, g, "value").join(grid(spark, sf_dir).select("x", "y"), ["x", "y"], "left_semi").select("y", "x", "value")
 
 
 @registered("select cast(vec_id as int) as ix, label as iy, round(list_sum(list_transform(embedding, lambda v: cast(v as double))), 6) as total, cast(len(embedding) as int) as n from embeddings")

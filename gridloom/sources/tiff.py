@@ -345,7 +345,76 @@ def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous",
     return spark.read.format("rasterstack").option("paths", json.dumps(paths)).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).option("first", first).option("stop", stop).load()
 
 
+class RasterBlocks(RasterStack):
+    """Options: ``paths`` (JSON list) of files of one band that hold blocks of rows of one image,
+    ``band``, its column; ``origin`` and ``step`` of the image's y axis, ``height``; and ``kind``,
+    ``ignore_crs`` and ``rows`` as above.  Rows are numbered in the whole image."""
+
+    @classmethod
+    def name(cls):
+        return "rasterblocks"
+
+    def blocks(self) -> list[tuple[int, Tiff]]:
+        """(first row, image) from the first row on; blocks that leave rows out, overlap or
+        differ in x axis, y step or crs are an error."""
+        origin, step, height = float(self.options["origin"]), float(self.options["step"]), int(self.options["height"])
+        images = [read_header(p) for p in json.loads(self.options["paths"])]
+        found = sorted(((round((im.grid.y.origin - origin) / step), im) for im in images), key=lambda b: b[0])
+        shared = [im for _, im in found]
+        ends = [first + im.height for first, im in found]
+        if [first for first, _ in found] != [0, *ends[:-1]] or ends[-1] != height:
+            raise MismatchedStack(f"blocks do not make one image of {height} rows: {[(first, im.height) for first, im in found]}")
+        ignore = self.options.get("ignore_crs", "false").lower() == "true"
+        for im in shared:
+            g, one = im.grid, shared[0].grid
+            if not np.allclose((g.x.origin, g.x.step, g.x.n, g.y.step), (one.x.origin, one.x.step, one.x.n, step), rtol=1e-9, atol=1e-9) or not (ignore or g.crs == one.crs):
+                raise MismatchedStack(f"{im.path}: {g} is no block of the image of {shared[0].path}")
+            if im.samples != 1:
+                raise MismatchedStack(f"{im.path}: {im.samples} bands")
+        return found
+
+    def schema(self):
+        kind = T.FloatType() if self.options.get("kind", "continuous") == "continuous" else T.IntegerType()
+        return T.StructType([T.StructField("y", T.IntegerType(), False), T.StructField("x", T.IntegerType(), False), T.StructField(self.options["band"], kind)])
+
+    def reader(self, schema):
+        return _BlocksReader(self.blocks(), schema, int(self.options.get("rows", 0)))
+
+
+@dataclass
+class BlockRows(InputPartition):
+    above: int
+    image: Tiff
+    part: Rows
+
+
+class _BlocksReader(DataSourceReader):
+    def __init__(self, blocks: list[tuple[int, Tiff]], schema: T.StructType, rows: int):
+        self.schema = schema
+        self.parts = [BlockRows(above, im, p) for above, im in blocks for p in _StackReader([im], schema, rows, 0, 0).partitions()]
+
+    def partitions(self):
+        return self.parts
+
+    def read(self, part: BlockRows):
+        for batch in _StackReader([part.image], self.schema, 0, 0, 0).read(part.part):
+            y = pa.array(batch.column(0).to_numpy() + np.int32(part.above))
+            yield pa.RecordBatch.from_arrays([y, *batch.columns[1:]], batch.schema.names)
+
+
+def read_blocks(spark: SparkSession, paths: list[str], grid: GridSpec, band: str, kind: str = "continuous", ignore_crs: bool = False, rows: int = 0) -> DataFrame:
+    """Pixels of one image of ``grid`` from the files of its blocks, as ``write_rasters`` makes them."""
+    if not paths:
+        raise NoRasters("no files to read")
+    spark.dataSource.register(RasterBlocks)
+    return spark.read.format("rasterblocks").option("paths", json.dumps(paths)).option("band", band).option("origin", grid.y.origin).option("step", grid.y.step).option("height", grid.y.n).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).load()
+
+
 # ---------------------------------------------------------------------- writer
+#: Bytes of an image in a file, unless its rows are told.
+FILE_BYTES = 32 << 20
+
+
 def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[str], tag: str = "", rows_per_file: int | None = None) -> DataFrame:
     """One image per label and block of rows, ``<label>_<tag>[_<first row>].tif``; NULL becomes
     the missing value.  Each task writes whole files, so a mosaic of any size is written in
@@ -357,7 +426,7 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
     bad = [c for c in labels if kinds.get(c) not in ("float", "double", "int", "smallint", "tinyint", "bigint")]
     if bad:
         raise ValueError(f"predictions must be single numbers: {bad}")
-    per = rows_per_file or max(1, (32 << 20) // (grid.x.n * 8))
+    per = rows_per_file or max(1, FILE_BYTES // (grid.x.n * 8))
     one = per >= grid.y.n
     long = pixels.select("y", "x", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("v")) for c in labels]))).withColumn("block", F.floor(F.col("y") / F.lit(per)))
     types = {c: {"float": "<f4", "double": "<f8"}.get(kinds[c], "<i4") for c in labels}

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.test_catalogue import compare
 
 from gridloom.functions.grid import Axis, GridSpec
+from gridloom.plans.catalogue import ORACLES, QUERIES
 from gridloom.sources import shapefile, tfrecord, tiff
 
 GRID = GridSpec(Axis(100.0, 0.5, 12), Axis(-20.0, -0.25, 7), {"geokeys": "1,1,0,1,1024,0,1,2"})
@@ -123,6 +125,20 @@ def test_writer(spark, tmp_path, rows):
         tiff.write_rasters(df.withColumn("s", F.lit("a")), GRID, str(tmp_path), ["s"])
 
 
+def test_blocks_are_read_as_one_image(spark, tmp_path, monkeypatch):
+    df = spark.range(84).select((F.col("id") % 12).cast("int").alias("x"), F.floor(F.col("id") / 12).cast("int").alias("y"), F.when(F.col("id") != 5, F.col("id").cast("float")).alias("p"))
+    paths = [r.path for r in tiff.write_rasters(df, GRID, str(tmp_path), ["p"], rows_per_file=3).collect()]
+    assert len(paths) == 3
+    for rows in (0, 1):
+        back = tiff.read_blocks(spark, paths[::-1], GRID, "p", rows=rows)
+        assert back.columns == ["y", "x", "p"]
+        assert sorted((r.y, r.x, r.p) for r in back.collect() if r.p is not None) == [(k // 12, k % 12, float(k)) for k in range(84) if k != 5]
+    with pytest.raises(Exception, match="one image"):
+        tiff.read_blocks(spark, paths[:2], GRID, "p").count()
+    monkeypatch.setattr(tiff, "FILE_BYTES", 3 * 100 * 8)
+    compare(spark, QUERIES["raster_round_trip"], ORACLES["raster_round_trip"], "sf0.001")
+
+
 def test_points(spark, tmp_path):
     points = [(k * 0.5, -k * 0.25) for k in range(25)]
     fields = [("Na_ppm", "N", 10, 3), ("kind", "N", 4, 0), ("name", "C", 8, 0)]
