@@ -1,9 +1,16 @@
-"""Near duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8.
-
-1.  Each document gives MinHash values of its set, cut into bands.  Sets that agree in a
-    whole band are candidates; a pair at 0.8 exactly agrees in none with a probability of
-    (1 - 0.8**BAND_ROWS)**BANDS, which is 7e-5.  Equal sets are one set from the start.
-2.  Sets linked by bands form candidate groups, by stars and without lists of pairs.
+"""SimHash near-duplicates by similarity: documents whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more.
+
+Fingerprints of 64 bits within a few bits of each other, as ``simhash`` links them, are too
+strict for this: a pair at 0.8 differs in 10 bits on average.  So the search goes wider:
+
+1.  Each set gets a SimHash of LANES lanes of 64 bits.  The generalised pigeonhole search of
+    ``simhash`` runs over all of them: correlated bits of a lane share one of its PARTS
+    partitions, and thresholds are allocated by dynamic programming on candidate counts.  Sets
+    that differ in up to LANES * PARTS - 1 bits meet for certain; of pairs at 0.8 exactly, which
+    differ in about 15 % of the bits, over 99 % do (see the README).
+2.  Sets that meet and are near on their first two lanes are candidates; their components are
+    candidate groups, from spanning forests and without lists of pairs.
 3.  The texts of a group meet in one task, where a spanning forest of the pairs whose exact
     similarity is high enough is found; other pairs are not linked.  Large groups are dealt
     out as pairs of blocks, so that no task holds an unbounded group; every pair still meets.
@@ -20,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import connected_components, packed, unpacked, written
-
-BANDS, BAND_ROWS = 24, 5
+from gridloom.llm.simhash import candidate_links, plan_partitions
+
+LANES, PARTS = 20, 4
+#: Bits of a partition's value that histograms look at, which bounds them.
+KNOWN_BITS = 12
+#: Of the 128 bits of the first two lanes, those that candidates may differ in: at a similarity
+#: of 0.8 they differ in 19 on average, this many are four standard deviations more.
+NEAR = 36
 #: Sets, and shingles, of one block of a candidate group.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Pairs of which fewer MinHash values agree than this are not compared exactly; at a
-#: similarity of 0.8 that is over five standard deviations below the mean.
-LEAST_AGREEING = 0.6
-_CHUNK = 1 << 10
-_RNG = np.random.default_rng(5)
-_A = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64)
+# Fixed values of the SplitMix64 generator, which makes a shingle's lanes out of its hash.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_OFFSETS = np.arange(1, LANES + 1).astype(np.uint64) * _STEP
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -45,15 +54,22 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[s : e - 1]) for s, e in zip([0, *ends], ends[shingle - 1 :])], np.uint64))
 
 
-def minhash(hashes: np.ndarray) -> np.ndarray:
-    """BANDS * BAND_ROWS minima over a set that is not empty."""
-    parts = [(hashes[None, at : at + _CHUNK] * _A + _B).min(axis=1) for at in range(0, len(hashes), _CHUNK)]
-    return np.min(parts, axis=0)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LANES unsigned numbers: a bit is 1 if it is set in over half the hashes' lanes."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
+        z = hashes[at : at + 255, None] + _OFFSETS
+        z ^= z >> np.uint64(30)
+        z *= _MIX[0]
+        z ^= z >> np.uint64(27)
+        z *= _MIX[1]
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Places in ``sets`` of a spanning forest of all pairs of similarity ``least`` or more."""
-    marks = np.array([minhash(s) & np.uint64(0xFF) for s in sets], np.uint8).reshape(len(sets), -1)
     sizes = np.array([len(s) for s in sets])
     # Shingles by number, so that a set is looked up in many others by one gather.
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -64,13 +80,13 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
         if not stack:
             stack, left = [left[0]], left[1:]
         x = stack.pop()
-        fit = (np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x])) & ((marks[left] == marks[x]).sum(axis=1) >= LEAST_AGREEING * marks.shape[1])
+        fit = np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x])
         found = np.zeros(len(left), bool)
         if fit.any():
             near, own = left[fit], flat[starts[x] : ends[x]]
             mine[own] = True
-            if len(near) <= 32:
-                both = np.array([mine[flat[starts[y] : ends[y]]].sum() for y in near])
+            if 4 * len(near) <= len(sets):
+                both = np.array([np.count_nonzero(mine[flat[starts[y] : ends[y]]]) for y in near])
             else:
                 both = np.add.reduceat(mine[flat], starts, dtype=np.int64)[near]
             mine[own] = False
@@ -82,43 +98,40 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (id, text_hash, set, size, keys): a hash of the set, its shingles, its bands' keys."""
+    """Rows (id, text_hash, digest, size, fp): a digest of the set, its shingles, its lanes."""
 
     def rows(batches):
         for batch in batches:
-            sets, sizes, keys = [], [], []
-            for text in batch.column(2):
-                h = shingle_set(text.as_py(), shingle)
-                sets.append(xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0)
-                sizes.append(len(h))
-                bands = minhash(h).reshape(BANDS, -1) if len(h) else ()
-                keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64))
-            ids = pa.array(np.array(sets, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "set", "size", "keys"])
-
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, set long, size long, keys array<long>"
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                sets = [shingle_set(t.as_py(), shingle) for t in some.column(2)]
+                lanes = np.stack([wide_fingerprint(h) for h in sets]).astype(np.uint64).view(np.int64)
+                fp = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LANES), pa.array(lanes.ravel()))
+                digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), digests, pa.array([len(h) for h in sets], pa.int64()), fp], ["id", "text_hash", "digest", "size", "fp"])
+
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, digest binary, size long, fp array<long>"
     return docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rows, schema)
 
 
-def _candidates(marks: DataFrame) -> DataFrame:
-    """Rows (set, root): candidate groups of two sets or more."""
-    keyed = written(marks.select("set", F.explode("keys").alias("key")).distinct(), "bands")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low")).where("n > 1").select("key", "low"), "shared")
-    stars = keyed.join(shared, "key").where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b"))
-    parts = written(connected_components(stars), "candidates").select(F.col("node").alias("set"), "root")
-    return parts.union(parts.select("root", "root").distinct())
+def _candidates(sets: DataFrame, block: int) -> DataFrame:
+    """Rows (node, root): candidate groups of two sets or more."""
+    wide = sets.where("size > 0").select("fp", "node", F.col("fp")[0].alias("f0"), F.col("fp")[1].alias("f1"))
+    plan = plan_partitions(wide, LANES * PARTS - 1, LANES, PARTS, KNOWN_BITS)
+    parts = written(connected_components(candidate_links(wide, plan, ["node", "f0", "f1"], NEAR, block)), "candidates")
+    return parts.select("node", "root").union(parts.select("root", "root").distinct())
 
 
-def near_links(docs: DataFrame, marks: DataFrame, lowest: DataFrame, least: float, shingle: int, block: int) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame, least: float, shingle: int, block: int) -> DataFrame:
     """Edges (a, b) between sets, whose components are those of all verified candidates."""
-    member = written(lowest.join(_candidates(marks), "set").select("set", "root", "size", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")), "members")
+    member = written(sets.join(_candidates(sets, 8 * block), "node").select("node", "root", "size", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")), "members")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
     member = member.join(written(member.groupBy("root").agg(blocks.alias("n")), "blocks"), "root")
-    mine = F.pmod(F.xxhash64("set"), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.least(s, mine) * F.col("n") + F.greatest(s, mine))
     texts = docs.select("id", "text").withColumn("hash", F.xxhash64("text"))
-    found = texts.join(written(member.select("_id", "_hash", "set", "root", cells.alias("cells")), "cells"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-    dealt = found.select("root", F.explode("cells").alias("cell"), "set", "text")
+    found = texts.join(written(member.select("_id", "_hash", "node", "root", cells.alias("cells")), "cells"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    dealt = found.select("root", F.explode("cells").alias("cell"), "node", "text")
 
     def links(batches):
         at, held = None, {}
@@ -153,9 +166,10 @@ def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = packed(docs, text_col, id=id_col)
     marks = written(_marked(rows, shingle), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    lowest = written(marks.groupBy("set").agg(first.alias("first"), F.first("size").alias("size")), "lowest")
-    parts = connected_components(near_links(rows, marks, lowest, least, shingle, block)).select(F.col("node").alias("set"), "root")
-    chosen = lowest.join(parts, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min("first").alias("first"))
+    sets = marks.groupBy("digest").agg(first.alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")  # fixed once written
+    parts = connected_components(similar_links(rows, sets, least, shingle, block)).select("node", "root")
+    chosen = sets.select("node", "first").join(parts, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     chosen = written(chosen.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")), "chosen")
     hashed = rows.withColumn("hash", F.xxhash64("text"))
     kept = hashed.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")

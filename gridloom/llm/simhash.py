@@ -15,7 +15,7 @@ Finding the links exactly, without comparing all pairs:
 3.  Each fingerprint is listed under its own value in every partition and under
     the values within T_i of it; rows with equal keys meet, are compared in
     full, and give a spanning forest of their links rather than all pairs.
-4.  Keys with very many fingerprints are dealt out as pairs of blocks, so that
+4.  Keys with very many rows are dealt out as pairs of blocks, so that
     no task holds an unbounded group; every pair still meets.
 """
 
@@ -38,7 +38,9 @@ from gridloom.llm.shared import connected_components, packed, unpacked, written
 HISTOGRAM_BITS = 16
 #: The most a single partition's threshold can be.
 MAX_T = 2
-#: Fingerprints under one key that one task compares; more are dealt out as pairs of blocks.
+#: How far sums of thresholds may leave the way to their goal; more than enough for few partitions.
+SPARE = 8
+#: Rows under one key that one task compares; more are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Keys above BLOCK that may be broadcast; beyond it they are joined by a shuffle.
 MAX_BROADCAST_KEYS = 500_000
@@ -82,34 +84,40 @@ def fingerprint_hex(fingerprint):
 # ------------------------------------------------------------------- the plan
 @dataclass(frozen=True)
 class Partitioning:
-    """Bits of each partition, and estimated candidates ``cost[i][t][v]`` by the
-    low HISTOGRAM_BITS bits ``v`` of a value and threshold ``t``."""
+    """Bits of each partition, and estimated candidates ``cost[i][t][v]`` by the low ``known``
+    bits ``v`` of a value and threshold ``t``.  Bits are numbered through all 64-bit lanes of
+    a fingerprint; a partition lies within one lane."""
 
     bits: tuple[tuple[int, ...], ...]
     cost: tuple[np.ndarray, ...]
     radius: int
+    known: int = HISTOGRAM_BITS
 
     def values(self, fps: np.ndarray) -> list[np.ndarray]:
         return [_extract(fps, b) for b in self.bits]
 
 
 def _extract(fps: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
-    out = np.zeros(len(fps), np.uint64)
+    """Values of one partition of fingerprints (row x lane; a single lane may be flat)."""
+    lane = np.ascontiguousarray(fps.reshape(len(fps), -1)[:, bits[0] // 64])
+    out = np.zeros(len(lane), np.uint64)
     for k, b in enumerate(bits):
-        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+        out |= ((lane >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(k)
     return out
 
 
-def _bit_matrix(fps: np.ndarray) -> np.ndarray:
-    return np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _bit_matrix(lane: np.ndarray) -> np.ndarray:
+    return np.unpackbits(lane.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _fps(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
-    return batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+def _fps(column: pa.Array) -> np.ndarray:
+    """Fingerprints (row x lane) from a column of longs, or of arrays of one length."""
+    flat = column if pa.types.is_integer(column.type) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
 
 
 def partitions_for(n: int, radius: int) -> int:
-    """How many partitions to use for ``n`` distinct fingerprints.
+    """How many partitions to use for ``n`` distinct fingerprints of one lane.
 
     The least of probes plus expected candidates for evenly spread values; fewer
     and wider partitions as ``n`` grows.
@@ -145,36 +153,39 @@ def correlated_groups(counts: np.ndarray, n: int, m: int) -> tuple[tuple[int, ..
     return tuple(groups)
 
 
-def plan_partitions(fps: DataFrame, radius: int) -> Partitioning:
-    """Statistics over all distinct fingerprints in column ``fp``.
+def plan_partitions(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None, known: int = HISTOGRAM_BITS) -> Partitioning:
+    """Statistics over all distinct fingerprints in column ``fp``, a long or, for several
+    ``lanes``, an array of longs; each lane has ``parts`` partitions.
 
-    What reaches the driver is bounded by the method, whatever the input: a
-    64 x 64 matrix, and 2**16 counts for each of at most ``radius`` partitions.
+    What reaches the driver is bounded by the method, whatever the input: a 64 x 64 matrix
+    for each lane, and 2**known counts for each partition.
     """
 
     def together(batches):
-        total = np.zeros((64, 64))
+        total = np.zeros((lanes, 64, 64))
         for batch in batches:
-            f = _fps(batch)
+            f = _fps(batch.column(0))
             for at in range(0, len(f), _CHUNK):
-                x = _bit_matrix(f[at : at + _CHUNK]).astype(np.float32)
-                total += x.T @ x
-        i, j = np.divmod(np.arange(4096), 64)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel().astype(np.int64))], ["i", "j", "c"])
+                for lane in range(lanes):
+                    x = _bit_matrix(np.ascontiguousarray(f[at : at + _CHUNK, lane])).astype(np.float32)
+                    total[lane] += x.T @ x
+        at = np.arange(total.size)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel().astype(np.int64))], ["at", "c"])
 
     n = fps.count()
-    rows = fps.select("fp").mapInArrow(together, "i long, j long, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros((64, 64))
+    rows = fps.select("fp").mapInArrow(together, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(lanes * 4096)
     if rows.num_rows:
-        counts[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["c"].to_numpy()
-    bits = correlated_groups(counts, n, partitions_for(n, radius))
+        counts[rows["at"].to_numpy()] = rows["c"].to_numpy()
+    m = parts or partitions_for(n, radius)
+    bits = tuple(tuple(64 * lane + b for b in group) for lane, c in enumerate(counts.reshape(lanes, 64, 64)) for group in correlated_groups(c, n, m))
 
     def histograms(batches):
-        total = [np.zeros(1 << min(len(b), HISTOGRAM_BITS), np.int64) for b in bits]
+        total = [np.zeros(1 << min(len(b), known), np.int64) for b in bits]
         for batch in batches:
-            f = _fps(batch)
+            f = _fps(batch.column(0))
             for k, b in enumerate(bits):
-                total[k] += np.bincount(_extract(f, b[:HISTOGRAM_BITS]).astype(np.int64), minlength=len(total[k]))
+                total[k] += np.bincount(_extract(f, b[:known]).astype(np.int64), minlength=len(total[k]))
         for k, t in enumerate(total):
             v = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v), pa.array(t[v])], ["k", "v", "c"])
@@ -183,7 +194,7 @@ def plan_partitions(fps: DataFrame, radius: int) -> Partitioning:
     k, v, c = (rows[x].to_numpy() for x in "kvc")
     cost = []
     for i, b in enumerate(bits):
-        h = min(len(b), HISTOGRAM_BITS)
+        h = min(len(b), known)
         near = np.zeros((MAX_T + 1, 1 << h), np.float64)  # by exact distance on the histogram's bits
         near[0, v[k == i]] = c[k == i]
         at = np.arange(1 << h)
@@ -194,19 +205,23 @@ def plan_partitions(fps: DataFrame, radius: int) -> Partitioning:
         rest = len(b) - h
         exact = [sum(near[a] * comb(rest, t - a) for a in range(t + 1)) / 2.0**rest for t in range(MAX_T + 1)]
         cost.append(np.cumsum(exact, axis=0).astype(np.float32))
-    return Partitioning(bits, tuple(cost), radius)
+    return Partitioning(bits, tuple(cost), radius, known)
 
 
 def allocate(plan: Partitioning, values: list[np.ndarray]) -> np.ndarray:
-    """Thresholds (fingerprint x partition) of least estimated probes and candidates."""
+    """Thresholds (fingerprint x partition) of least estimated probes and candidates.
+
+    On the way through the partitions the sum of thresholds stays within SPARE of its range
+    between 0 and the goal, which bounds the table of many partitions.
+    """
     m, n = len(plan.bits), len(values[0])
     goal = plan.radius - m + 1
-    low, high = -m, goal + m
+    low, high = -min(m, SPARE), goal + min(m, SPARE)
     best = np.full((high - low + 1, n), np.inf, np.float32)
     best[-low] = 0
     picks = []
     for i, b in enumerate(plan.bits):
-        v = (values[i] & np.uint64((1 << HISTOGRAM_BITS) - 1)).astype(np.int64)
+        v = (values[i] & np.uint64((1 << plan.known) - 1)).astype(np.int64)
         new, pick = np.full_like(best, np.inf), np.full(best.shape, -1, np.int8)
         for t in range(-1, MAX_T + 1):
             price = np.float32(0) if t < 0 else plan.cost[i][t][v] + np.float32(sum(comb(len(b), a) for a in range(t + 1)))
@@ -229,119 +244,133 @@ def _flips(width: int, t: int) -> np.ndarray:
     return np.array(one + two, np.uint64)
 
 
-def keyed(fps: DataFrame, plan: Partitioning, probes: bool = True) -> DataFrame:
-    """Rows (key, fp): each fingerprint under its own values and, with ``probes``, those it probes."""
+def keyed(fps: DataFrame, plan: Partitioning, carried: list[str]) -> DataFrame:
+    """Rows (key, *carried): each fingerprint ``fp`` under its own value in every partition and
+    under those that it probes; ``carried`` are columns of longs."""
     shared = fps.sparkSession.sparkContext.broadcast(plan)  # bounded: see plan_partitions
+    chunk = max(1024, _CHUNK // len(plan.bits))
 
     def rows(batches):
         p = shared.value
         flips = [[_flips(len(b), t) for t in range(MAX_T + 1)] for b in p.bits]
+
+        def out(key, who):
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(c[who]) for c in columns]], ["key", *carried])
+
         for batch in batches:
-            everything = _fps(batch)
-            for at in range(0, len(everything), _CHUNK):
-                f = everything[at : at + _CHUNK]
+            everything = _fps(batch.column(0))
+            whole = [batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(carried))]
+            for at in range(0, len(everything), chunk):
+                f = everything[at : at + chunk]
+                columns = [c[at : at + chunk] for c in whole]
                 values = p.values(f)
-                ts = allocate(p, values) if probes else None
+                ts = allocate(p, values)
                 for i, v in enumerate(values):
                     base = np.uint64(i << 40)
-                    yield _rows(base | v, f)
-                    for t in range(1, MAX_T + 1) if probes else ():
+                    yield out(base | v, slice(None))
+                    for t in range(1, MAX_T + 1):
                         who = np.flatnonzero(ts[:, i] == t)
                         for part in np.array_split(who, max(1, len(who) * len(flips[i][t]) // 500_000)):
                             if len(part):
                                 k = (v[part][:, None] ^ flips[i][t][None, :]) | base
-                                yield _rows(k.ravel(), np.repeat(f[part], k.shape[1]))
-
-    return fps.select("fp").mapInArrow(rows, "key long, fp long")
+                                yield out(k.ravel(), np.repeat(part, k.shape[1]))
 
+    return fps.select("fp", *carried).mapInArrow(rows, ", ".join(f"{c} long" for c in ["key", *carried]))
 
-def _rows(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-
-def _dealt(rows: DataFrame, own: DataFrame, block: int) -> DataFrame:
-    """Adds ``cell``: 0 for most keys; for keys with over ``block`` rows in ``own``, the
-    number of a pair of blocks, with a row in every pair of its block."""
-    hot = own.groupBy("key").count().where(F.col("count") > block)
+def _dealt(rows: DataFrame, carried: list[str], block: int) -> DataFrame:
+    """Adds ``cell``: 0 for most keys; for keys with over ``block`` rows, listed and probing,
+    the number of a pair of blocks, with a row in every pair of its block."""
+    hot = rows.groupBy("key").count().where(F.col("count") > block)
     hot = written(hot.select("key", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("n")), "hotkeys")
     many = hot.count()
     if not many:
-        return rows.select("key", F.lit(0).alias("cell"), "fp")
+        return rows.select("key", F.lit(0).alias("cell"), *carried)
     side = F.broadcast(hot) if many <= MAX_BROADCAST_KEYS else hot
-    mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64(carried[0]), F.col("n")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
         lambda s: F.least(s, mine) * F.col("n") + F.greatest(s, mine),
     )
     joined = rows.join(side, "key", "left")
-    cold = joined.where("n is null").select("key", F.lit(0).alias("cell"), "fp")
-    return cold.union(joined.where("n is not null").select("key", F.explode(cells).alias("cell"), "fp"))
+    cold = joined.where("n is null").select("key", F.lit(0).alias("cell"), *carried)
+    return cold.union(joined.where("n is not null").select("key", F.explode(cells).alias("cell"), *carried))
 
 
 # ------------------------------------------------------------------ the links
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def spanning_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links within one array of distinct fingerprints."""
-    a, b, left, stack = [], [], fps, []
+    """Places in ``fps`` (row x lane) of the edges of a spanning forest of its links."""
+    a, b, left, stack = [], [], np.arange(len(fps)), []
     while len(left):
         if not stack:
             stack, left = [left[0]], left[1:]
         x = stack.pop()
-        hit = np.bitwise_count(left ^ x) <= radius
+        hit = _distance(fps[left], fps[x]) <= radius
         found = left[hit]
         if len(found):
-            a.append(np.full(len(found), x, np.uint64))
+            a.append(np.full(len(found), x))
             b.append(found)
             stack.extend(found)
             left = left[~hit]
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def link_run(cell: np.ndarray, fps: np.ndarray, radius: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal ``cell`` (sorted): all pairs of short runs at once,
+def link_run(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as ids, between rows of equal ``cell`` (sorted): all pairs of short runs at once,
     a spanning forest for each long one."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     lengths = np.diff(np.r_[starts, len(cell)])
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     rank = np.arange(len(cell)) - np.repeat(starts, lengths)
     room = np.repeat(np.where(lengths <= small, lengths, 0), lengths)
     for d in range(1, small):
         at = np.flatnonzero(rank + d < room)
         if not len(at):
             break
-        x, y = fps[at], fps[at + d]
-        near = (np.bitwise_count(x ^ y) <= radius) & (x != y)
-        a.append(x[near])
-        b.append(y[near])
+        at = at[(_distance(fps[at], fps[at + d]) <= radius) & (ids[at] != ids[at + d])]
+        a.append(ids[at])
+        b.append(ids[at + d])
     for k in np.flatnonzero(lengths > small):
-        x, y = spanning_forest(np.unique(fps[starts[k] : starts[k] + lengths[k]]), radius)
-        a.append(x)
-        b.append(y)
+        names, first = np.unique(ids[starts[k] : starts[k] + lengths[k]], return_index=True)
+        x, y = spanning_forest(fps[starts[k] + first], radius)
+        a.append(names[x])
+        b.append(names[y])
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) whose components are those of all links within ``radius`` between
-    the distinct fingerprints in column ``fp``.  Exact: no link between groups is lost."""
-    plan = plan_partitions(fps, radius)
-    rows = _dealt(keyed(fps, plan), keyed(fps, plan, probes=False), block)
+def candidate_links(fps: DataFrame, plan: Partitioning, carried: list[str], radius: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all rows of ``fps`` that meet under a key and
+    whose carried lanes differ in at most ``radius`` bits.
+
+    The first of ``carried`` names a row; lanes are all that start with ``f``.  Rows under a
+    key may hold repeats of one row, by its probes.
+    """
+    rows = _dealt(keyed(fps, plan, carried), carried, block)
+    own = [2 + k for k, c in enumerate(carried) if c.startswith("f")]
 
     def links(batches):
         held = None
 
-        def out(key, cell, f):
+        def out(*now):
+            key, cell, ids = now[:3]
             number = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-            a, b = link_run(number, f, radius)
+            a, b = link_run(number, ids, np.stack([now[k].view(np.uint64) for k in own], axis=1), radius)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _fps(batch, 2)]
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + len(carried))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            last = len(now[0]) - 1
-            while last and now[0][last - 1] == now[0][-1] and now[1][last - 1] == now[1][-1]:
-                last -= 1
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            last = len(same) - int(same.sum())
             held = [x[last:] for x in now]
             if last:
                 yield out(*(x[:last] for x in now))
@@ -351,6 +380,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> Da
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(links, "a long, b long")
 
 
+def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all links within ``radius`` between
+    the distinct fingerprints in column ``fp``.  Exact: no link between groups is lost."""
+    return candidate_links(fps.select("fp", F.col("fp").alias("f0")), plan_partitions(fps, radius), ["f0"], radius, block)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (long), ``component_id`` (the
     smallest id reachable through links, its own included), ``component_fp``, which tells

@@ -14,7 +14,7 @@ def unit(seed, doc_id):
 def quantile(mean, u):
     p = c = exp(-mean)
     k = 0
-    while c <= u and k < 200:
+    while c <= u:
         k += 1
         p *= mean / k
         c += p
@@ -30,8 +30,7 @@ def brute(rows, weights, seed, epochs=1.0):
     out = {}
     for k, s in rows:
         rate = weights.get(s, 1.0) / whole * epochs * len(rows) / n[s]
-        base = int(rate - mixing.MAX_MEAN / 2) if rate > mixing.MAX_MEAN else 0
-        out[k, s] = base + quantile(rate - base, unit(seed, k))
+        out[k, s] = quantile(rate, unit(seed, k))
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tests.llm.helpers import components, documents, empty, odd_documents
 
@@ -18,6 +19,39 @@ def brute(docs, least=0.8):
     return components(ids, pairs), pairs
 
 
+def test_recall_of_candidates():
+    """Of pairs at a similarity just above 0.8, at least 99 % agree in a whole partition and are
+    near on their first lanes, so that they are compared exactly."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(1000):
+        n = int(rng.integers(30, 400))
+        both = rng.integers(0, 2**63, n).astype(np.uint64)
+        one, two = (np.r_[both, rng.integers(0, 2**63, n // 8).astype(np.uint64)] for _ in range(2))
+        a, b = neardup.wide_fingerprint(one), neardup.wide_fingerprint(two)
+        near = np.bitwise_count(a[:2] ^ b[:2]).sum() <= neardup.NEAR
+        met += bool(near and (a.view(np.uint16) == b.view(np.uint16)).any())
+    assert met >= 990
+
+
+def test_wide_fingerprint_is_a_majority():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 255, 256, 1000):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        got = neardup.wide_fingerprint(h)
+        lanes = []
+        for x in h.tolist():
+            row = []
+            for k in range(1, neardup.LANES + 1):
+                z = (x + k * 0x9E3779B97F4A7C15) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                row.append(z ^ z >> 31)
+            lanes.append(row)
+        for k in range(neardup.LANES):
+            assert int(got[k]) == sum(1 << b for b in range(64) if sum(r[k] >> b & 1 for r in lanes) * 2 > n)
+
+
 def edited(rnd, base, words):
     out = list(base)
     for _ in range(words):

@@ -1,9 +1,8 @@
 import numpy as np
 import public_tokenizers
-from tests.llm.helpers import components
 from tests.llm.test_linededup import brute as dedup
 from tests.llm.test_mixing import brute as mix
-from tests.llm.test_simhash import slow_fingerprint
+from tests.llm.test_neardup import brute as near
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -22,9 +21,7 @@ def test_run_equals_brute_force(spark):
         if sure >= corpus_pipeline.MIN_SCORE:
             rows.append((r.doc_id, r.text, r.source))
     left = {k: v for (k, _), v in dedup([(k, t) for k, t, _ in rows]).items()}
-    prints = {k: slow_fingerprint(left[k]) for k, _, _ in rows}
-    pairs = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4]
-    part = components(list(prints), pairs)
+    part, _ = near([(k, left[k]) for k, _, _ in rows])
     kept = [(k, s) for k, _, s in rows if part[k] == k]
     copies = mix(kept, corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_SEED)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
