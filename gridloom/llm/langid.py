@@ -13,7 +13,7 @@ import hashlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
-from math import log
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ TRAIN_DOCS = 800
 #: Units of text that a task remembers at most before it starts afresh, and characters of
 #: texts that it scores together.
 REMEMBERED, _SLICE = 120_000, 4_000_000
-#: Longer words are scored in parts of this many characters, which keeps sums in range.
-MAX_WORD = 32
+#: From the 32nd letter of a word on, sums are brought back to one after every so many letters,
+#: which keeps them in range; words may have any length, pieces up to 40 letters.
+PLAIN, EVERY = 32, 2
 #: Probability of a single character that is no piece, and mass kept for pieces unseen.
 FLOOR, SMOOTH = 1e-7, 0.05
 UNKNOWN = "und"
@@ -40,12 +41,8 @@ _STATE: dict = {}
 
 
 def words_of(unit: str) -> list[str]:
-    """The words of a piece of text, each marked at its start and cut to MAX_WORD."""
-    out = []
-    for w in _LETTERS.findall(unit.lower()):
-        w = "▁" + w
-        out.extend(w[k : k + MAX_WORD] for k in range(0, len(w), MAX_WORD))
-    return out
+    """The words of a piece of text, each marked at its start."""
+    return ["▁" + w for w in _LETTERS.findall(unit.lower())]
 
 
 def vocabulary_pieces(model_file: str) -> list[str]:
@@ -72,7 +69,7 @@ class LanguageModel:
     def word(self, word: str, longest: int) -> list[float]:
         """Log-probabilities of a word by the forward algorithm."""
         get, langs, floor = self.table.get, range(len(self.languages)), FLOOR
-        ahead = [[1.0] * len(self.languages)]
+        ahead, scale = [[1.0] * len(self.languages)], [0.0] * len(self.languages)
         for end in range(1, len(word) + 1):
             last = ahead[end - 1]
             p = get(word[end - 1])
@@ -84,26 +81,50 @@ class LanguageModel:
                     for k in langs:
                         total[k] += before[k] * p[k]
             ahead.append(total)
-        return [log(x) for x in ahead[-1]]
+            if end >= PLAIN and end % EVERY == 0:
+                scale = [x + log(y) for x, y in zip(scale, total)]
+                for at in range(max(0, end + 1 - longest), end + 1):
+                    ahead[at] = [x / y for x, y in zip(ahead[at], total)]
+        return [x + log(y) for x, y in zip(scale, ahead[-1])]
 
 
 def expected_counts(word: str, weight: float, p: dict[str, float], longest: int, into: dict[str, float]) -> None:
     """Adds the expected number of each piece in ``word`` to ``into``, by forward-backward."""
     n = len(word)
-    ahead, arcs = [1.0] + [0.0] * n, []
+    arcs = []
     for end in range(1, n + 1):
         for start in range(max(0, end - longest), end):
             q = p.get(word[start:end], FLOOR if end - start == 1 else None)
             if q is not None:
-                ahead[end] += ahead[start] * q
                 arcs.append((start, end, q))
-    back = [0.0] * n + [1.0]
-    for start, end, q in reversed(arcs):
-        back[start] += q * back[end]
-    for start, end, q in arcs:
+    if n > PLAIN:
+        shares = _long_shares(n, arcs)
+    else:
+        ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for start, end, q in arcs:
+            ahead[end] += ahead[start] * q
+        for start, end, q in reversed(arcs):
+            back[start] += q * back[end]
+        shares = [ahead[start] * q * back[end] / ahead[n] for start, end, q in arcs]
+    for (start, end, _), share in zip(arcs, shares):
         piece = word[start:end]
         if piece in p:
-            into[piece] = into.get(piece, 0.0) + weight * ahead[start] * q * back[end] / ahead[n]
+            into[piece] = into.get(piece, 0.0) + weight * share
+
+
+def _long_shares(n: int, arcs: list[tuple[int, int, float]]) -> list[float]:
+    """How often each arc is used, by sums of logarithms, which no length takes out of range."""
+
+    def plus(x: float, y: float) -> float:
+        high, low = max(x, y), min(x, y)
+        return high if low == -inf else high + log(1 + exp(low - high))
+
+    ahead, back = [0.0] + [-inf] * n, [-inf] * n + [0.0]
+    for start, end, q in arcs:
+        ahead[end] = plus(ahead[end], ahead[start] + log(q))
+    for start, end, q in reversed(arcs):
+        back[start] = plus(back[start], log(q) + back[end])
+    return [exp(ahead[start] + log(q) + back[end] - ahead[n]) for start, end, q in arcs]
 
 
 def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -195,14 +216,18 @@ class ForwardPass:
         return ((h * _MIX) >> np.uint64(48)).astype(np.int64)
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """(word x language), for words of at most MAX_WORD characters."""
+        """(word x language), for words of any length, those of like lengths together."""
         out = np.zeros((len(words), self.groups))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         starts = np.cumsum(lengths) - lengths
-        for low, high in zip((0, 5, 8, 11, 15, 20), (5, 8, 11, 15, 20, MAX_WORD)):
+        limits = [0, 5, 8, 11, 15, 20, PLAIN]
+        while limits[-1] < lengths.max(initial=0):
+            limits.append(2 * limits[-1])
+        for low, high in zip(limits, limits[1:]):
             some = np.flatnonzero((lengths > low) & (lengths <= high))
-            for part in np.array_split(some, -(-len(some) // 8192)) if len(some) else ():
+            at_once = max(1, 8192 * PLAIN // max(PLAIN, high))
+            for part in np.array_split(some, -(-len(some) // at_once)) if len(some) else ():
                 out[part] = self._part(codes, starts[part], lengths[part])
         return out
 
@@ -226,6 +251,7 @@ class ForwardPass:
             found[k] = (np.searchsorted(end, np.arange(width + 1)), word, p[at])
         ahead = np.zeros((width + 1, n, self.groups))
         ahead[0] = 1.0
+        out, scale, longest = np.zeros((n, self.groups)), np.zeros((n, self.groups)), max(self.tables)
         for end in range(width):
             total = ahead[end] * FLOOR
             for k, (bounds, word, p) in found.items():
@@ -235,7 +261,13 @@ class ForwardPass:
                 elif a < b:
                     total[word[a:b]] += ahead[end + 1 - k][word[a:b]] * p[a:b]
             ahead[end + 1] = total
-        return np.log(ahead[lengths, np.arange(n)])
+            if width > PLAIN:
+                over = lengths == end + 1
+                out[over] = scale[over] + np.log(total[over])
+                if end + 1 >= PLAIN and (end + 1) % EVERY == 0:
+                    scale += np.log(total)
+                    ahead[max(0, end + 2 - longest) : end + 2] /= total
+        return out if width > PLAIN else np.log(ahead[lengths, np.arange(n)])
 
 
 class _Scorer:
@@ -259,10 +291,8 @@ class _Scorer:
                 if w == "\n":
                     unit += 1
                     continue
-                w = "▁" + w
-                for part in (w,) if len(w) <= MAX_WORD else [w[j : j + MAX_WORD] for j in range(0, len(w), MAX_WORD)]:
-                    place.append(order.setdefault(part, len(order)))
-                    owner.append(unit)
+                place.append(order.setdefault("▁" + w, len(order)))
+                owner.append(unit)
         scores = np.c_[self.ahead.log_probabilities(list(order)), np.ones(len(order))][np.array(place, np.int64)]
         new = np.stack([np.bincount(np.array(owner, np.int64), scores[:, g], len(units)) for g in range(scores.shape[1])], axis=1)
         self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))

@@ -36,6 +36,52 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(want, langid.ForwardPass(m).log_probabilities(words))
 
 
+@pytest.mark.parametrize("length", [31, 32, 33, 34, 47, 100, 5000])
+def test_forward_sums_of_long_words(length):
+    m, rnd = toy(), random.Random(length)
+    words = ["▁" + "".join(rnd.choice("abc") for _ in range(length + k - 1)) for k in (0, 1, 5)]
+    want = []
+    for w in words:
+        row = []
+        for lang in (0, 1):
+            ahead = [0.0]  # a plain sum over all last pieces, by logarithms
+            for end in range(1, len(w) + 1):
+                terms = []
+                for start in range(max(0, end - 3), end):
+                    p = m.table[w[start:end]][lang] if w[start:end] in m.table else langid.FLOOR if end - start == 1 else 0
+                    if p:
+                        terms.append(ahead[start] + log(p))
+                ahead.append(float(np.logaddexp.reduce(terms)))
+            row.append(ahead[-1])
+        want.append(row)
+    assert np.allclose(want, [m.word(w, m.longest) for w in words], rtol=1e-9)
+    assert np.allclose(want, langid.ForwardPass(m).log_probabilities(words), rtol=1e-9)
+
+
+def test_long_words_are_not_cut(spark):
+    """Pieces across the 32nd letter count: without spaces the text is one word."""
+    m = langid.LanguageModel(("x", "y"), {"a": (0.3, 0.3), "b": (0.3, 0.3), "ab": (0.01, 0.3), "▁": (0.1, 0.1)})
+    df = spark.createDataFrame([(1, "c" * 30 + "ab" + "c" * 5000)], "doc_id long, text string")
+    got = langid.predict_language(df, m).first()
+    assert got.lang_pred == "y" and abs(got.score - 0.39 / (0.39 + 0.1)) < 1e-9
+
+
+def test_ties_go_to_the_first_language(spark):
+    m = langid.LanguageModel(("m", "n"), {"a": (0.3, 0.3), "▁": (0.1, 0.1)})
+    got = langid.predict_language(spark.createDataFrame([(1, "aa a")], "doc_id long, text string"), m).first()
+    assert (got.lang_pred, got.score) == ("m", 0.5)
+
+
+def test_expected_counts_of_long_words():
+    p = {"a": 0.1, "b": 0.05, "ab": 0.2, "▁": 0.1}
+    for n in (30, 31, 32, 33, 3000):
+        got: dict = {}
+        word = "▁" + "abb" * n
+        langid.expected_counts(word, 1.0, p, 2, got)
+        assert abs(sum(len(k) * c for k, c in got.items()) - len(word)) < 1e-8 * len(word)
+        assert abs(got["ab"] / n - 0.9756) < 0.001
+
+
 def test_expected_counts_by_enumeration():
     p = {k: v[0] for k, v in toy().table.items()}
 
