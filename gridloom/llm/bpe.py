@@ -460,7 +460,8 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
 
     Texts are cut at single spaces and counted as such, and only distinct pieces are cut into
     words; a piece counts as following a space, so the first word of a text counts as if it did.
-    Words of over 64 characters are left out.
+    Only words of over 64 characters are left out, which the lexicon cannot hold; pieces may
+    have any length.
     """
     declared = _shared(docs.sparkSession, vocabulary)
     units = docs.select(F.explode(F.split(text_col, " ")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
@@ -470,9 +471,8 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
         for batch in batches:
             total: dict[str, int] = {}
             for unit, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(unit) <= 256:
-                    for w in bpe.split(" " + unit):
-                        total[w] = total.get(w, 0) + n
+                for w in bpe.split(" " + unit):
+                    total[w] = total.get(w, 0) + n
             kept = [w for w in total if len(w) <= 64]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([total[w] for w in kept], pa.int64())], ["word", "n"])
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ from tests.llm.helpers import empty, odd_documents
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe
+from gridloom.llm.queries import op5_bpe_round_trip
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -103,3 +105,20 @@ def test_decoding_replaces_broken_bytes(spark, tokenizer):
     df = spark.createDataFrame([([ids[0]],), (ids,), ([50256],), (None,)], "ids array<int>")
     got = [r.decoded for r in bpe.decode_ids(df, FILE).collect()]
     assert got == [tokenizer.decode(x, skip_special_tokens=False) for x in ([ids[0]], ids, [50256])] + [""]
+
+
+def test_long_pieces_count(spark):
+    """A text without spaces is one piece of any length; its words still reach the lexicon."""
+    df = spark.createDataFrame([(1, "日本、" * 300 + "x" * 65)], "doc_id long, text string")
+    got = {r.word: r.n for r in bpe.word_counts(df, FILE).collect()}
+    assert got["日本"] == 299 and got[" 日本"] == 1 and "x" * 65 not in got
+
+
+def test_registered_query(spark, tokenizer):
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        back = tokenizer.decode(ids, skip_special_tokens=False)
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op5_bpe_round_trip(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
