@@ -1,5 +1,10 @@
+import ipaddress
+import random
 import re
 
+import pytest
+import regex
+from pyspark.sql import functions as F
 from tests.llm.helpers import empty, odd_documents
 
 from gridloom.llm import pii
@@ -23,7 +28,7 @@ def test_types_and_formats(spark):
     email, phone, card, ip, ssn = (p.surrogate for p in found)
     assert re.fullmatch(r"[a-z]\.[a-z]\d@\w+\.example\.net", email)
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone) and re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", card) and luhn(card)
-    assert all(0 <= int(x) <= 255 for x in ip.split(".")) and re.fullmatch(r"9\d\d-\d\d-\d{4}", ssn)
+    assert all(0 <= int(x) <= 255 for x in ip.split(".")) and ip.startswith("10.") and re.fullmatch(r"\d{3}-\d\d-\d{4}", ssn) and ssn != "123-45-6789"
     assert text == f"{email} {phone} {card} {ip} {ssn} é end"
 
 
@@ -45,14 +50,12 @@ def test_gender_and_script(spark):
 
 def test_distinct_entities_stay_distinct(spark, monkeypatch):
     n = 3000
-    df = spark.range(n).selectExpr("id as doc_id", "concat('ip ', 20 + id % 200, '.', id div 200, '.7.9') as text")
+    df = spark.range(n).selectExpr("id as doc_id", "concat('mail a', id, '@x.org') as text")
     plain = pii.candidate
 
     # A poor first attempt, so that nearly all candidates collide and real values are hit.
-    def poor(key, kind, canon, attempt):
-        from pyspark.sql import functions as F
-
-        return F.when(attempt == 0, F.concat(F.lit("20."), F.length(canon).cast("string"), F.lit(".7.9"))).otherwise(plain(key, kind, canon, attempt))
+    def poor(key, kind, canon, gender, attempt):
+        return F.when(attempt == 0, F.concat(F.lit("a"), F.length(canon).cast("string"), F.lit("@x.org"))).otherwise(plain(key, kind, canon, gender, attempt))
 
     monkeypatch.setattr(pii, "candidate", poor)
     rows = pii.replace_pii(df, KEY).collect()
@@ -62,6 +65,108 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
     assert not set(after.values()) & set(before.values())
 
 
+@pytest.mark.parametrize("length,base", [(1, 10), (2, 10), (3, 10), (4, 10), (2, 16), (3, 16)])
+def test_permutations_are_permutations(spark, length, base):
+    """Every string of so many digits is the image of exactly one."""
+    df = spark.range(base**length).select(F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, base)), length, "0").alias("d"))
+    rows = df.select("d", pii.permuted("k", F.lit("t"), F.col("d"), base).alias("to"), pii.permuted("k", F.lit("u"), F.col("d"), base).alias("other")).collect()
+    assert {r.to for r in rows} == {r.other for r in rows} == {r.d for r in rows}
+    assert length == 1 or sum(r.to != r.d for r in rows) > 0.9 * len(rows) and sum(r.to != r.other for r in rows) > 0.9 * len(rows)
+
+
+def test_long_permutations_keep_their_length(spark):
+    df = spark.createDataFrame([("9" * k,) for k in range(1, 31)] + [("0" * k,) for k in range(1, 31)], "d string")
+    rows = df.select("d", pii.permuted("k", F.lit("t"), F.col("d")).alias("to")).collect()
+    assert all(re.fullmatch(r"\d{%d}" % len(r.d), r.to) for r in rows) and len({r.to for r in rows}) == 60
+    rows = spark.createDataFrame([("f" * 28,), ("0" * 28,)], "d string").select(pii.permuted("k", F.lit("t"), F.col("d"), 16).alias("to")).collect()
+    assert all(re.fullmatch(r"[0-9a-f]{28}", r.to) for r in rows)
+
+
+def test_every_mention_of_a_name(spark):
+    (text, found), = replaced(spark, "Mr Smith came. Later Smith left. Dr Smith paid. MR SMITH; Smithson, smith")
+    a = found[0].surrogate
+    assert text == f"Mr {a} came. Later {a} left. Dr {a} paid. MR {a.upper()}; Smithson, smith"
+    (text, _), = replaced(spark, "Mr Jo Ann Lee Smith, J. O'Brien's and Prof J. van der O'Brien met Mr SMITH")
+    assert not re.search("Jo |Ann|Lee|Smith|SMITH|Brien", text) and "van der" in text and "'s and" in text
+
+
+def test_gender_follows_all_titles(spark):
+    got = replaced(spark, "Mr Brown", "Mrs Brown", "Dr Green", "Mrs Green", "Prof White")
+    names = [t.split()[1] for t, _ in got]
+    assert names[0] == names[1] and names[0].endswith("ney")
+    assert names[2] == names[3] and names[2].endswith("lia") and names[4].endswith("ney")
+
+
+def test_scripts_stay(spark):
+    got = replaced(spark, "Prof Παπαδόπουλος", "Dr 田中", "Dr محمد", "Dr आनंद", "Mr Smith")
+    for (text, _), script in zip(got, ("Greek", "Han", "Arabic", "Devanagari", "Latin")):
+        assert regex.fullmatch(rf"\w+ [\p{{{script}}}\p{{M}}]+", text), text
+
+
+def test_long_names_go_whole(spark):
+    name = "Wolfe" + "schlegel" * 10 + "steinhausen"
+    (text, _), = replaced(spark, f"Mr {name}-{name} und {name}-{name}.")
+    assert "schlegel" not in text and "steinhausen" not in text
+
+
+def test_country_codes_and_national_form(spark):
+    got = [t for t, _ in replaced(spark, "+49 30 1234567", "+358 40 123 4567", "(988) 555-2485", "+1 988 555 2485")]
+    assert got[0].startswith("+49 ") and got[1].startswith("+358 ")
+    assert re.sub(r"\D", "", got[3]) == "1" + re.sub(r"\D", "", got[2])
+
+
+def mod_97(account):
+    a = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97
+
+
+def test_accounts_and_long_addresses(spark):
+    got = replaced(spark, "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00 3704 0044 0532 0130 00", "at 2001:db8::8a2e:370:7334 now", "2001:0DB8:0:0:0:8A2E:0370:7334", "12:30:45 and a::b ::")
+    accounts = [got[k][0] for k in range(3)]
+    assert all(mod_97(a) == 1 for a in accounts) and accounts[0].replace(" ", "") == accounts[1] != "DE89370400440532013000"
+    assert re.fullmatch(r"GB\d\d WEST \d{4} \d{4} \d{4} \d\d", accounts[2])
+    assert got[3] == ("DE00 3704 0044 0532 0130 00", [])
+    a, b = got[4][0].split()[1], got[5][0]
+    assert ipaddress.ip_address(a) == ipaddress.ip_address(b) != ipaddress.ip_address("2001:db8::8a2e:370:7334") and b == b.upper()
+    assert got[6][0].startswith("12:30:45 and ")
+
+
+def test_equals_a_plain_version(spark):
+    """Documents made of known entities: all text between them stays, and surrogates correspond
+    to entities one to one, whatever the mention's format."""
+    rnd = random.Random(8)
+    people = [(f"{rnd.choice('BCDFGKLMP')}{''.join(rnd.choice('aeiorstln') for _ in range(6))}", rnd.choice("mfu")) for _ in range(60)]
+    phones = ["".join(rnd.choice("0123456789") for _ in range(10)) for _ in range(60)]
+    cards = ["4" + "".join(rnd.choice("0123456789") for _ in range(15)) for _ in range(60)]
+    forms = {
+        "name": lambda k: rnd.choice([people[k][0], people[k][0].upper()]),
+        "phone": lambda k: rnd.choice(["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}"]).format(phones[k][:3], phones[k][3:6], phones[k][6:]),
+        "card": lambda k: rnd.choice(["{}{}{}{}", "{}-{}-{}-{}", "{} {} {} {}"]).format(*(cards[k][i : i + 4] for i in range(0, 16, 4))),
+        "email": lambda k: rnd.choice([f"p{k}.x@Host.org", f"P{k}.X@HOST.ORG"]),
+        "ip": lambda k: f"8.{k}.{k * 3}.9",
+    }
+    made = []
+    for _ in range(200):
+        parts, who = [], []
+        for _ in range(rnd.randrange(6)):
+            kind, k = rnd.choice(list(forms)), rnd.randrange(60)
+            title = {"m": "Mr ", "f": "Mrs ", "u": "Dr "}[people[k][1]] if kind == "name" else ""
+            parts += [f"text {title}", forms[kind](k), ", then "]
+            who += [(kind, k)]
+        made.append((parts, who))
+    got = replaced(spark, *("".join(p) for p, _ in made))
+    there, back = {}, {}
+    for (parts, who), (text, found) in zip(made, got):
+        assert [p.kind for p in found] == [kind for kind, _ in who]
+        assert text == "".join(found[k // 3].surrogate if k % 3 == 1 else x for k, x in enumerate(parts))
+        for entity, p, value in zip(who, found, parts[1::3]):
+            digits = re.sub(r"\D", "", p.surrogate)
+            canon = {"phone": digits[-10:], "card": digits}.get(entity[0], p.surrogate.lower())
+            assert there.setdefault(entity, canon) == canon and back.setdefault((entity[0], canon), entity) == entity
+            assert re.sub(r"\d", "0", p.surrogate) == re.sub(r"\d", "0", value) or entity[0] in ("name", "email", "ip")
+            assert entity[0] != "card" or luhn(p.surrogate) == luhn(value)
+
+
 def test_the_key_matters(spark):
     assert replaced(spark, "x@y.org")[0][0] != replaced(spark, "x@y.org", key="other")[0][0]
     assert replaced(spark, "x@y.org") == replaced(spark, "x@y.org")
