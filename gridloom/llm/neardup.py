@@ -118,7 +118,11 @@ def _candidates(sets: DataFrame, block: int) -> DataFrame:
     """Rows (node, root): candidate groups of two sets or more."""
     wide = sets.where("size > 0").select("fp", "node", F.col("fp")[0].alias("f0"), F.col("fp")[1].alias("f1"))
     plan = plan_partitions(wide, LANES * PARTS - 1, LANES, PARTS, KNOWN_BITS)
-    parts = written(connected_components(candidate_links(wide, plan, ["node", "f0", "f1"], NEAR, block)), "candidates")
+    # Stars: a is smallest.  Each set joins its smallest star; that one joins the set's others.
+    met = written(candidate_links(wide, plan, ["node", "f0", "f1"], NEAR, block, as_stars=True), "met")
+    low = written(met.groupBy("b").agg(F.min("a").alias("low")), "low")
+    others = met.join(low, "b").where("a != low").select("a", F.col("low").alias("b")).distinct()
+    parts = written(connected_components(low.select("b", "low").toDF("a", "b").union(others)), "candidates")
     return parts.select("node", "root").union(parts.select("root", "root").distinct())
 
 

@@ -343,12 +343,29 @@ def link_run(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int, sm
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidate_links(fps: DataFrame, plan: Partitioning, carried: list[str], radius: int, block: int = BLOCK) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each end of the links to the smallest end of its component."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, low = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    some = np.flatnonzero(low != np.arange(len(names)))
+    return names[some], names[low[some]]
+
+
+def candidate_links(fps: DataFrame, plan: Partitioning, carried: list[str], radius: int, block: int = BLOCK, as_stars: bool = False) -> DataFrame:
     """Edges (a, b) whose components are those of all rows of ``fps`` that meet under a key and
     whose carried lanes differ in at most ``radius`` bits.
 
     The first of ``carried`` names a row; lanes are all that start with ``f``.  Rows under a
-    key may hold repeats of one row, by its probes.
+    key may hold repeats of one row, by its probes.  With ``as_stars`` edges go to the smallest
+    row reached in the same task, which need not be near, and are far fewer in dense groups.
     """
     rows = _dealt(keyed(fps, plan, carried), carried, block)
     own = [2 + k for k, c in enumerate(carried) if c.startswith("f")]
@@ -360,6 +377,8 @@ def candidate_links(fps: DataFrame, plan: Partitioning, carried: list[str], radi
             key, cell, ids = now[:3]
             number = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
             a, b = link_run(number, ids, np.stack([now[k].view(np.uint64) for k in own], axis=1), radius)
+            if as_stars:
+                a, b = stars(a, b)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
