@@ -1,4 +1,4 @@
-"""Command line: ``python -m gridloom.cli import-rasters|import-targets|extract-train|extract-query|train-predict``."""
+"""Command line: ``python -m gridloom.cli import-rasters|import-targets|extract-train|extract-query|train|predict|train-predict``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import logging
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from gridloom.plans import model, pipeline
@@ -43,6 +44,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strip", nargs=2, type=int, default=[1, 1])
     p.add_argument("--halfwidth", type=int, default=0)
     p.add_argument("--out", required=True)
+    p = sub.add_parser("train")
+    p.add_argument("--data", required=True)
+    p.add_argument("--config", help="trusted Python file that defines Model; a forest by default")
+    p.add_argument("--trees", type=int, default=100)
+    p.add_argument("--rounds", type=int, default=1, help="each with a seed of its own; the best model of each metric stays, also between runs")
+    p.add_argument("--out", required=True, help="folder of models")
+    p = sub.add_parser("predict")
+    p.add_argument("--model", required=True, help="folder of one model, such as <out of train>/mse_<label>")
+    p.add_argument("--config")
+    p.add_argument("--query", required=True)
+    p.add_argument("--out", required=True)
     p = sub.add_parser("train-predict")
     p.add_argument("--data", required=True)
     p.add_argument("--query")
@@ -64,6 +76,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         pipeline.extract_traintest(spark, a.features, a.targets, a.out, *a.split, a.seed, a.halfwidth, a.outside)
     elif a.command == "extract-query":
         pipeline.extract_query(spark, a.features, a.out, *a.strip, a.halfwidth)
+    elif a.command == "train":
+        make = (lambda step: model.load_user_model(a.config)()) if a.config else (lambda step: model.ForestModel(trees=a.trees, seed=666 + step))
+        _, best = model.train_rounds(spark, a.data, make, a.rounds, a.out)
+        logging.info("best: %s", ", ".join(f"{k}={v['score']:.4f} in round {v['step']}" for k, v in best.items()))
+    elif a.command == "predict":
+        kind = model.load_user_model(a.config) if a.config else model.ForestModel
+        model.predict(spark, kind.load(spark, a.model), a.query, a.out)
     else:
         made = model.load_user_model(a.config)() if a.config else model.ForestModel(trees=a.trees)
         fitted, got = model.train(spark, a.data, made, a.max_points)
@@ -78,7 +97,7 @@ def main(args: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(relativeCreated)d ms %(levelname)s %(message)s")
     try:
         run(SparkSession.builder.appName("gridloom").getOrCreate(), a)
-    except (ValueError, KeyError, OSError) as e:
+    except (ValueError, KeyError, OSError, AnalysisException) as e:
         logging.error("%s: %s", type(e).__name__, e)
         return 1
     return 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,8 @@ from gridloom.functions.values import z_score
 
 #: Categories whose dictionary may be broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST_CATEGORIES = 1_000_000
+#: Bands whose measures are one aggregate; more are too many for one generated method.
+MAX_TOGETHER = 8
 
 
 class ZeroDeviation(ValueError):
@@ -26,16 +26,32 @@ def band_stats(df: DataFrame, bands: list[str]) -> DataFrame:
     """One row per band: ``n``, ``mean``, ``sd`` (of the population), ``masked``, ``low``,
     ``high``; NULL is left out of all but ``masked``.  One pass, partially aggregated, with
     sums in double precision."""
+    if len(bands) > MAX_TOGETHER:
+        names = F.array(*[F.lit(b) for b in bands])
+        values = F.array(*[F.col(f"`{b}`").cast("double") for b in bands])
+        return _by_place(df.select(values.alias("v"))).select(F.get(names, F.col("band")).alias("band"), "n", "mean", "sd", "masked", "low", "high")
     aggs = []
     for b in bands:
         v = F.col(f"`{b}`").cast("double")
-        aggs.append(F.struct(F.lit(b).alias("band"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count_if(v.isNull()).alias("masked"), F.min(v).alias("low"), F.max(v).alias("high")))
+        aggs.append(F.struct(F.lit(b).alias("band"), *_measures(v)))
     return df.agg(F.array(*aggs).alias("s")).select(F.inline("s"))
 
 
+def _measures(v) -> list:
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count_if(v.isNull()).alias("masked"), F.min(v).alias("low"), F.max(v).alias("high")]
+
+
+def _by_place(arrays: DataFrame) -> DataFrame:
+    """Measures of each place of the arrays ``v``.  Places are exploded on the map side only,
+    where one small code-generated aggregate by place takes them in; a table without rows has
+    no places."""
+    return arrays.select(F.posexplode("v").alias("band", "v")).groupBy("band").agg(*_measures(F.col("v")))
+
+
 def array_stats(df: DataFrame, column: str, bands: int) -> DataFrame:
-    """As ``band_stats`` for the entries of an array column, without exploding it."""
-    return band_stats(df.select(*[F.get(column, F.lit(i)).alias(str(i)) for i in range(bands)]), [str(i) for i in range(bands)]).withColumn("band", F.col("band").cast("int"))
+    """As ``band_stats`` for the entries of an array column; entries that an array lacks are NULL."""
+    values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.get(column, i).cast("double"))
+    return _by_place(df.select(values.alias("v")))
 
 
 def check_deviation(stats: DataFrame) -> dict[str, tuple[float, float]]:
@@ -59,9 +75,10 @@ def unpivoted(df: DataFrame, ids: list[str], bands: list[str], name: str = "band
 
 
 def category_counts(df: DataFrame, bands: list[str]) -> DataFrame:
-    """Rows (band, value, n) of the distinct values that occur; NULL is left out."""
-    one = [df.select(F.lit(b).alias("band"), F.col(f"`{b}`").alias("value")).where("value is not null").groupBy("band", "value").agg(F.count("*").alias("n")) for b in bands]
-    return reduce(DataFrame.union, one)
+    """Rows (band, value, n) of the distinct values that occur; NULL is left out.  One pass for
+    all bands, partially aggregated."""
+    pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"`{b}`").alias("value")) for b in bands])
+    return df.select(F.inline(pairs)).where("value is not null").groupBy("band", "value").agg(F.count("*").alias("n"))
 
 
 def category_map(df: DataFrame, bands: list[str]) -> DataFrame:

@@ -16,7 +16,8 @@ from gridloom import streaming
 from gridloom.functions import values
 from gridloom.functions.grid import Axis, GridSpec, edge, in_box, pixel_index, strip_bounds
 from gridloom.operators import folds, patches, pixels, score, stats
-from gridloom.sources import tfrecord, tiff
+from gridloom.plans import pipeline
+from gridloom.sources import sidecar, tfrecord, tiff
 from gridloom.sources.workspace import scratch_folder
 
 WIDTH, STRIPS, FOLDS, SEED, BANDS = 100, 7, 10, 666, 64
@@ -343,6 +344,35 @@ def read_ix(spark, sf_dir):
     return o.join(grid(spark, sf_dir), ["x", "y"]).select("o_orderkey", "event_id", "value")
 
 
+def _reader(spark, sf_dir) -> pipeline.FeatureReader:
+    """The grid as an imported feature table, read by the reader."""
+    path, g = scratch_folder(spark, "features"), grid(spark, sf_dir)
+    features = sidecar.Features(grid_spec(spark, sf_dir), {"value": sidecar.Continuous()}, {"kind": sidecar.Categorical()})
+    sidecar.save_table(g.select("y", "x", F.col("value").cast("float").alias("value"), (F.col("event_id") % 7).cast("int").alias("kind")), path, features)
+    return pipeline.FeatureReader(spark, path)
+
+
+READ_SQL = "cast(g.value as float) as value, g.value is null and g.x is not null as masked, cast(g.event_id % 7 as int) as kind"
+
+
+def _read_columns():
+    return F.get("con", F.lit(0)).alias("value"), F.get("con_mask", F.lit(0)).alias("masked"), F.get("cat", F.lit(0)).alias("kind")
+
+
+@registered(f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL} select row_id, copy, ix, iy, {READ_SQL} from located join grid g on g.x = ix and g.y = iy cross join range(2) c(copy)")
+def reader_coords(spark, sf_dir):
+    """Every point twice: each request is answered."""
+    asked = points(spark, sf_dir).select("row_id", "x", "y", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("copy"))
+    return _reader(spark, sf_dir).read_coords(asked, "drop").select("row_id", "copy", "ix", "iy", *_read_columns())
+
+
+@registered(f"with {GRID_SQL} select o_orderkey, g.x as ix, g.y as iy, {READ_SQL} from orders join grid g on g.x = o_orderkey % 100 and g.y = o_custkey % 10")
+def reader_ix(spark, sf_dir):
+    """Orders that ask for the same pixel again and again."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % WIDTH).cast("int").alias("x"), (F.col("o_custkey") % 10).cast("int").alias("y"))
+    return _reader(spark, sf_dir).read_ix(asked).select("o_orderkey", "ix", "iy", *_read_columns())
+
+
 @registered(
     f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL}, f as (select row_id, ix, iy, {FOLD_SQL.format(id='row_id')} as fold from located where iy is not null)"
     " select row_id, ix, iy, fold, case when fold = 1 then 'test' else 'train' end as split,"

@@ -1,7 +1,8 @@
 """Models: a protocol for the user's own, and adapters over Spark ML.
 
 A model has ``fit(train, meta)``, ``predict(samples) -> DataFrame`` with columns
-``predictions_<label>``, and optionally ``score(df, meta) -> dict``.
+``predictions_<label>``, and optionally ``score(df, meta) -> dict``.  One that lasts also has
+``save(spark, folder)`` and the class method ``load(spark, folder)``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -81,6 +82,21 @@ class ForestModel:
         named = [F.col(f"predictions_{label}").cast(kind).alias(f"predictions_{label}") for label in self.fitted]
         return out.select(*samples.columns, *named)
 
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """A folder of Spark ML pipelines, one a label, with the metadata and options; replaces
+        what is there."""
+        for k, model in enumerate(self.fitted.values()):
+            model.write().overwrite().save(f"{folder}/label-{k}")
+        sidecar.save_metadata(spark, f"{folder}/training", self.meta)
+        sidecar.save_json(spark, f"{folder}/options", {"kind": self.kind, "trees": self.trees, "seed": self.seed, "strategy": self.strategy})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> ForestModel:
+        out = cls(**sidecar.load_json(spark, f"{folder}/options"))
+        out.meta = sidecar.load_metadata(spark, f"{folder}/training", Training)
+        out.fitted = {label: PipelineModel.load(f"{folder}/label-{k}") for k, label in enumerate(out.meta.targets.labels)}
+        return out
+
     def score(self, predicted: DataFrame, meta: Training) -> dict[str, float]:
         out = {}
         for k, label in enumerate(meta.targets.labels):
@@ -122,18 +138,34 @@ def train(spark: SparkSession, data: str, model, max_points: int | None = None)
     return model, model.score(model.predict(samples.where("split = 'test'")), meta)
 
 
-def train_rounds(spark: SparkSession, data: str, make: Callable[[int], object], rounds: int) -> tuple[dict, dict]:
-    """Fits a model a round and keeps the best of each metric, the latest of equals."""
-    best: dict[str, tuple[float, int]] = {}
-    models = {}
-    for step in range(rounds):
+def train_rounds(spark: SparkSession, data: str, make: Callable[[int], object], rounds: int, folder: str | None = None) -> tuple[dict, dict]:
+    """Fits a model a round and keeps the best of each metric, the latest of equals; scores that
+    are None or NaN never win, and a metric of no known direction is refused.
+
+    With a ``folder`` the best model of each metric is saved there under the metric's name, and
+    later calls go on after the last round that ended: its models compete with what is there.
+    Returns the best models met in this call, and (step, score) of each metric over all calls.
+    """
+    so_far = {"next": 0, "best": {}}
+    if folder and sidecar.has_json(spark, f"{folder}/rounds"):
+        so_far = sidecar.load_json(spark, f"{folder}/rounds")
+    best, models = so_far["best"], {}
+    for step in range(so_far["next"], so_far["next"] + rounds):
         model, got = train(spark, data, make(step))
         for metric, value in got.items():
-            larger = scores.LARGER_IS_BETTER.get(metric.split("_")[0], False)
-            signed = value if larger else -value
-            if metric not in best or signed >= best[metric][0]:
-                best[metric], models[metric] = (signed, step), model
-    return models, {m: {"step": s, "score": abs(v)} for m, (v, s) in best.items()}
+            direction = scores.LARGER_IS_BETTER.get(metric.split("_")[0])
+            if direction is None:
+                raise ValueError(f"whether a larger {metric} is better is not known")
+            if value is None or value != value:
+                continue
+            last = best.get(metric, {}).get("score")
+            if last is None or (value >= last if direction else value <= last):
+                if folder:
+                    model.save(spark, f"{folder}/{metric}")
+                best[metric], models[metric] = {"step": step, "score": value}, model
+        if folder:
+            sidecar.save_json(spark, f"{folder}/rounds", {"next": step + 1, "best": best})
+    return models, best
 
 
 def predict(spark: SparkSession, model, query: str, folder: str | None = None) -> DataFrame:

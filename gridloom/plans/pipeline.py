@@ -14,43 +14,62 @@ from gridloom.functions.grid import GridSpec, strip_bounds
 from gridloom.operators import folds, patches, pixels, stats
 from gridloom.sources import sidecar, tiff
 from gridloom.sources.sidecar import Categorical, Continuous, Features, Targets, Training
+from gridloom.sources.workspace import scratch_folder
 
 
 def import_rasters(spark: SparkSession, out: str, continuous: list[str] = (), categorical: list[str] = (), normalise: bool = True, ignore_crs: bool = False) -> Features:
-    """Files or folders of images into one feature table; two passes over the images."""
+    """Files or folders of images into one feature table.  Images are decoded once, into a
+    scratch table, which statistics, categories and the encoded table are made from."""
     found = {k: tiff.find_rasters(spark, *v) for k, v in (("continuous", continuous), ("categorical", categorical)) if v}
     if not found:
         raise tiff.NoRasters("neither continuous nor categorical images")
     headers = [tiff.read_header(p) for paths in found.values() for p in paths]
     grid = tiff.shared_grid(headers, ignore_crs)
     frames = {k: tiff.read_stack(spark, paths, k, ignore_crs) for k, paths in found.items()}
-    table = pixels.stacked(*frames.values())
-    features = describe(table, grid, *(bands_of(frames.get(k)) for k in ("continuous", "categorical")), normalise=normalise)
-    save_features(table, features, out, normalise)
+    table = _written(pixels.stacked(*frames.values()), "pixels")
+    bands = [bands_of(frames.get(k)) for k in ("continuous", "categorical")]
+    mapping = _written(stats.category_map(table, bands[1]), "categories") if bands[1] else None
+    features = describe(table, grid, *bands, normalise=normalise, mapping=mapping)
+    save_features(table, features, out, normalise, mapping)
     return features
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bands_of(df: DataFrame | None) -> list[str]:
     return [c for c in df.columns if c not in ("y", "x")] if df is not None else []
 
 
-def describe(table: DataFrame, grid: GridSpec, continuous: list[str], categorical: list[str], normalise: bool = True) -> Features:
-    """Metadata of a pixel table.  One row a band and the categories reach the driver."""
+def describe(table: DataFrame, grid: GridSpec, continuous: list[str], categorical: list[str], normalise: bool = True, mapping: DataFrame | None = None) -> Features:
+    """Metadata of a pixel table.  One row a band and the categories reach the driver, of which
+    there may be ``stats.MAX_BROADCAST_CATEGORIES``."""
     features = Features(grid)
     if continuous:
         rows = stats.band_stats(table, continuous)
         known = stats.check_deviation(rows) if normalise else {}
         features.continuous = {b: Continuous(*known.get(b, (None, None))) for b in continuous}
     if categorical:
-        arrays = {r.band: r for r in stats.category_arrays(stats.category_map(table, categorical)).collect()}
+        arrays = _arrays(mapping if mapping is not None else stats.category_map(table, categorical))
         features.categorical = {b: Categorical(list(arrays[b]["values"]), list(arrays[b]["counts"])) if b in arrays else Categorical() for b in categorical}
     return features
 
 
-def save_features(table: DataFrame, features: Features, out: str, normalise: bool = True) -> None:
+def _arrays(mapping: DataFrame) -> dict:
+    n = mapping.count()
+    if n > stats.MAX_BROADCAST_CATEGORIES:
+        raise ValueError(f"{n} categories are more than metadata can hold")
+    return {r.band: r for r in stats.category_arrays(mapping).collect()}
+
+
+def save_features(table: DataFrame, features: Features, out: str, normalise: bool = True, mapping: DataFrame | None = None) -> None:
     known = {b: c for b, c in features.continuous.items() if normalise and c.mean is not None}
     done = table.withColumns({b: ((F.col(f"`{b}`").cast("double") - c.mean) / c.sd).cast("float") for b, c in known.items()})
-    mapping = stats.category_map(table, list(features.categorical)) if features.categorical else None
+    if mapping is None and features.categorical:
+        mapping = stats.category_map(table, list(features.categorical))
     for b in features.categorical:
         done = stats.encoded(done, b, mapping)
     sidecar.save_table(done, out, features)
@@ -67,8 +86,8 @@ def import_targets(points: DataFrame, out: str, labels: list[str], kind: str = "
         chosen = stats.normalised(chosen, labels) if normalise else chosen
         meta.stats = {b: Continuous(*known.get(b, (None, None))) for b in labels}
     else:
-        mapping = stats.category_map(chosen, labels)
-        arrays = {r.band: r for r in stats.category_arrays(mapping).collect()}
+        mapping = _written(stats.category_map(chosen, labels), "categories")
+        arrays = _arrays(mapping)
         meta.maps = {b: Categorical(list(arrays[b]["values"]), list(arrays[b]["counts"])) if b in arrays else Categorical() for b in labels}
         for b in labels:
             chosen = stats.encoded(chosen, b, mapping)
@@ -143,21 +162,24 @@ class FeatureReader:
         return self.features.grid.crs
 
     def read(self, n: int | None = None, shuffle: bool = False, seed: int = 666) -> DataFrame:
-        """The first, or random, ``n`` pixels; None reads all and 0 none."""
-        if shuffle and n is not None:
-            chosen = pixels.sample_pixels(self.spark, self.features.grid, n, seed)
-        else:
+        """The first, or random, ``n`` pixels; None reads all and 0 none.  Shuffled rows come in
+        a random order."""
+        if not shuffle:
             chosen = pixels.take(pixels.all_pixels(self.spark, self.features.grid), n, "pixel")
-        return self.read_ix(chosen.select("x", "y"))
+            return self.read_ix(chosen.select("x", "y"))
+        chosen = pixels.all_pixels(self.spark, self.features.grid) if n is None else pixels.sample_pixels(self.spark, self.features.grid, n, seed)
+        return pixels.shuffled(self.read_ix(chosen.select("x", "y")), "pixel", seed)
 
     def read_ix(self, indices: DataFrame) -> DataFrame:
-        """By pixel columns (x, y)."""
+        """By pixel columns (x, y): one row for each row of ``indices``, with its other columns.
+        Pixels asked for repeatedly are read once."""
         w = self.features.grid.x.n
-        centres = pixels.positioned(indices, self.features.grid)
-        centres = centres.select((F.col("y").cast("long") * w + F.col("x")).alias("pixel"), F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy")
-        return gathered(centres.dropDuplicates(["pixel"]), self.table, self.features, "pixel")
+        asked = indices.withColumn("pixel", F.col("y").cast("long") * w + F.col("x"))
+        centres = pixels.positioned(asked.select("pixel", "x", "y").dropDuplicates(["pixel"]), self.features.grid)
+        read = gathered(centres.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy"), self.table, self.features, "pixel")
+        return asked.drop("x", "y").join(read, "pixel")
 
     def read_coords(self, points: DataFrame, outside: str = "error") -> DataFrame:
-        """By world columns (x, y)."""
+        """By world columns (x, y): one row for each point within the grid, with its other columns."""
         found = pixels.located(points, self.features.grid, "x", "y", outside)
-        return self.read_ix(found.select(F.col("ix").alias("x"), F.col("iy").alias("y")))
+        return self.read_ix(found.drop("x", "y").withColumnsRenamed({"ix": "x", "iy": "y"}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,14 +86,31 @@ def _place(path: str) -> str:
     return path.rstrip("/") + "_metadata"
 
 
+def save_json(spark: SparkSession, path: str, value) -> None:
+    """One small JSON line at ``path``, in any store that Spark writes to."""
+    text = json.dumps(value, default=str)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, path: str):
+    return json.loads("".join(r.value for r in spark.read.text(path).collect()))
+
+
+def has_json(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def save_metadata(spark: SparkSession, path: str, value) -> None:
     """Beside the table at ``path``; one small JSON line."""
-    text = json.dumps(value.to_dict(), default=str)
-    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(_place(path))
+    save_json(spark, _place(path), value.to_dict())
 
 
 def load_metadata(spark: SparkSession, path: str, kind):
-    return kind.from_dict(json.loads("".join(r.value for r in spark.read.text(_place(path)).collect())))
+    return kind.from_dict(load_json(spark, _place(path)))
 
 
 def save_table(df: DataFrame, path: str, value=None, partition_by: list[str] = (), sort: list[str] = ("y", "x")) -> None:

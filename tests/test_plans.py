@@ -106,6 +106,10 @@ def test_reader(spark, place):
     xy = spark.createDataFrame([(19, 14), (0, 0)], "x int, y int")
     corner = reader.read_ix(xy).orderBy("pixel").first()
     assert corner.cat_mask == [True, True, True, True, False, False, True, False, True]
+    again = spark.createDataFrame([(3, 4, "a"), (3, 4, "b"), (3, 4, "a")], "x int, y int, who string")
+    assert sorted(r.who for r in reader.read_ix(again).collect()) == ["a", "a", "b"]
+    order = [r.pixel for r in reader.read(None, True, 5).collect()]
+    assert sorted(order) == list(range(300)) != order
     pts = spark.createDataFrame([(19.5, 0.5), (99.0, 1.0)], "x double, y double")
     assert [r.pixel for r in reader.read_coords(pts, "drop").collect()] == [299]
 
@@ -132,6 +136,75 @@ def test_rounds_and_user_models(spark, place, tmp_path):
     assert out.agg(F.sum("p")).first()[0] == 90
 
 
+def test_images_are_decoded_once(spark, place, tmp_path, monkeypatch):
+    at, *_ = place
+    scans = []
+    plain = pipeline.tiff.read_stack
+
+    def counted(*args, **options):
+        df = plain(*args, **options)
+        seen = spark.sparkContext.accumulator(0)
+        scans.append((df.count(), seen))
+
+        def note(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        plain_names = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        return plain_names.mapInArrow(note, plain_names.schema).toDF(*df.columns)
+
+    monkeypatch.setattr(pipeline.tiff, "read_stack", counted)
+    pipeline.import_rasters(spark, str(tmp_path / "f"), [str(at / "con")], [str(at / "cat")])
+    assert [seen.value for _, seen in scans] == [n for n, _ in scans] == [300, 300]
+
+
+class Told:
+    """A model whose scores are told, one for each step."""
+
+    def __init__(self, *values):
+        self.values = dict(values)
+
+    def fit(self, train, meta):
+        return self
+
+    def predict(self, samples):
+        return samples
+
+    def score(self, predicted, meta):
+        return self.values
+
+    def save(self, spark, folder):
+        sidecar.save_json(spark, folder, self.values)
+
+
+def test_best_models_stay_between_runs(spark, place, tmp_path):
+    at, *_ = place
+    data, folder = str(at / "dcontinuous0"), str(tmp_path / "rounds")
+    runs = [Told(("mse_a", 5.0), ("r2_a", -2.0)), Told(("mse_a", 6.0), ("r2_a", -1.0)), Told(("mse_a", None), ("r2_a", float("nan"))), Told(("mse_a", 5.0), ("r2_a", -3.0))]
+    for _ in range(2):
+        _, best = model.train_rounds(spark, data, lambda step: runs[step], 2, folder)
+    assert best == {"mse_a": {"step": 3, "score": 5.0}, "r2_a": {"step": 1, "score": -1.0}}
+    assert sidecar.load_json(spark, f"{folder}/r2_a") == {"mse_a": 6.0, "r2_a": -1.0}
+    with pytest.raises(ValueError, match="not known"):
+        model.train_rounds(spark, data, lambda step: Told(("odd", 1.0)), 1)
+
+
+@pytest.mark.parametrize("kind,label", [("continuous", "value"), ("categorical", "class")])
+def test_models_last(spark, place, tmp_path, kind, label):
+    """Trained in one session, loaded in another: strip 5 of 10 is predicted alike."""
+    at, *_ = place
+    data = str(at / f"d{kind}{int(kind == 'categorical')}")
+    pipeline.extract_query(spark, str(at / "features"), str(tmp_path / "q"), 5, 10, int(kind == "categorical"))
+    fitted, _ = model.train(spark, data, model.ForestModel(trees=8))
+    want = sorted(map(tuple, model.predict(spark, fitted, str(tmp_path / "q")).select("pixel", f"predictions_{label}").collect()))
+    fitted.save(spark, str(tmp_path / "m"))
+    other = spark.newSession()
+    again = model.ForestModel.load(other, str(tmp_path / "m"))
+    assert again.meta == fitted.meta and again.trees == 8
+    assert sorted(map(tuple, model.predict(other, again, str(tmp_path / "q")).select("pixel", f"predictions_{label}").collect())) == want and len(want) > 0
+
+
 def test_command_line(spark, place, tmp_path):
     at, *_ = place
     run = lambda *a: cli.main([str(x) for x in a])
@@ -142,3 +215,7 @@ def test_command_line(spark, place, tmp_path):
     assert run("train-predict", "--data", tmp_path / "d", "--query", tmp_path / "q", "--trees", 5, "--scores", tmp_path / "s.json", "--out", tmp_path / "o") == 0
     assert "mse_value" in json.loads((tmp_path / "s.json").read_text()) and (tmp_path / "o" / "predictions_value_5of10.tif").exists()
     assert run("import-rasters", "--continuous", tmp_path / "q", "--out", tmp_path / "x") == 1
+    assert run("train", "--data", tmp_path / "d", "--trees", 5, "--rounds", 2, "--out", tmp_path / "m") == 0
+    assert run("predict", "--model", tmp_path / "m" / "mse_value", "--query", tmp_path / "q", "--out", tmp_path / "o2") == 0
+    assert (tmp_path / "o2" / "predictions_value_5of10.tif").exists()
+    assert run("predict", "--model", tmp_path / "none", "--query", tmp_path / "q", "--out", tmp_path / "o2") == 1
