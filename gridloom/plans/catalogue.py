@@ -414,8 +414,8 @@ def tfrecord_round_trip(spark, sf_dir):
         F.col("embedding").cast("array<float>").alias("con"), F.transform("embedding", lambda v: v.isNull()).alias("con_mask"), none.alias("cat"), none.cast("array<boolean>").alias("cat_mask"),
         F.array(F.col("label").cast("double")).alias("y"), F.col("vec_id").cast("int").alias("ix"), F.col("label").alias("iy"), F.col("vec_id").cast("double").alias("cx"), F.lit(0.0).alias("cy"),
     )
-    tfrecord.write_tfrecords(e, folder, "train").collect()  # one row a file
-    back = tfrecord.read_tfrecords(spark, folder, BANDS, 0, 1)
+    paths = [r.path for r in tfrecord.write_tfrecords(e, folder, "train").collect()]  # one row a file
+    back = tfrecord.read_tfrecords(spark, paths, BANDS, 0, 1)
     return back.select("ix", "iy", F.round(F.aggregate("con", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size("con").alias("n"))
 
 

@@ -1,4 +1,5 @@
-"""Point shapefiles: ``.shp`` points and ``.dbf`` records as a Spark data source.
+"""Point shapefiles: ``.shp`` points and ``.dbf`` records as a Spark data source.  Heights and
+measures of points are left out.
 
 Both files have records of fixed length, so tasks read ranges of records.  Rows are
 (row_id, x, y, a column for each requested field), in file order; ``shuffled`` orders them at
@@ -19,7 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.sources.tiff import open_file
 
-_POINT, _POINT_BYTES = 1, 28
+# The kinds of points, plain, with z and with a measure, and the bytes of a record.
+_POINT = 1
+_POINT_BYTES = {_POINT: 28, 11: 44, 21: 36}
 
 
 @dataclass
@@ -86,11 +89,12 @@ class PointShapefile(DataSource):
         if missing := [w for w in wanted if w not in known]:
             raise KeyError(f"no field {missing} among {list(known)}")
         with open_file(shp) as f:
-            if struct.unpack("<i", f.read_at(4, 32))[0] != _POINT:
-                raise ValueError(f"{shp} does not hold plain points")
-            if (f.size() - 100) // _POINT_BYTES != n:
-                raise ValueError(f"{shp} and its records differ in number")
-        return shp, n, head, size, [known[w] for w in wanted]
+            kind = struct.unpack("<i", f.read_at(4, 32))[0]
+            if kind not in _POINT_BYTES:
+                raise ValueError(f"{shp} does not hold points")
+            if (f.size() - 100) % _POINT_BYTES[kind] or (f.size() - 100) // _POINT_BYTES[kind] != n:
+                raise ValueError(f"{shp} holds null shapes, or differs from its records in number")
+        return (shp, _POINT_BYTES[kind]), n, head, size, [known[w] for w in wanted]
 
     def schema(self):
         fields = self.parts()[4]
@@ -103,7 +107,7 @@ class PointShapefile(DataSource):
 
 class _PointReader(DataSourceReader):
     def __init__(self, parts, schema, rows: int):
-        (self.shp, self.n, self.head, self.size, self.fields), self.schema, self.rows = parts, schema, rows
+        ((self.shp, self.bytes), self.n, self.head, self.size, self.fields), self.schema, self.rows = parts, schema, rows
 
     def partitions(self):
         return [Records(a, min(self.n, a + self.rows)) for a in range(0, self.n, self.rows)] or [Records(0, 0)]
@@ -111,9 +115,9 @@ class _PointReader(DataSourceReader):
     def read(self, part: Records):
         n = part.stop - part.start
         with open_file(self.shp) as f, open_file(self.shp[:-4] + ".dbf") as g:
-            points = f.read_at(n * _POINT_BYTES, 100 + part.start * _POINT_BYTES)
+            points = f.read_at(n * self.bytes, 100 + part.start * self.bytes)
             records = g.read_at(n * self.size, self.head + part.start * self.size)
-        xy = np.frombuffer(points, np.dtype([("head", ">i4", 2), ("kind", "<i4"), ("x", "<f8"), ("y", "<f8")]))
+        xy = np.frombuffer(points, np.dtype([("head", ">i4", 2), ("kind", "<i4"), ("x", "<f8"), ("y", "<f8"), ("rest", f"V{self.bytes - 28}")]))
         names = [s.name for s in self.schema.fields]
         arrow = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.DateType(): pa.date32(), T.StringType(): pa.string()}
         columns = [pa.array(np.arange(part.start, part.stop)), pa.array(xy["x"].astype("=f8")), pa.array(xy["y"].astype("=f8"))]
@@ -138,11 +142,12 @@ def read_points(spark: SparkSession, path: str, fields: list[str] | None = None,
     return df.withColumns({c: df[c].cast("float" if kind == "continuous" else "int") for c in labels})
 
 
-def encode_points(points: list[tuple[float, float]], fields: list[tuple[str, str, int, int]], records: list[tuple]) -> tuple[bytes, bytes]:
+def encode_points(points: list[tuple[float, float]], fields: list[tuple[str, str, int, int]], records: list[tuple], kind: int = _POINT) -> tuple[bytes, bytes]:
     """Bytes of a .shp and a .dbf file, for tests and small exports."""
-    body = b"".join(struct.pack(">ii", k + 1, 10) + struct.pack("<idd", _POINT, x, y) for k, (x, y) in enumerate(points))
+    more = bytes(_POINT_BYTES[kind] - 28)
+    body = b"".join(struct.pack(">ii", k + 1, (20 + len(more)) // 2) + struct.pack("<idd", kind, x, y) + more for k, (x, y) in enumerate(points))
     xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
-    shp = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, _POINT, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0) + body
+    shp = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, kind, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0) + body
     head = b"".join(n.encode().ljust(11, b"\0") + t.encode() + bytes(4) + bytes([size, dec]) + bytes(14) for n, t, size, dec in fields)
     rows = b"".join(b" " + b"".join(("" if v is None else f"{v:.{d}f}" if t in "NF" and d else str(v)).rjust(s).encode("latin-1")[:s] for v, (_, t, s, d) in zip(r, fields)) for r in records)
     size = 1 + sum(f[2] for f in fields)

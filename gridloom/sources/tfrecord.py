@@ -7,10 +7,12 @@ Parquet is the native form of extracted data; this is for exchange with other to
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,40 @@ def _table() -> list[int]:
 _CRC = _table()
 
 
+_LANE = 1024  # bytes of a lane of long data
+
+
+@cache
+def _past_a_lane() -> list[list[int]]:
+    """What a lane of zeros makes of each byte of a state."""
+    table = np.array(_CRC, np.uint32)
+    c = (np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]).ravel()
+    for _ in range(_LANE):
+        c = table[c & 255] ^ (c >> 8)
+    return c.reshape(4, 256).tolist()
+
+
+def _crc_of_lanes(data: bytes) -> int:
+    """The state after long data: its lanes side by side, put together by linearity."""
+    x = np.frombuffer(bytes(-len(data) % _LANE) + data, np.uint8).copy()
+    x[-len(data) % _LANE :][:4] ^= 255  # the state of all ones at the start
+    table, c = np.array(_CRC, np.uint32), np.zeros(len(x) // _LANE, np.uint32)
+    for column in np.ascontiguousarray(x.reshape(-1, _LANE).T):
+        c = table[(c ^ column) & 255] ^ (c >> 8)
+    a, b, d, e = _past_a_lane()
+    out = 0
+    for lane in c.tolist():
+        out = a[out & 255] ^ b[out >> 8 & 255] ^ d[out >> 16 & 255] ^ e[out >> 24] ^ lane
+    return out
+
+
 def masked_crc(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC[(c ^ b) & 255] ^ (c >> 8)
+    if len(data) >= 4 * _LANE:
+        c = _crc_of_lanes(data)
+    else:
+        c = 0xFFFFFFFF
+        for b in data:
+            c = _CRC[(c ^ b) & 255] ^ (c >> 8)
     c ^= 0xFFFFFFFF
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
@@ -117,8 +149,8 @@ def _arrays(batch: pa.RecordBatch, targets: str) -> dict[str, bytes]:
 def write_tfrecords(samples: DataFrame, folder: str, tag: str, targets: str = "<f4", batch: int = 1000) -> DataFrame:
     """Each task writes files ``<tag>.<number>.<unique>.tfrecord``; returns (path, rows).
 
-    ``samples`` has the columns of SCHEMA.  A retried task writes under new names, so use the
-    returned paths, or a folder of their own, to read back.
+    ``samples`` has the columns of SCHEMA.  A retried or repeated task writes under new names
+    and leaves its first files behind, so read back the returned paths and not the folder.
     """
     names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
 
@@ -156,7 +188,7 @@ class File(InputPartition):
 
 
 class TfRecords(DataSource):
-    """Options: ``path`` (a folder), ``con`` and ``cat`` (values of a row), ``targets`` (number
+    """Options: ``paths`` (JSON list of files) or ``path`` (a folder, all of whose files count), ``con`` and ``cat`` (values of a row), ``targets`` (number
     of targets) and ``target_type`` (numpy name).  One task reads one file."""
 
     @classmethod
@@ -167,7 +199,7 @@ class TfRecords(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _RecordReader({k: self.options[k] for k in ("path", "con", "cat", "targets")} | {"target_type": self.options.get("target_type", "<f4")})
+        return _RecordReader({k: self.options[k] for k in ("path", "paths", "con", "cat", "targets") if k in self.options} | {"target_type": self.options.get("target_type", "<f4")})
 
 
 class _RecordReader(DataSourceReader):
@@ -175,13 +207,18 @@ class _RecordReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
+        if "paths" in self.options:
+            return [File(p) for p in sorted(json.loads(self.options["paths"]))]
         files, inner = fs.FileSystem.from_uri(self.options["path"])
         found = files.get_file_info(fs.FileSelector(inner))
         return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".tfrecord")]
 
     def read(self, part: File):
-        files, _ = fs.FileSystem.from_uri(self.options["path"])
-        with files.open_input_file(part.path) as f:
+        if "paths" in self.options:
+            files, inner = fs.FileSystem.from_uri(part.path)
+        else:
+            files, inner = fs.FileSystem.from_uri(self.options["path"])[0], part.path
+        with files.open_input_file(inner) as f:
             raw = zlib.decompress(f.read())
         widths = {"con": int(self.options["con"]), "cat": int(self.options["cat"]), "y": int(self.options["targets"])}
         for record in frames(raw):
@@ -206,6 +243,8 @@ class _RecordReader(DataSourceReader):
             )
 
 
-def read_tfrecords(spark: SparkSession, folder: str, con: int, cat: int, targets: int, target_type: str = "<f4") -> DataFrame:
+def read_tfrecords(spark: SparkSession, place: str | list[str], con: int, cat: int, targets: int, target_type: str = "<f4") -> DataFrame:
+    """Samples of a list of files, or of all files of a folder."""
     spark.dataSource.register(TfRecords)
-    return spark.read.format("tfrecordbatches").option("con", con).option("cat", cat).option("targets", targets).option("target_type", target_type).load(folder)
+    reader = spark.read.format("tfrecordbatches").option("con", con).option("cat", cat).option("targets", targets).option("target_type", target_type)
+    return reader.load(place) if isinstance(place, str) else reader.option("paths", json.dumps(place)).load()

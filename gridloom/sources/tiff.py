@@ -1,4 +1,4 @@
-"""Baseline TIFF with georeferencing: a small codec, a Spark data source and a writer.
+"""TIFF and BigTIFF with georeferencing: a small codec, a Spark data source and a writer.
 
 Reading: ``spark.read.format("rasterstack")`` over files of one grid gives rows (y, x, a
 column for each band).  Tasks read ranges of rows and only the strips or tiles that hold them.
@@ -24,12 +24,14 @@ from gridloom.functions.values import MISSING
 
 # Tag numbers and field sizes of the TIFF and GeoTIFF formats.
 TAGS = {
-    256: "width", 257: "height", 258: "bits", 259: "compression", 273: "strip_offsets", 277: "samples", 278: "rows_per_strip",
+    254: "subfile", 256: "width", 257: "height", 258: "bits", 259: "compression", 273: "strip_offsets", 277: "samples", 278: "rows_per_strip",
     279: "strip_counts", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets",
-    325: "tile_counts", 339: "format", 33550: "pixel_scale", 33922: "tiepoint", 34735: "geokeys", 42113: "nodata",
+    325: "tile_counts", 339: "format", 33550: "pixel_scale", 33922: "tiepoint", 34264: "transform", 34735: "geokeys",
+    34736: "geodoubles", 34737: "geoascii", 42113: "nodata",
 }
-FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+MASK, RASTER_TYPE, POINT = 4, 1025, 2
 
 
 class MismatchedStack(ValueError):
@@ -48,12 +50,13 @@ def open_file(path: str):
 
 @dataclass
 class Tiff:
-    """Header of one image."""
+    """Header of one image, and that of the mask in its file, if there is one."""
 
     path: str
     tags: dict
     order: str = "<"
     names: list[str] = field(default_factory=list)
+    mask: Tiff | None = None
 
     @property
     def width(self) -> int:
@@ -69,8 +72,10 @@ class Tiff:
 
     @property
     def dtype(self) -> np.dtype:
-        kind = {1: "u", 2: "i", 3: "f"}[self.tags.get("format", [1])[0]]
-        return np.dtype(f"{self.order}{kind}{self.tags.get('bits', [1])[0] // 8}")
+        kind, bits = {1: "u", 2: "i", 3: "f"}[self.tags.get("format", [1])[0]], self.tags.get("bits", [1])[0]
+        if bits not in (1, 8, 16, 32, 64):
+            raise ValueError(f"{self.path}: samples of {bits} bits are not supported")
+        return np.dtype(f"{self.order}{kind}{max(8, bits) // 8}")
 
     @property
     def nodata(self) -> float | None:
@@ -79,10 +84,32 @@ class Tiff:
 
     @property
     def grid(self) -> GridSpec:
-        sx, sy = self.tags.get("pixel_scale", (1.0, 1.0))[:2]
-        i, j, _, x, y, _ = self.tags.get("tiepoint", (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))[:6]
-        crs = {"geokeys": ",".join(map(str, self.tags["geokeys"]))} if "geokeys" in self.tags else {}
-        return GridSpec(Axis(x - i * sx, sx, self.width), Axis(y + j * sy, -sy, self.height), crs)
+        """Edges of pixels, also where the file tells the places of their centres.  A rotated or
+        sheared image has no axes and is refused."""
+        if "transform" in self.tags:
+            sx, xy, _, x, yx, sy, _, y = self.tags["transform"][:8]
+            if xy or yx:
+                raise ValueError(f"{self.path} is rotated or sheared")
+        else:
+            sx, sy = self.tags.get("pixel_scale", (1.0, 1.0))[:2]
+            i, j, _, x, y, _ = self.tags.get("tiepoint", (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))[:6]
+            sy = -sy
+            x, y = x - i * sx, y - j * sy
+        keys, crs = list(self.tags.get("geokeys", ())), {}
+        for k in range(4, len(keys), 4):
+            if keys[k] == RASTER_TYPE and keys[k + 3] == POINT:
+                x, y, keys[k + 3] = x - sx / 2, y - sy / 2, 1
+        if keys:
+            crs["geokeys"] = ",".join(map(str, keys))
+        if "geodoubles" in self.tags:
+            crs["geodoubles"] = ",".join(map(repr, self.tags["geodoubles"]))
+        if "geoascii" in self.tags:
+            crs["geoascii"] = b"".join(self.tags["geoascii"]).rstrip(b"\0").decode("latin-1")
+        return GridSpec(Axis(x, sx, self.width), Axis(y, sy, self.height), crs)
+
+    def hidden_rows(self, start: int, stop: int) -> np.ndarray | None:
+        """Cells that the mask hides, (rows, width, 1 or samples), or None without a mask."""
+        return self.mask.read_rows(start, stop) == 0 if self.mask else None
 
     @property
     def block_rows(self) -> int:
@@ -111,7 +138,8 @@ class Tiff:
         return out
 
     def _block(self, raw: bytes, rows: int, width: int, deep: int) -> np.ndarray:
-        how, size = self.tags.get("compression", [NONE])[0], rows * width * deep * self.dtype.itemsize
+        one = self.tags.get("bits", [1])[0] == 1
+        how, size = self.tags.get("compression", [NONE])[0], rows * (-(-width * deep // 8) if one else width * deep * self.dtype.itemsize)
         if how in (DEFLATE, OLD_DEFLATE):
             raw = zlib.decompress(raw)
         elif how == LZW:
@@ -120,9 +148,19 @@ class Tiff:
             raw = unpack_bits(raw, size)
         elif how != NONE:
             raise ValueError(f"{self.path}: compression {how} is not supported")
-        x = np.frombuffer(raw[:size], self.dtype).reshape(rows, width, deep).astype(self.dtype.newbyteorder("="))
-        if self.tags.get("predictor", [1])[0] == 2:
+        predictor, native = self.tags.get("predictor", [1])[0], self.dtype.newbyteorder("=")
+        if one:
+            x = np.unpackbits(np.frombuffer(raw[:size], np.uint8).reshape(rows, -1), axis=1)[:, : width * deep].reshape(rows, width, deep)
+        elif predictor == 3:  # bytes of a row by significance, each the difference to the one before
+            flat = np.cumsum(np.frombuffer(raw[:size], np.uint8).reshape(rows, -1, deep), axis=1, dtype=np.uint8)
+            planes = flat.reshape(rows, self.dtype.itemsize, width * deep).transpose(0, 2, 1)
+            x = np.ascontiguousarray(planes).view(self.dtype.newbyteorder(">")).reshape(rows, width, deep).astype(native)
+        else:
+            x = np.frombuffer(raw[:size], self.dtype).reshape(rows, width, deep).astype(native)
+        if predictor == 2:
             x = np.cumsum(x, axis=1, dtype=x.dtype)
+        elif predictor not in (1, 3):
+            raise ValueError(f"{self.path}: predictor {predictor} is not supported")
         return x
 
 
@@ -169,28 +207,44 @@ def unpack_lzw(raw: bytes, size: int) -> bytes:
 
 
 def read_header(path: str) -> Tiff:
+    """The first image of a file, classic or big, and the mask of its size, if there is one."""
     with open_file(path) as f:
-        head = f.read_at(8, 0)
+        head = f.read_at(16, 0)
         order = {b"II": "<", b"MM": ">"}.get(head[:2])
-        if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
-            raise ValueError(f"{path} is not a baseline TIFF file")
-        at = struct.unpack(order + "I", head[4:])[0]
-        n = struct.unpack(order + "H", f.read_at(2, at))[0]
-        tags, entries = {}, f.read_at(12 * n, at + 2)
-        for k in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", entries[12 * k : 12 * k + 8])
-            if tag not in TAGS or kind not in FIELDS:
-                continue
-            form = FIELDS[kind]
-            size = struct.calcsize(form) * count
-            raw = entries[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else f.read_at(size, struct.unpack(order + "I", entries[12 * k + 8 : 12 * k + 12])[0])
-            tags[TAGS[tag]] = struct.unpack(f"{order}{count}{form}", raw)
-    image = Tiff(path, tags, order)
+        version = struct.unpack(order + "H", head[2:4])[0] if order else None
+        if version not in (42, 43):
+            raise ValueError(f"{path} is not a TIFF file")
+        big, found, seen = version == 43, [], set()
+        at = struct.unpack(order + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
+        while at and at not in seen:
+            seen.add(at)
+            tags, at = _directory(f, order, big, at)
+            found.append(Tiff(path, tags, order))
+    image = found[0]
+    masks = [im for im in found[1:] if im.tags.get("subfile", [0])[0] == MASK and (im.width, im.height) == (image.width, image.height)]
+    image.mask = masks[0] if masks else None
     base = path.rstrip("/").rpartition("/")[2].rpartition(".")[0].replace(".", "")
     image.names = [base] if image.samples == 1 else [f"{base}.band{k + 1}" for k in range(image.samples)]
     return image
 
 
+def _directory(f, order: str, big: bool, at: int) -> tuple[dict, int]:
+    """Tags of one directory, and where the next one is."""
+    head, size, many, offset = (8, 20, "Q", "Q") if big else (2, 12, "I", "I")
+    n = struct.unpack(order + ("Q" if big else "H"), f.read_at(head, at))[0]
+    entries, tags, room = f.read_at(size * n, at + head), {}, struct.calcsize(offset)
+    for k in range(n):
+        entry = entries[size * k : size * (k + 1)]
+        tag, kind, count = struct.unpack(order + "HH" + many, entry[:-room])
+        if tag not in TAGS or kind not in FIELDS:
+            continue
+        form = f"{order}{count}{FIELDS[kind]}"
+        length = struct.calcsize(form)
+        raw = entry[-room:][:length] if length <= room else f.read_at(length, struct.unpack(order + offset, entry[-room:])[0])
+        tags[TAGS[tag]] = struct.unpack(form, raw)
+    return tags, struct.unpack(order + offset, f.read_at(room, at + head + size * n))[0]
+
+
 def encode_tiff(values: np.ndarray, grid: GridSpec, nodata=None, rows_per_strip: int = 16, compression: int = DEFLATE, tile: int | None = None) -> bytes:
     """Bytes of an image (height, width[, samples]) in strips or square tiles."""
     x = values if values.ndim == 3 else values[:, :, None]
@@ -224,6 +278,10 @@ def encode_tiff(values: np.ndarray, grid: GridSpec, nodata=None, rows_per_strip:
     tags[33922] = ("d", [0.0, 0.0, 0.0, grid.x.origin, grid.y.origin, 0.0])
     if grid.crs.get("geokeys"):
         tags[34735] = ("H", [int(k) for k in grid.crs["geokeys"].split(",")])
+    if grid.crs.get("geodoubles"):
+        tags[34736] = ("d", [float(v) for v in grid.crs["geodoubles"].split(",")])
+    if grid.crs.get("geoascii"):
+        tags[34737] = ("c", [bytes([c]) for c in grid.crs["geoascii"].encode("latin-1") + b"\0"])
     if nodata is not None:
         tags[42113] = ("c", [bytes([c]) for c in repr(nodata).encode() + b"\0"])
     numbers = {v: k for k, v in FIELDS.items()}
@@ -323,12 +381,14 @@ class _StackReader(DataSourceReader):
             w = self.images[0].width
             columns = [pa.array(np.repeat(np.arange(a, b, dtype=np.int32), w)), pa.array(np.tile(np.arange(w, dtype=np.int32), b - a))]
             for im in self.images:
-                cells, nodata = im.read_rows(a, b), im.nodata
+                cells, nodata, hidden = im.read_rows(a, b), im.nodata, im.hidden_rows(a, b)
                 for k in range(im.samples):
                     v = cells[:, :, k].ravel()
                     gone = np.isnan(v) if v.dtype.kind == "f" else np.zeros(len(v), bool)
                     if nodata is not None and not np.isnan(nodata):
                         gone |= v == np.asarray(nodata).astype(v.dtype)
+                    if hidden is not None:
+                        gone |= hidden[:, :, min(k, hidden.shape[2] - 1)].ravel()
                     sentinel = MISSING["int" if target is np.int32 else "float"]
                     out = np.where(gone, 0, v).astype(target)
                     if (out == target(sentinel)).any():
@@ -420,7 +480,8 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
     the missing value.  Each task writes whole files, so a mosaic of any size is written in
     parallel; by default a file holds as many rows as make 32 MB.
 
-    Returns (label, path, rows).  A block that lacks pixels is an error.
+    Returns (label, path, rows).  A block that lacks pixels is an error, as is a whole number
+    of over 32 bits and a value that is itself the missing value.
     """
     kinds = dict(pixels.dtypes)
     bad = [c for c in labels if kinds.get(c) not in ("float", "double", "int", "smallint", "tinyint", "bigint")]
@@ -439,6 +500,8 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
         dtype = np.dtype(types[label])
         nodata = MISSING["int" if dtype.kind == "i" else "float" if dtype.itemsize == 4 else "double"]
         v = pdf["v"].to_numpy()
+        if dtype.kind == "i" and (np.abs(v[~np.isnan(v)]) >= 1 << 31).any() or (v == float(nodata)).any():
+            raise ValueError(f"{label}: a value is the missing value, or does not fit {dtype}")
         image = np.empty((h, grid.x.n), dtype)
         image[pdf["y"].to_numpy() - first, pdf["x"].to_numpy()] = np.where(np.isnan(v), nodata, v).astype(dtype)
         part = GridSpec(grid.x, Axis(first * grid.y.step + grid.y.origin, grid.y.step, h), grid.crs)

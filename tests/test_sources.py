@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +93,104 @@ def test_stack(spark, tmp_path):
     assert dict(cat.dtypes)["cat"] == "int" and {r.cat for r in cat.select("cat").distinct().collect()} == {None, 7, 14}
 
 
+def raw_tiff(*directories, big=False, order="<"):
+    """Bytes of a file from dictionaries of tags, (field type, values); blocks are given as bytes
+    under ``data`` and become one strip."""
+    numbers = {v: k for k, v in tiff.FIELDS.items() if k not in (13, 18)}
+    many, room = ("Q", 8) if big else ("I", 4)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "H", 43 if big else 42) + (struct.pack(order + "HH", 8, 0) if big else b"")
+    body, links = bytearray(head), [len(head)]
+    body += bytes(room)
+    for tags in directories:
+        tags, data = dict(tags), tags["data"]
+        del tags["data"]
+        tags[273], tags[279] = (many, [len(body)]), (many, [len(data)])
+        body += data
+        entries = b""
+        for tag in sorted(tags):
+            form, items = tags[tag]
+            raw = struct.pack(f"{order}{len(items)}{form}", *items)
+            if len(raw) > room:
+                at = len(body)
+                body += raw
+                raw = struct.pack(order + many, at)
+            entries += struct.pack(order + "HH" + many, tag, numbers[form], len(items)) + raw.ljust(room, b"\0")
+        body[links[-1] : links[-1] + room] = struct.pack(order + many, len(body))
+        body += struct.pack(order + ("Q" if big else "H"), len(tags)) + entries
+        links.append(len(body))
+        body += bytes(room)
+    return bytes(body)
+
+
+def plain_tags(v, kind, data, **more):
+    h, w = v.shape[:2]
+    return {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [v.dtype.itemsize * 8] * (v.shape[2] if v.ndim == 3 else 1)), 277: ("H", [v.shape[2] if v.ndim == 3 else 1]), 278: ("I", [h]), 339: ("H", [kind]), "data": data, **{int(k[1:]): x for k, x in more.items()}}
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_big_files_and_byte_orders(tmp_path, big, order):
+    v = np.arange(84, dtype="f8").reshape(7, 12)
+    (tmp_path / "a.tif").write_bytes(raw_tiff(plain_tags(v, 3, v.astype(order + "f8").tobytes()), big=big, order=order))
+    assert (tiff.read_header(str(tmp_path / "a.tif")).read_rows(1, 6)[:, :, 0] == v[1:6]).all()
+
+
+@pytest.mark.parametrize("dtype", ["f4", "f8"])
+@pytest.mark.parametrize("bands", [1, 3])
+def test_floating_point_predictor(tmp_path, dtype, bands):
+    v = np.random.default_rng(1).normal(0, 50, (7, 12, bands)).astype(dtype)
+    rows = []
+    for row in v:
+        planes = row.reshape(-1).astype(">" + dtype).view(np.uint8).reshape(12 * bands, -1).T.reshape(-1, bands)
+        rows.append(np.diff(planes, axis=0, prepend=np.zeros((1, bands), np.uint8)).astype(np.uint8).tobytes())
+    data = zlib.compress(b"".join(rows))
+    path = tmp_path / "a.tif"
+    path.write_bytes(raw_tiff(plain_tags(v, 3, data, t259=("H", [8]), t317=("H", [3]))))
+    assert (tiff.read_header(str(path)).read_rows(0, 7) == v).all()
+    path.write_bytes(raw_tiff(plain_tags(v, 3, v.tobytes(), t317=("H", [9]))))
+    with pytest.raises(ValueError, match="predictor 9"):
+        tiff.read_header(str(path)).read_rows(0, 7)
+
+
+def test_masks_hide_cells(spark, tmp_path):
+    v = np.arange(84, dtype="<f4").reshape(7, 12)
+    shown = np.random.default_rng(2).integers(0, 2, (7, 12), dtype=np.uint8)
+    overview = plain_tags(v[:3, :6], 3, v[:3, :6].tobytes(), t254=("I", [1]))
+    mask = plain_tags(shown, 1, zlib.compress(np.packbits(shown, axis=1).tobytes()), t254=("I", [4]), t259=("H", [8])) | {258: ("H", [1])}
+    (tmp_path / "a.tif").write_bytes(raw_tiff(plain_tags(v, 3, v.tobytes()), overview, mask))
+    got = {(r.y, r.x): r.a for r in tiff.read_stack(spark, [str(tmp_path / "a.tif")], rows=2).collect()}
+    assert got == {(y, x): float(v[y, x]) if shown[y, x] else None for y in range(7) for x in range(12)}
+
+
+def test_transforms_and_places(tmp_path):
+    v = np.zeros((7, 12), "<f4")
+    transform = lambda a, b, c, d, e, f: ("d", [a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])
+    path = tmp_path / "a.tif"
+    path.write_bytes(raw_tiff(plain_tags(v, 3, v.tobytes(), t34264=transform(0.5, 0.0, 100.0, 0.0, -0.25, -20.0))))
+    assert tiff.read_header(str(path)).grid == GridSpec(GRID.x, GRID.y)
+    path.write_bytes(raw_tiff(plain_tags(v, 3, v.tobytes(), t34264=transform(0.5, 0.1, 100.0, 0.0, -0.25, -20.0))))
+    with pytest.raises(ValueError, match="rotated"):
+        tiff.read_header(str(path)).grid
+    # Places of centres: edges lie half a pixel before them.
+    point = {"t33550": ("d", [0.5, 0.25, 0.0]), "t33922": ("d", [0.0, 0.0, 0.0, 100.25, -20.125, 0.0]), "t34735": ("H", [1, 1, 0, 1, 1025, 0, 1, 2])}
+    path.write_bytes(raw_tiff(plain_tags(v, 3, v.tobytes(), **point)))
+    assert tiff.read_header(str(path)).grid == GridSpec(GRID.x, GRID.y, {"geokeys": "1,1,0,1,1025,0,1,1"})
+
+
+def test_all_keys_of_the_coordinate_system_stay(tmp_path):
+    crs = {"geokeys": "1,1,0,2,1026,34737,6,0,2057,34736,1,0", "geodoubles": "6378137.0,298.25", "geoascii": "GDA94|"}
+    path = write(tmp_path / "a.tif", np.zeros((7, 12), "<f4"), GridSpec(GRID.x, GRID.y, crs))
+    assert tiff.read_header(path).grid.crs == crs
+
+
+def test_values_that_do_not_fit_are_refused(spark, tmp_path):
+    df = spark.range(84).select((F.col("id") % 12).cast("int").alias("x"), F.floor(F.col("id") / 12).cast("int").alias("y"), F.col("id").alias("p"), F.when(F.col("id") != 5, F.col("id") + 5_000_000_000).alias("q"))
+    out = tiff.write_rasters(df, GRID, str(tmp_path), ["p"]).first()
+    assert tiff.read_header(out.path).read_rows(0, 7).ravel().tolist() == list(range(84))
+    with pytest.raises(Exception, match="does not fit"):
+        tiff.write_rasters(df, GRID, str(tmp_path), ["q"]).collect()
+
+
 def test_stack_errors(spark, tmp_path):
     a = np.zeros((7, 12), "<f4")
     one = write(tmp_path / "a.tif", a)
@@ -158,6 +259,33 @@ def test_points(spark, tmp_path):
         shapefile.read_points(spark, path, ["other"]).count()
 
 
+@pytest.mark.parametrize("kind", [11, 21])
+def test_points_with_heights_and_measures(spark, tmp_path, kind):
+    points = [(k * 0.5, -k * 0.25) for k in range(9)]
+    shp, dbf = shapefile.encode_points(points, [("kind", "N", 4, 0)], [(k,) for k in range(9)], kind)
+    (tmp_path / "p.shp").write_bytes(shp)
+    (tmp_path / "p.dbf").write_bytes(dbf)
+    rows = shapefile.read_points(spark, str(tmp_path / "p.shp")).orderBy("row_id").collect()
+    assert [(r.x, r.y) for r in rows] == points and [r.kind for r in rows] == list(range(9))
+
+
+def test_long_checksums_equal_short_ones(monkeypatch):
+    for n in (4096, 4097, 5000, 10_240, 10_241):
+        data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+        fast = tfrecord.masked_crc(data)
+        with monkeypatch.context() as m:
+            m.setattr(tfrecord, "_LANE", 1 << 30)
+            assert tfrecord.masked_crc(data) == fast
+
+
+def test_files_of_repeated_tasks_are_left_out(spark, tmp_path):
+    df = spark.createDataFrame([([1.0], [False], [], [], [float(k)], k, k, 0.0, 0.0) for k in range(50)], tfrecord.SCHEMA)
+    tfrecord.write_tfrecords(df, str(tmp_path / "t"), "train").collect()  # an attempt whose rows are lost
+    paths = [r.path for r in tfrecord.write_tfrecords(df, str(tmp_path / "t"), "train").collect()]
+    assert tfrecord.read_tfrecords(spark, str(tmp_path / "t"), 1, 0, 1).count() == 100
+    assert sorted(r.ix for r in tfrecord.read_tfrecords(spark, paths, 1, 0, 1).collect()) == list(range(50))
+
+
 def test_tfrecords(spark, tmp_path):
     rows = [([1.5, None], [False, True], [k, 0], [False, False], [float(k)], k, k + 1, k / 2, -1.0) for k in range(2500)]
     df = spark.createDataFrame(rows, tfrecord.SCHEMA).repartition(3)
