@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from gridloom.plans import model, pipeline
+from gridloom.shipping import ship
 from gridloom.sources import shapefile
 
 
@@ -67,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    ship(spark)
     if a.command == "import-rasters":
         pipeline.import_rasters(spark, a.out, a.continuous, a.categorical, a.normalise, a.ignore_crs)
     elif a.command == "import-targets":

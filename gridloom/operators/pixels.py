@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from gridloom.functions.grid import GridSpec, pixel_index, pixel_position, strip
 
 #: More points than this are not drawn at once.
 MAX_SAMPLE = 10_000_000
+#: Batches of which one range's offsets are summed up in one place.
+GROUP = 100_000
 
 
 def all_pixels(spark: SparkSession, grid: GridSpec, strip: int = 1, strips: int = 1) -> DataFrame:
@@ -39,7 +43,17 @@ def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 666, arithmetic:
     """Exactly ``n`` rows without replacement, the same ones however ``df`` is partitioned."""
     if n > MAX_SAMPLE:
         raise ValueError(f"at most {MAX_SAMPLE} rows can be sampled")
-    return df.orderBy(keyed_order(id_col, seed, arithmetic), id_col).limit(n)
+    order = keyed_order(id_col, seed, arithmetic)
+    low, high = (0, 1 << 32) if arithmetic else (-(1 << 63), 1 << 63)
+    whole = df.count()
+    # Orders are even over their range: below this share of it lie n rows, but with a chance of
+    # 1e-15; if there are fewer after all, all rows are sorted.
+    share = (n + 8 * sqrt(n) + 64) / max(whole, 1)
+    if share < 0.5:
+        few = df.where(order < F.lit(int(low + share * (high - low))))
+        if few.count() >= n:
+            df = few
+    return df.orderBy(order, id_col).limit(n)
 
 
 def sample_pixels(spark: SparkSession, grid: GridSpec, n: int, seed: int = 666) -> DataFrame:
@@ -75,13 +89,18 @@ def batched(df: DataFrame, size: int, id_col: str) -> DataFrame:
 
 
 def batch_ranges(df: DataFrame, size: int, id_col: str) -> DataFrame:
-    """One row per batch: its rows, and its half-open range in the stacked rows.  The offsets
-    sum over batches, of which there are far fewer than rows."""
+    """One row per batch: its rows, and its half-open range in the stacked rows.
+
+    Batches sum up within ranges of GROUP batches each; only the ranges' totals pass one window.
+    """
     from pyspark.sql import Window as W
 
-    counts = batched(df, size, id_col).groupBy("batch").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("batch", "n", before.alias("start"), (before + F.col("n")).alias("stop"))
+    counts = batched(df, size, id_col).groupBy("batch").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("batch") / GROUP))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
+    earlier = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("group", earlier("total", W.orderBy("group")).alias("base"))
+    placed = counts.join(bases, "group").withColumn("start", F.col("base") + earlier("n", W.partitionBy("group").orderBy("batch")))
+    return placed.select("batch", "n", "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
 def located(points: DataFrame, grid: GridSpec, x_col: str, y_col: str, outside: str = "error") -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 LARGER_IS_BETTER = {"accuracy": True, "r2": True, "f1": True, "mse": False, "loss": False, "nll": False}
 
 
+#: Steps of one range of ``running_best``.
+STEPS = 100_000
+
+
 def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"), F.count(F.col(actual) == F.col(predicted)).alias("n"))
 
@@ -52,6 +56,15 @@ def best_scores(scores: DataFrame, directions: dict[str, bool] | None = None) ->
 
 
 def running_best(scores: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
-    """Each step with ``kept``: whether its model replaces the best so far of its metric."""
-    before = F.max(_signed(directions)).over(W.partitionBy("metric").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
-    return scores.withColumn("kept", F.coalesce(_signed(directions) >= before, F.lit(True)))
+    """Each step with ``kept``: whether its model replaces the best so far of its metric.
+
+    Best scores of ranges of STEPS steps run on over the ranges, and steps within their range,
+    so that a metric of very many steps is not one task's.
+    """
+    signed = scores.withColumns({"_signed": _signed(directions), "_range": F.floor(F.col("step") / STEPS)})
+    before = lambda value, w: F.max(value).over(w.rowsBetween(W.unboundedPreceding, -1))
+    ranges = signed.groupBy("metric", "_range").agg(F.max("_signed").alias("_best"))
+    ranges = ranges.select(F.col("metric").alias("_metric"), F.col("_range").alias("_at"), before("_best", W.partitionBy("metric").orderBy("_range")).alias("_base"))
+    joined = signed.join(ranges, F.col("metric").eqNullSafe(F.col("_metric")) & F.col("_range").eqNullSafe(F.col("_at")))
+    best = F.greatest(F.col("_base"), before("_signed", W.partitionBy("metric", "_range").orderBy("step")))
+    return joined.select(*scores.columns, F.coalesce(F.col("_signed") >= best, F.lit(True)).alias("kept"))

@@ -98,7 +98,9 @@ def band_stats_long(spark, sf_dir):
 
 @registered("select vec_id, cast(unnest(range(64)) as int) as band, unnest(embedding) as value from embeddings")
 def band_unpivot(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("band", "value"))
+    bands = [str(k) for k in range(BANDS)]
+    stack = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).alias(b) for k, b in enumerate(bands)])
+    return stats.unpivoted(stack, ["vec_id"], bands).withColumn("band", F.col("band").cast("int"))
 
 
 @registered(f"with {GRID_SQL} select 'event_type' as band, event_type as value, cast(dense_rank() over (order by event_type) - 1 as int) as code, count(*) as n from grid group by event_type")
@@ -130,6 +132,28 @@ def value_impute(spark, sf_dir):
     return grid(spark, sf_dir).select("event_id", values.impute(F.col("value"), -1.0).alias("value"))
 
 
+@registered("select vec_id, round(list_sum(list_transform(range(64), lambda i: case when (vec_id + i) % 13 = 0 then -1.0 else cast(embedding[i + 1] as double) end)), 6) as total from embeddings")
+def array_impute(spark, sf_dir):
+    gaps = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") + i) % 13 != 0, v.cast("double")))
+    filled = values.impute_array(gaps, -1.0)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(filled, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@registered(f"with {GRID_SQL} select event_id, cast(cast(value as float) as double) as score, cast(event_id % 100 as bigint) as whole from grid")
+def score_widen(spark, sf_dir):
+    narrow = grid(spark, sf_dir).select("event_id", F.col("value").cast("float").alias("score"), (F.col("event_id") % 100).cast("int").alias("whole"))
+    return narrow.select("event_id", *[values.widen(F.col(c), kind).alias(c) for c, kind in narrow.dtypes[1:]])
+
+
+@registered("select c_custkey, replace(replace(c_name, '#', ''), '.', '') || case when c_nationkey % 3 > 0 then '.band' || (c_nationkey % 3 + 1) else '' end as band from customer")
+def band_names(spark, sf_dir):
+    """Names of bands out of paths, with a suffix where the image has several."""
+    c = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/images/x.y/"), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit(".tif"))
+    many = F.col("c_nationkey") % 3 + 1
+    return c.select("c_custkey", values.band_name(path, many, many).alias("band"))
+
+
 @registered(f"with {GRID_SQL} select event_id, round(coalesce(value, avg(value) over ()), 6) as value from grid")
 def mean_impute(spark, sf_dir):
     return stats.mean_imputed(grid(spark, sf_dir), ["value"]).select("event_id", F.round("value", 6).alias("value"))
@@ -246,7 +270,8 @@ def strip_extract(spark, sf_dir):
 def strip_edges(spark, sf_dir):
     g = grid_spec(spark, sf_dir)
     bounds = F.array(*[F.struct(F.lit(k + 1).alias("strip"), F.lit(a).alias("a"), F.lit(z).alias("z")) for k, (a, z) in enumerate(strip_bounds(g.y.n, STRIPS))])
-    rows = spark.range(1).select(F.inline(bounds)).select("strip", F.explode(F.sequence("a", "z")).alias("i"))
+    edges = spark.range(g.y.n + 1).select(F.col("id").cast("int").alias("i"))  # inner ends are edges of two strips
+    rows = edges.select("i", F.inline(F.filter(bounds, lambda b: F.col("i").between(b["a"], b["z"]))))
     return rows.select("strip", "i", edge(F.col("i"), g.y).alias("edge"))
 
 
@@ -255,7 +280,28 @@ def pixel_index_range(spark, sf_dir):
     return pixels.all_pixels(spark, grid_spec(spark, sf_dir))
 
 
+@registered(f"with {GRID_SQL}, {SIZE_SQL}, {STRIP_SQL} select y * 100 + x as pixel, cast(x as int) as x, cast(y as int) as y from strips, range(0, 100) r(x) where strip = 3")
+def strip_index(spark, sf_dir):
+    return pixels.all_pixels(spark, grid_spec(spark, sf_dir), 3, STRIPS)
+
+
 # --------------------------------------------------------------- georeferencing
+@registered(f"with {GRID_SQL}, {SIZE_SQL} select event_id, x + 0.5 between 0.0 and 100.0 and h - y - 0.5 between 0.0 and cast(h as double) as inside, 0.0 as low_x, 100.0 as high_x, 0.0 as low_y, cast(h as double) as high_y from grid, size")
+def bounding_box(spark, sf_dir):
+    g = grid_spec(spark, sf_dir)
+    centres = pixels.positioned(grid(spark, sf_dir), g).select("event_id", (F.col("cx") + g.x.step / 2).alias("px"), (F.col("cy") + g.y.step / 2).alias("py"))
+    box = {n: F.lit(v) for n, v in zip(("low_x", "high_x", "low_y", "high_y"), g.box)}
+    return centres.select("event_id", in_box(F.col("px"), F.col("py"), g.box).alias("inside"), *[v.alias(n) for n, v in box.items()])
+
+
+@registered(f"with {GRID_SQL}, {SIZE_SQL} select event_id, 1.0 * x + 0.0 as wx, -1.0 * y + h as wy from grid, size")
+def affine_apply(spark, sf_dir):
+    """World positions by the affine map that follows from the grid's bounds."""
+    a, b, c, d, e, f = grid_spec(spark, sf_dir).affine
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    return grid(spark, sf_dir).select("event_id", (x * a + y * b + c).alias("wx"), (x * d + y * e + f).alias("wy"))
+
+
 @registered(
     "with edges as (select cast(i as int) as i, greatest(9900.0 - 54.0 * i, 9900.0 - 54.0 * (i + 1)) as hi, least(9900.0 - 54.0 * i, 9900.0 - 54.0 * (i + 1)) as lo from range(200) r(i))"
     " select c_custkey, i as pixel from customer left join edges on (c_acctbal <= hi and c_acctbal > lo) or (i = 199 and c_acctbal = lo)"
@@ -399,6 +445,31 @@ def query_extract(spark, sf_dir):
     return pixels.positioned(gathered, g).select((F.col("y").cast("long") * WIDTH + F.col("x")).alias("pixel"), "cx", "cy", there.alias("cells"), F.round(total, 6).alias("total"))
 
 
+@registered(
+    f"with {GRID_SQL}, z as (select x, y, round((value - avg(value) over ()) / stddev_pop(value) over (), 4) as z, cast(dense_rank() over (order by event_id % 11) - 1 as int) as code from grid)"
+    " select x, y, z, code from z"
+)
+def import_table(spark, sf_dir):
+    """The grid described, normalised, encoded and saved as an import does it, and read back."""
+    path = scratch_folder(spark, "import")
+    g = grid(spark, sf_dir).select("y", "x", "value", (F.col("event_id") % 11).cast("int").alias("kind"))
+    features = pipeline.describe(g, grid_spec(spark, sf_dir), ["value"], ["kind"])
+    pipeline.save_features(g, features, path)
+    return spark.read.parquet(path).select("x", "y", F.round(F.col("value").cast("double"), 4).alias("z"), F.col("kind").alias("code"))
+
+
+@registered(f"with {GRID_SQL}, k as (select cast(event_id % 11 as int) as value, count(*) as n from grid group by 1) select value, n, (select round(avg(value), 6) from grid) as mean, (select round(stddev_pop(value), 6) from grid) as sd, 100 as width, (select cast(max(y) + 1 as int) from grid) as height from k")
+def metadata_round_trip(spark, sf_dir):
+    """All that metadata stores, written beside a table and read back."""
+    path, g = scratch_folder(spark, "described"), grid(spark, sf_dir).select("y", "x", "value", (F.col("event_id") % 11).cast("int").alias("kind"))
+    sidecar.save_metadata(spark, path, pipeline.describe(g, grid_spec(spark, sf_dir), ["value"], ["kind"]))
+    known = sidecar.load_metadata(spark, path, sidecar.Features)
+    kind, band = known.categorical["kind"], known.continuous["value"]
+    rows = F.inline(F.arrays_zip(F.array(*map(F.lit, kind.values)).cast("array<int>").alias("value"), F.array(*map(F.lit, kind.counts)).cast("array<long>").alias("n")))
+    whole = {"mean": F.round(F.lit(band.mean), 6), "sd": F.round(F.lit(band.sd), 6), "width": F.lit(known.grid.x.n), "height": F.lit(known.grid.y.n)}
+    return spark.range(1).select(rows).withColumns(whole)
+
+
 @registered(f"with {GRID_SQL} select y, x, cast(value as float) as value from grid")
 def raster_round_trip(spark, sf_dir):
     g, folder = grid_spec(spark, sf_dir), scratch_folder(spark, "rasters")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.shipping import ship
 from gridloom.sources.tiff import open_file
 
 # The kinds of points, plain, with z and with a measure, and the bytes of a record.
@@ -130,6 +131,7 @@ class _PointReader(DataSourceReader):
 def read_points(spark: SparkSession, path: str, fields: list[str] | None = None, kind: str | None = None) -> DataFrame:
     """Points with their fields; ``kind`` continuous or categorical casts the fields to float
     or int, which mixed or textual fields refuse."""
+    ship(spark)
     spark.dataSource.register(PointShapefile)
     reader = spark.read.format("pointshapefile")
     df = (reader.option("fields", json.dumps(fields)) if fields is not None else reader).load(path)

@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.shipping import ship
+
 # The features of a record and the types of their items.
 FEATURES = {"x_con": "<f4", "x_con_mask": "<u1", "x_cat": "<i4", "x_cat_mask": "<u1", "y": None, "indices": "<i4", "coords": "<f8"}
 SCHEMA = "con array<float>, con_mask array<boolean>, cat array<int>, cat_mask array<boolean>, y array<double>, ix int, iy int, cx double, cy double"
@@ -152,6 +154,7 @@ def write_tfrecords(samples: DataFrame, folder: str, tag: str, targets: str = "<
     ``samples`` has the columns of SCHEMA.  A retried or repeated task writes under new names
     and leaves its first files behind, so read back the returned paths and not the folder.
     """
+    ship(samples.sparkSession)
     names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
 
     def write(batches):
@@ -245,6 +248,7 @@ class _RecordReader(DataSourceReader):
 
 def read_tfrecords(spark: SparkSession, place: str | list[str], con: int, cat: int, targets: int, target_type: str = "<f4") -> DataFrame:
     """Samples of a list of files, or of all files of a folder."""
+    ship(spark)
     spark.dataSource.register(TfRecords)
     reader = spark.read.format("tfrecordbatches").option("con", con).option("cat", cat).option("targets", targets).option("target_type", target_type)
     return reader.load(place) if isinstance(place, str) else reader.option("paths", json.dumps(place)).load()

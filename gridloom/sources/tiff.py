@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.functions.grid import Axis, GridSpec
+from gridloom.functions.sizing import rows_for
 from gridloom.functions.values import MISSING
+from gridloom.shipping import ship
 
 # Tag numbers and field sizes of the TIFF and GeoTIFF formats.
 TAGS = {
@@ -363,9 +365,8 @@ class RasterStack(DataSource):
 class _StackReader(DataSourceReader):
     def __init__(self, images: list[Tiff], schema: T.StructType, rows: int, first: int, stop: int):
         self.images, self.schema, self.first, self.last = images, schema, first, min(stop or images[0].height, images[0].height) - 1
-        per_row = images[0].width * 4 * len(schema)
         block = max(im.block_rows for im in images)
-        wanted = rows or max(1, (32 << 20) // per_row)
+        wanted = rows or rows_for(32, images[0].width, len(schema), 0)
         self.step = -(-wanted // block) * block
 
     def partitions(self):
@@ -401,6 +402,7 @@ def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous",
     """Pixels of images of one grid; rows [first, stop), or all."""
     if not paths:
         raise NoRasters("no files to read")
+    ship(spark)
     spark.dataSource.register(RasterStack)
     return spark.read.format("rasterstack").option("paths", json.dumps(paths)).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).option("first", first).option("stop", stop).load()
 
@@ -466,6 +468,7 @@ def read_blocks(spark: SparkSession, paths: list[str], grid: GridSpec, band: str
     """Pixels of one image of ``grid`` from the files of its blocks, as ``write_rasters`` makes them."""
     if not paths:
         raise NoRasters("no files to read")
+    ship(spark)
     spark.dataSource.register(RasterBlocks)
     return spark.read.format("rasterblocks").option("paths", json.dumps(paths)).option("band", band).option("origin", grid.y.origin).option("step", grid.y.step).option("height", grid.y.n).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).load()
 
@@ -483,6 +486,7 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
     Returns (label, path, rows).  A block that lacks pixels is an error, as is a whole number
     of over 32 bits and a value that is itself the missing value.
     """
+    ship(pixels.sparkSession)
     kinds = dict(pixels.dtypes)
     bad = [c for c in labels if kinds.get(c) not in ("float", "double", "int", "smallint", "tinyint", "bigint")]
     if bad:

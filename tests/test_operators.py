@@ -165,3 +165,34 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {r["value"]: r.n for r in by_value[-1]} == {0: 34, 1: 33, 2: 33} and len(by_value) == 4
     last = [r for r in got if "n_v" in r[0].asDict()][-1][0]
     assert last.n_v == 100 and last.mean_v == 49.5 and reduce(max, [last.sd_v]) == pytest.approx(np.arange(100).std())
+
+
+def test_offsets_and_running_best_over_many_ranges(spark, monkeypatch):
+    from gridloom.operators import score
+
+    df = spark.range(1000).where("id % 7 != 3")
+    want = [tuple(r) for r in pixels.batch_ranges(df, 5, "id").orderBy("batch").collect()]
+    scores = spark.range(300).selectExpr("id as step", "case when id % 3 = 0 then 'mse' else 'r2' end as metric", "cast((id * 7919) % 101 as double) as score")
+    kept = {r.step: r.kept for r in score.running_best(scores).collect()}
+    monkeypatch.setattr(pixels, "GROUP", 7)
+    monkeypatch.setattr(score, "STEPS", 10)
+    assert [tuple(r) for r in pixels.batch_ranges(df, 5, "id").orderBy("batch").collect()] == want
+    assert {r.step: r.kept for r in score.running_best(scores).collect()} == kept
+    assert [r[2] for r in want[1:]] == [r[3] for r in want[:-1]] and want[-1][3] == df.count()
+
+
+def test_scratch_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gridloom import shipping
+    from gridloom.sources import workspace
+
+    for master, good in (("local[4]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        sc = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        shipping._shipped.add(sc.applicationId)
+        session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+        if good:
+            assert workspace.scratch_root(session) == workspace.scratch_root(session)
+        else:
+            with pytest.raises(RuntimeError, match="share"):
+                workspace.scratch_root(session)
