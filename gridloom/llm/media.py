@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored as a lossless image of 8-bit samples under the name of its digest, once
-in each shard.  Rows carry digest, shard, offset and length; metadata columns are filled by
+A payload is stored as a lossless image of 8-bit samples under the name of its digest, once,
+however many rows have it.  Rows carry digest, shard, offset and length; metadata columns are filled by
 range reads of the few header bytes, and payloads by range reads of the whole.
 """
 
@@ -17,14 +17,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import written
+
 #: Samples in an image row.
 WIDTH = 64
 #: A shard is closed when it is larger than this.
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 33  # signature and the whole IHDR chunk
+#: Digests of several rows that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_DIGESTS = 500_000
+INDEX = ["n_bytes", "digest", "shard", "offset", "length"]
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -105,35 +110,55 @@ class _Shards:
             self.out = None
 
 
+def _digest(payload: Column) -> Column:
+    """SHA-256 of a padded payload, as ``pad`` pads it."""
+    n = F.octet_length(payload)
+    more = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    return F.sha2(F.concat(payload, F.unhex(F.repeat(F.lit("00"), more))), 256)
+
+
 def store_payloads(rows: DataFrame, folder: str, payload_col: str, keep: list[str]) -> DataFrame:
     """Stores the binary ``payload_col`` of every row and returns the ``keep`` columns with
     ``n_bytes`` (unpadded), ``digest`` (SHA-256 of the padded payload), ``shard``, ``offset``
-    and ``length``.
+    and ``length``; kept columns of these names are replaced.
 
-    Null payloads are empty ones, equal payloads of a task are stored once, and an empty table
-    stores nothing.  Write the result as a table before use: each evaluation stores anew.
+    Null payloads are empty ones.  Of rows with equal payloads one stores it, chosen by a hash of
+    its kept columns, and all point there; rows that repeat as a whole may store it again, but
+    point to one copy.  An empty table stores nothing.  The result is a scratch table.
     """
-    types = dict(rows.dtypes)
-    inputs = rows.select(*keep, F.coalesce(F.col(payload_col), F.lit(b"")).alias("_payload"))
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_bytes long, digest string, shard string, offset long, length long"])
+    kept, own = {f"_{k}": c for k, c in enumerate(c for c in keep if c not in INDEX)}, "_own"
+    inputs = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], F.coalesce(F.col(payload_col), F.lit(b"")).alias("payload"))
+    inputs = inputs.withColumns({"digest": _digest(F.col("payload")), own: F.xxhash64(F.lit(0), *kept)})
+    owners = inputs.groupBy("digest").agg(F.count("*").alias("n"), F.min(own).alias("owner")).where("n > 1").drop("n")
+    owners = written(owners, "media-owners")
+    side = F.broadcast(owners) if owners.count() <= MAX_BROADCAST_DIGESTS else owners
+    dealt = inputs.join(side, "digest", "left").select(*kept, F.col("owner").isNotNull().alias("repeated"), F.coalesce(F.col("owner") == F.col(own), F.lit(True)).alias("stores"), "digest", "payload")
+    types, at = dict(inputs.dtypes), len(kept)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in kept), "repeated boolean, n_bytes long, digest string, shard string, offset long, length long"])
 
     def store(batches):
         shards = _Shards(folder)
         try:
             for batch in batches:
                 found = []
-                for payload in batch.column(len(keep)):
-                    raw = payload.as_py()
-                    padded = pad(raw)
-                    digest = hashlib.sha256(padded).hexdigest()
-                    at = shards.known.get(digest) if shards.out is not None else None
-                    found.append((len(raw), digest, *(at or shards.add(digest, encode_image(padded)))))
+                for stores, digest, payload in zip(*(batch.column(at + k) for k in (1, 2, 3))):
+                    raw, digest = payload.as_py(), digest.as_py()
+                    here = (None, None, None)
+                    if stores.as_py():
+                        here = shards.known.get(digest) if shards.out is not None else None
+                        here = here or shards.add(digest, encode_image(pad(raw)))
+                    found.append((len(raw), digest, *here))
                 columns = [pa.array([r[k] for r in found], pa.string() if k in (1, 2) else pa.int64()) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], [*keep, "n_bytes", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at + 1)), *columns], [*kept, "repeated", *INDEX])
         finally:
             shards.close()
 
-    return inputs.mapInArrow(store, schema)
+    index = written(dealt.mapInArrow(store, schema), "media-stored")
+    once = index.where("not repeated").select(*kept, *INDEX)
+    first = F.min(F.struct("shard", "offset", "length"))
+    placed = index.where("repeated and shard is not null").groupBy("digest").agg(first.alias("at"))
+    again = index.where("repeated").select(*kept, "n_bytes", "digest").join(placed, "digest").select(*kept, "n_bytes", "digest", "at.shard", "at.offset", "at.length")
+    return once.union(again).select(*[F.col(k).alias(c) for k, c in kept.items()], *INDEX)
 
 
 class _Reader:
@@ -156,14 +181,15 @@ def _ranges(shards, offsets, lengths, most=None):
 
 
 def with_metadata(index: DataFrame) -> DataFrame:
-    """``index`` with ``width``, ``height`` and ``bits``, from header bytes only."""
+    """``index`` with ``width``, ``height`` and ``bits``, from header bytes only; columns of these
+    names are replaced."""
 
     @F.arrow_udf("struct<width:int,height:int,bits:int>")
     def heads(shard: pa.Array, offset: pa.Array, length: pa.Array) -> pa.Array:
         got = [read_header(b) for b in _ranges(shard, offset, length, HEADER_BYTES)]
         return pa.StructArray.from_arrays([pa.array([getattr(h, f) for h in got], pa.int32()) for f in ("width", "height", "bits")], ["width", "height", "bits"])
 
-    return index.withColumn("_head", heads("shard", "offset", "length")).select(*index.columns, "_head.width", "_head.height", "_head.bits")
+    return index.withColumn("_head", heads("shard", "offset", "length")).select(*[f"`{c}`" for c in index.columns if c not in ("width", "height", "bits")], "_head.width", "_head.height", "_head.bits")
 
 
 def with_payload_features(index: DataFrame) -> DataFrame:
@@ -187,4 +213,4 @@ def with_payload_features(index: DataFrame) -> DataFrame:
         rows = [facts(b, d) for b, d in zip(_ranges(shard, offset, length), digest.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    return index.withColumn("_read", read("digest", "shard", "offset", "length")).select(*index.columns, *[f"_read.{k}" for k in kinds])
+    return index.withColumn("_read", read("digest", "shard", "offset", "length")).select(*[f"`{c}`" for c in index.columns if c not in kinds], *[f"_read.{k}" for k in kinds])

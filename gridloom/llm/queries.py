@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import bpe, chat, embeddings, langid, linededup, media, mixing, pii, secrets, simhash
-from gridloom.llm.shared import scratch_path, spread, written
+from gridloom.llm.shared import scratch_path, spread
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -147,7 +147,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("payload"))
-    index = written(media.store_payloads(docs, scratch_path(spark, "media"), "payload", ["doc_id"]), "media-index")
+    index = media.store_payloads(docs, scratch_path(spark, "media"), "payload", ["doc_id"])
     read = media.with_payload_features(media.with_metadata(index))
     feature = F.concat_ws(";", F.concat_ws("x", "width", "height", "bits"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("low", "high", "total", "ones")])
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

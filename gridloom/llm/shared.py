@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    absent (single-machine tests) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
+from gridloom.shipping import ship
+from gridloom.sources.workspace import scratch_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a new folder below ``spark.checkpoint.dir``."""
+    return scratch_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(table: DataFrame) -> DataFrame:
     """A table as read, dealt out evenly where it has fewer partitions than there are cores, as
     a small table in one file has; large tables stay as they are, without a shuffle."""
+    ship(table.sparkSession)
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 

@@ -42,6 +42,26 @@ def test_shards_are_tar_files(spark, tmp_path):
     assert all((m.width, m.height, m.bits) == (64, 1, 8) for m in meta)
 
 
+@pytest.mark.parametrize("most", [media.MAX_BROADCAST_DIGESTS, 0])
+def test_equal_payloads_of_all_tasks_are_stored_once(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(media, "MAX_BROADCAST_DIGESTS", most)
+    df = spark.range(400).selectExpr("id as k", "cast(case when id % 3 = 0 then 'hot' else concat('p', id % 50) end as binary) as p").repartition(8)
+    rows = media.store_payloads(df, str(tmp_path), "p", ["k"]).collect()
+    names = [m.name for f in tmp_path.glob("*.tar") for m in tarfile.open(f).getmembers()]
+    assert len(rows) == 400 and len(names) == len(set(names)) == len({r.digest for r in rows}) == len({(r.shard, r.offset) for r in rows})
+
+
+def test_clashing_names_and_repeated_rows(spark, tmp_path):
+    rows = [(1, b"one", "a", "b", "c", "d", "e")] * 3 + [(2, b"one", "a", "b", "c", "d", "e"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k long, p binary, digest string, shard string, width string, payload string, low string").repartition(5)
+    index = media.store_payloads(df, str(tmp_path), "p", ["k", "digest", "shard", "width", "payload", "low"])
+    assert index.columns == ["k", "width", "payload", "low", *media.INDEX]
+    out = media.with_payload_features(media.with_metadata(index))
+    assert len(set(out.columns)) == len(out.columns)
+    got = out.collect()
+    assert len(got) == 5 and len({(r.shard, r.offset) for r in got}) == 2 and all(r.width == 64 for r in got)
+
+
 def test_headers_need_no_payload(spark, tmp_path):
     df = spark.createDataFrame([(1, b"payload" * 99)], "k long, p binary")
     r = written(media.store_payloads(df, str(tmp_path), "p", ["k"]), "index").first()
