@@ -97,9 +97,10 @@ def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_.=-]{8,}"), F.lit(0))
     parted = some.select(values.alias("values"), runs.alias("runs"), tokens.alias("tokens"))
     ordinary = F.filter("tokens", lambda t: ~(F.array_contains("values", t) | t.rlike(ACCESS) | t.rlike(HEX)))
-    # Identifiers are also made of words: each token with another of its text, in both usual styles.
+    joined_by = lambda by: lambda p: F.concat_ws(by, p["a"], p["b"])
+    # Identifiers are also made of words: each token with another of its text, in the usual styles.
     pairs = F.filter(F.zip_with(ordinary, F.reverse(ordinary), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b"))), lambda p: p["a"] < p["b"])
-    made = F.concat(F.transform(pairs, lambda p: F.concat(p["a"], F.initcap(p["b"]))), F.transform(pairs, lambda p: F.concat_ws("_", p["a"], p["b"])))
+    made = F.concat(F.transform(pairs, lambda p: F.concat(p["a"], F.initcap(p["b"]))), *[F.transform(pairs, joined_by(by)) for by in "_-/"], F.transform(pairs, lambda p: F.upper(F.concat_ws("_", p["a"], p["b"]))))
     ordinary = F.concat(ordinary, made)
     labelled = F.concat(
         F.transform(F.concat("values", "runs"), lambda t: F.struct(t.alias("token"), F.lit(True).alias("secret"))),

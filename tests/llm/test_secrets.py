@@ -1,6 +1,9 @@
 import hashlib
+import random as rd
 import re
+import string
 
+from pyspark.sql import functions as F
 from tests.llm.helpers import empty, odd_documents
 
 from gridloom.llm import secrets
@@ -64,6 +67,26 @@ def test_models_tell_random_from_ordinary(spark):
     assert all(found[t] == ["markov"] for t in random) and all(found[t] == [] for t in plain)
 
 
+def test_held_out_precision_and_recall(spark):
+    """Random strings of usual kinds that training never saw, against identifiers put together
+    from words of documents outside the labelled sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = secrets.train_secret_model(secrets.corpus_samples(docs, max_docs=500).union(secrets.generated_samples(spark)))
+    rnd = rd.Random(12)
+    chosen = {r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()}
+    words = sorted({w for r in docs.where("doc_id % 7 = 0").collect() if r.doc_id not in chosen for w in re.findall(r"[A-Za-z]{3,12}", r.text or "")})
+    letters = string.ascii_letters + string.digits
+    kinds = {"alnum": letters, "base64": letters + "+/", "url": letters + "-_", "hex": "0123456789ABCDEF", "upper": string.ascii_uppercase + string.digits}
+    secret = [(k, "".join(rnd.choice(a) for _ in range(rnd.randrange(20, 45)))) for k, a in kinds.items() for _ in range(300)]
+    styles = {"camel": lambda w: w[0].lower() + "".join(x.title() for x in w[1:]), "snake": lambda w: "_".join(w).lower(), "kebab": lambda w: "-".join(w).lower(), "constant": lambda w: "_".join(w).upper(), "path": lambda w: "/".join(w).lower(), "plain": lambda w: "".join(w).lower()}
+    plain = [(k, f([rnd.choice(words) for _ in range(4)])) for k, f in styles.items() for _ in range(300)]
+    df = spark.createDataFrame([(a, k, t) for a, some in ((True, secret), (False, plain)) for k, t in some if len(t) >= secrets.MIN_LENGTH], "secret boolean, kind string, token string")
+    told = {(r.secret, r.kind): r.share for r in df.groupBy("secret", "kind").agg(F.avg((m.score(F.col("token")) >= secrets.THRESHOLD).cast("double")).alias("share")).collect()}
+    print(told)
+    assert all(told[True, k] >= 0.95 for k in kinds), told
+    assert all(told[False, k] <= 0.01 for k in styles), told
+
+
 def test_method_spans_never_overlap_base_spans(spark):
     df = spark.createDataFrame([("token = qZ8xP0mLkT3vB9wY2rNf7cDsQ1 and qZ8xP0mLkT3vB9wY2rNf7cDsQ1",)], "text string")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
