@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+from tests.llm.helpers import odd_documents
 from tests.llm.test_linededup import brute as dedup
 from tests.llm.test_mixing import brute as mix
 from tests.llm.test_neardup import brute as near
@@ -7,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridloom.llm import langid
+from gridloom.llm.shared import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,21 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Each stage alone, and one after the other, on nulls, empty and long texts, repeated rows
+    and clashing columns."""
+    odd = odd_documents(spark)
+    alone = {name: stage(spark, odd, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted(str(r.doc_id) for r in rows) for name, rows in alone.items()}
+    assert set(ids["language"]) <= {"1", "2", "5", "6", "None"} and ids["language"].count("2") == 2
+    assert ids["line_dedup"] == sorted(str(r.doc_id) for r in odd.select("doc_id").collect())
+    assert ids["near_dedup"].count("2") <= 1 and not {"4", "7"} & set(ids["near_dedup"]) and ids["near_dedup"].count("3") == 1
+    assert ids["mixing"].count("2") % 2 == 0
+    assert len(alone["encoding"]) == odd.count() and all(r.exact for r in alone["encoding"])
+    assert all(r.n_tokens == 0 for r in alone["encoding"] if r.doc_id in (3, 4))
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "odd")
+    assert {r.doc_id for r in docs.collect()} <= {1, 2, 5, 6, None}
