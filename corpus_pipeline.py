@@ -2,7 +2,12 @@
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the columns of
-``documents``, with ``n_chars`` brought up to date where the text changed.
+``documents``, with ``n_chars`` brought up to date where the text changed; other columns are
+left out.
+
+No stage fails on nulls in any column, empty or very long texts, ties, repeated rows or an empty
+table.  Null and empty texts, and others without letters, have no language and go with the first
+stage; what a later stage does with them when run alone, and with repeated rows, its docstring says.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognised language; models are trained on the labelled ones."""
+    """Keeps documents with a recognised language; models are trained on the labelled ones.
+    Repeated rows all stay or all go, a tie of languages has a score of 0.5 and stays, a null
+    ``lang`` only teaches nothing; without any label no language is known and nothing stays."""
     docs = spread(docs.select(*COLUMNS))
     model = langid.train_language_model(docs, langid.vocabulary_pieces(PIECES_FILE))
     told = langid.predict_language(docs, model)
@@ -32,24 +39,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages; every document stays, some with less text."""
+    """Removes repeated passages; every document stays, some with less text.  Null texts stay
+    null; rows with equal id and text count as one document and keep equal texts."""
     left = linededup.dedup_lines(docs.select(*COLUMNS))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group of near duplicates, the one with the smallest id: those
-    linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    linked by a Jaccard similarity of five-word shingles of 0.8 or more.  Candidates come from
+    SimHash fingerprints by the generalised pigeonhole search.  Texts without words, null ones
+    included, are one group, and of repeated rows one stays."""
     return neardup.keep_one_of_near(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents to the target weights of their sources, in a global random order."""
+    """Repeats documents to the target weights of their sources, in a global random order.  A
+    null source is a source of its own; repeated rows have equal counts."""
     return mixing.mix_sources(docs.select(*COLUMNS), MIX_WEIGHTS, seed=MIX_SEED).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, decoded again to show that nothing was lost."""
+    """Token ids of each text, decoded again to show that nothing was lost.  A null or empty
+    text has no tokens and is exact; repeated rows have equal ids."""
     coded = bpe.encode_texts(docs.select(*COLUMNS), BPE_FILE, bpe.build_lexicon(docs, BPE_FILE), decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"))
