@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import connected_components, packed, unpacked, written
@@ -118,11 +119,12 @@ def _candidates(sets: DataFrame, block: int) -> DataFrame:
     """Rows (node, root): candidate groups of two sets or more."""
     wide = sets.where("size > 0").select("fp", "node", F.col("fp")[0].alias("f0"), F.col("fp")[1].alias("f1"))
     plan = plan_partitions(wide, LANES * PARTS - 1, LANES, PARTS, KNOWN_BITS)
-    # Stars: a is smallest.  Each set joins its smallest star; that one joins the set's others.
-    met = written(candidate_links(wide, plan, ["node", "f0", "f1"], NEAR, block, as_stars=True), "met")
-    low = written(met.groupBy("b").agg(F.min("a").alias("low")), "low")
-    others = met.join(low, "b").where("a != low").select("a", F.col("low").alias("b")).distinct()
-    parts = written(connected_components(low.select("b", "low").toDF("a", "b").union(others)), "candidates")
+    # Stars: a is smallest.  Each set joins its smallest star, which joins the set's others; a
+    # set has a star for a key at most.
+    met = candidate_links(wide, plan, ["node", "f0", "f1"], NEAR, block, as_stars=True)
+    low = met.withColumn("low", F.min("a").over(W.partitionBy("b")))
+    edges = low.select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")).distinct()
+    parts = written(connected_components(edges), "candidates")
     return parts.select("node", "root").union(parts.select("root", "root").distinct())
 
 
