@@ -9,7 +9,7 @@ import sys
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from gridloom.plans import model, pipeline
+from gridloom.plans import model, neural, pipeline
 from gridloom.shipping import ship
 from gridloom.sources import shapefile
 
@@ -49,11 +49,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", required=True)
     p.add_argument("--config", help="trusted Python file that defines Model; a forest by default")
     p.add_argument("--trees", type=int, default=100)
+    p.add_argument("--kind", choices=["forest", "gbt", "mlp", "neural"], default="forest")
     p.add_argument("--rounds", type=int, default=1, help="each with a seed of its own; the best model of each metric stays, also between runs")
     p.add_argument("--out", required=True, help="folder of models")
     p = sub.add_parser("predict")
     p.add_argument("--model", required=True, help="folder of one model, such as <out of train>/mse_<label>")
     p.add_argument("--config")
+    p.add_argument("--kind", choices=["forest", "gbt", "mlp", "neural"], default="forest")
     p.add_argument("--query", required=True)
     p.add_argument("--out", required=True)
     p = sub.add_parser("train-predict")
@@ -79,11 +81,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "extract-query":
         pipeline.extract_query(spark, a.features, a.out, *a.strip, a.halfwidth)
     elif a.command == "train":
-        make = (lambda step: model.load_user_model(a.config)()) if a.config else (lambda step: model.ForestModel(trees=a.trees, seed=666 + step))
+        if a.config:
+            make = lambda step: model.load_user_model(a.config)()
+        elif a.kind == "neural":
+            make = lambda step: neural.NeuralModel(seed=666 + step)
+        else:
+            make = lambda step: model.ForestModel(a.kind, a.trees, seed=666 + step)
         _, best = model.train_rounds(spark, a.data, make, a.rounds, a.out)
         logging.info("best: %s", ", ".join(f"{k}={v['score']:.4f} in round {v['step']}" for k, v in best.items()))
     elif a.command == "predict":
-        kind = model.load_user_model(a.config) if a.config else model.ForestModel
+        kind = model.load_user_model(a.config) if a.config else neural.NeuralModel if a.kind == "neural" else model.ForestModel
         model.predict(spark, kind.load(spark, a.model), a.query, a.out)
     else:
         made = model.load_user_model(a.config)() if a.config else model.ForestModel(trees=a.trees)

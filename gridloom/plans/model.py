@@ -23,6 +23,7 @@ from gridloom.functions.values import one_hot
 from gridloom.operators import score as scores
 from gridloom.sources import sidecar, tiff
 from gridloom.sources.sidecar import Features, Training
+from gridloom.streaming import each_batch
 
 
 class MismatchedFeatures(ValueError):
@@ -98,14 +99,19 @@ class ForestModel:
         return out
 
     def score(self, predicted: DataFrame, meta: Training) -> dict[str, float]:
-        out = {}
-        for k, label in enumerate(meta.targets.labels):
-            pairs = predicted.select(F.get("y", F.lit(k)).alias("a"), F.col(f"predictions_{label}").cast("double").alias("p"))
-            if meta.targets.kind == "categorical":
-                out[f"accuracy_{label}"] = scores.accuracy(pairs, "a", "p").first()[0]
-            else:
-                out[f"mse_{label}"] = scores.mean_squared_error(pairs, "a", "p").first()[0]
-        return out
+        return score_predictions(predicted, meta)
+
+
+def score_predictions(predicted: DataFrame, meta: Training) -> dict[str, float]:
+    """Accuracy or mean squared error of each label; None without rows."""
+    out = {}
+    for k, label in enumerate(meta.targets.labels):
+        pairs = predicted.select(F.get("y", F.lit(k)).alias("a"), F.col(f"predictions_{label}").cast("double").alias("p"))
+        if meta.targets.kind == "categorical":
+            out[f"accuracy_{label}"] = scores.accuracy(pairs, "a", "p").first()[0]
+        else:
+            out[f"mse_{label}"] = scores.mean_squared_error(pairs, "a", "p").first()[0]
+    return out
 
 
 def predict_batches(samples: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -184,6 +190,18 @@ def predict(spark: SparkSession, model, query: str, folder: str | None = None) -
     return out
 
 
+def predict_arriving(spark: SparkSession, model, strips: str, out: str, checkpoint: str):
+    """Predictions of strips that arrive as Parquet below ``strips``, one folder each; each run
+    takes those that are new and stops.  A batch that is repeated replaces its own folder."""
+    one = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(strips)
+    stream = spark.readStream.schema(one.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(strips)
+
+    def work(batch: DataFrame, number: int) -> None:
+        model.predict(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return each_batch(stream, work, checkpoint)
+
+
 def save_scores(path: str, got: dict[str, float]) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(got, f, indent=1, sort_keys=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import cli
 from gridloom.functions.grid import Axis, GridSpec
-from gridloom.plans import model, pipeline
+from gridloom.plans import model, neural, pipeline
 from gridloom.sources import shapefile, sidecar, tiff
 
 GRID = GridSpec(Axis(0.0, 1.0, 20), Axis(15.0, -1.0, 15))
@@ -85,6 +85,43 @@ def test_train_and_predict(spark, place, kind, label, halfwidth):
         assert other and model.predict(spark, fitted, str(at / f"other{name}"))
 
 
+@pytest.mark.parametrize("kind,label,targets,halfwidth", [("continuous", "value", "tcontinuous0", 0), ("categorical", "class", "tcategorical1", 0), ("continuous", "value", "tcontinuous0", 1)])
+def test_networks_learn_last_and_stream(spark, place, tmp_path, kind, label, targets, halfwidth):
+    at, *_ = place
+    data = str(tmp_path / "d")
+    pipeline.extract_traintest(spark, str(at / "features"), str(at / targets), data, 2, 4, 7, halfwidth)
+    fitted, got = model.train(spark, data, neural.NeuralModel(rounds=40))
+    # One pixel tells the target and its category the class; over patches there are too few points.
+    assert halfwidth or ((got["mse_value"] < 4) if kind == "continuous" else got["accuracy_class"] > 0.9)
+    fitted.save(spark, str(tmp_path / "n"))
+    again = neural.NeuralModel.load(spark, str(tmp_path / "n"))
+    seen = []
+    for strip in (1, 2):  # strips that arrive one after the other; each run takes the new one
+        pipeline.extract_query(spark, str(at / "features"), str(tmp_path / "strips" / f"s{strip}"), strip, 2, halfwidth)
+        model.predict_arriving(spark, again, str(tmp_path / "strips"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        seen.append(spark.read.parquet(str(tmp_path / "out")).count())
+    assert seen == [160, 300]
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "strips"))
+    want = sorted(map(tuple, fitted.predict(whole).select("pixel", f"predictions_{label}").collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("pixel", f"predictions_{label}").collect())) == want
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    weights = neural.Network.start(3, [2], (5, 4), 2, 2, 1)
+    con, cat, y = rng.normal(size=(6, 3)), rng.integers(0, 3, (6, 4, 1)), rng.normal(size=(6, 2))
+    loss = lambda: 0.5 * ((neural.Network(weights, 1).forward(con, cat)[-1] - y) ** 2).sum() / 6
+    got = neural.Network(weights, 1).gradients(con, cat, lambda phi: phi - y)
+    for name, w in weights.items():
+        for place_ in list(np.ndindex(w.shape))[:10]:
+            w[place_] += 1e-6
+            high = loss()
+            w[place_] -= 2e-6
+            low = loss()
+            w[place_] += 1e-6
+            assert abs((high - low) / 2e-6 - got[name][place_]) < 1e-5
+
+
 def test_strips_join_without_seams(spark, place):
     at, *_ = place
     pipeline.extract_query(spark, str(at / "features"), str(at / "whole"), 1, 1, 1)
