@@ -1,6 +1,6 @@
 """A small neural network over patches, trained where the data is.
 
-Continuous cells are standardised, missing ones at their mean; categorical bands go through an
+Continuous cells and targets are standardised, missing cells at their mean; categorical bands go through an
 embedding, averaged over the cells of a patch, in which a missing category is one of its own.
 Two hidden layers follow, and a linear output for each target or one for each class.
 
@@ -111,6 +111,9 @@ class NeuralModel:
         known = {r.band: r for r in stats.array_stats(train, "con", width).collect()} if width else {}  # one row a cell
         self.mean = np.array([known[k]["mean"] if k in known and known[k].n else 0.0 for k in range(width)])
         self.sd = np.array([known[k].sd if k in known and known[k].sd else 1.0 for k in range(width)])
+        told = {r.band: r for r in stats.array_stats(train, "y", len(labels)).collect()} if not self.classes else {}  # one row a label
+        self.shift = np.array([told[k]["mean"] if k in told and told[k].n else 0.0 for k in range(len(labels))])
+        self.scale = np.array([told[k].sd if k in told and told[k].sd else 1.0 for k in range(len(labels))])
         weights = Network.start(width, self.values, o["hidden"], o["embedding"], sum(self.classes) or len(labels), o["seed"])
         rows = self._ready(train).select("_con", "_cat", "y").where(~F.exists("y", F.isnull)).persist()
         me = self
@@ -126,7 +129,7 @@ class NeuralModel:
                     if not batch.num_rows:
                         continue
                     con, cat = me._inputs(batch, "_con", "_cat")
-                    y = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    y = (batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - me.shift) / me.scale
                     order = rng.permutation(batch.num_rows)
                     for at in range(0, len(order), o["batch"]):
                         some, t = order[at : at + o["batch"]], t + 1
@@ -161,7 +164,9 @@ class NeuralModel:
         def work(batches):
             for batch in batches:
                 phi = net.forward(*self._inputs(batch, "_con", "_cat"))[-1]
-                if self.classes:
+                if not self.classes:
+                    phi = phi * self.scale + self.shift
+                else:
                     ends = np.cumsum(self.classes)
                     phi = np.stack([phi[:, e - n : e].argmax(axis=1) for e, n in zip(ends, self.classes)], axis=1)
                 columns = [pa.array(phi[:, k]).cast(arrow) for k in range(len(labels))]
@@ -175,7 +180,7 @@ class NeuralModel:
     def save(self, spark: SparkSession, folder: str) -> None:
         """Replaces what is there."""
         sidecar.save_metadata(spark, f"{folder}/training", self.meta)
-        sidecar.save_json(spark, f"{folder}/network", {"options": self.options, "mean": self.mean.tolist(), "sd": self.sd.tolist(), "weights": {k: v.tolist() for k, v in self.weights.items()}})
+        sidecar.save_json(spark, f"{folder}/network", {"options": self.options, "mean": self.mean.tolist(), "sd": self.sd.tolist(), "shift": self.shift.tolist(), "scale": self.scale.tolist(), "weights": {k: v.tolist() for k, v in self.weights.items()}})
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> NeuralModel:
@@ -185,6 +190,6 @@ class NeuralModel:
         out.cells = (2 * out.meta.features.halfwidth + 1) ** 2
         out.values = [c.n_values for c in out.meta.features.categorical.values()]
         out.classes = [out.meta.targets.maps[b].n_values for b in out.meta.targets.labels] if out.meta.targets.kind == "categorical" else []
-        out.mean, out.sd = np.array(got["mean"]), np.array(got["sd"])
+        out.mean, out.sd, out.shift, out.scale = (np.array(got[k]) for k in ("mean", "sd", "shift", "scale"))
         out.weights = {k: np.array(v, np.float64) for k, v in got["weights"].items()}
         return out

@@ -90,7 +90,7 @@ def test_networks_learn_last_and_stream(spark, place, tmp_path, kind, label, tar
     at, *_ = place
     data = str(tmp_path / "d")
     pipeline.extract_traintest(spark, str(at / "features"), str(at / targets), data, 2, 4, 7, halfwidth)
-    fitted, got = model.train(spark, data, neural.NeuralModel(rounds=40))
+    fitted, got = model.train(spark, data, neural.NeuralModel(rounds=40, batch=16))
     # One pixel tells the target and its category the class; over patches there are too few points.
     assert halfwidth or ((got["mse_value"] < 4) if kind == "continuous" else got["accuracy_class"] > 0.9)
     fitted.save(spark, str(tmp_path / "n"))
