@@ -97,11 +97,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _fingerprint(e: DataFrame) -> tuple:
     """Row count and an order-free digest of the edges."""
-    h = F.xxhash64("u", "v")
-    return tuple(
-        e.agg(
-            F.count("*"),
-            F.coalesce(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)),
-            F.coalesce(F.sum(F.shiftrightunsigned(h, 32)), F.lit(0)),
-        ).first()
-    )
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
