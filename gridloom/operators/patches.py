@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.values import flatten_patch
+
 
 def _quoted(names: list[str]) -> list[Column]:
     """Columns by name, dots included."""
@@ -67,7 +69,7 @@ def patch_rows(centres: DataFrame, rows: DataFrame, halfwidth: int, bands: list[
     inside = F.transform(F.sequence(F.lit(-halfwidth), F.lit(halfwidth)), lambda i: F.col("_row").isNotNull() & (F.col("_x") + i >= 0) & (F.col("_x") + i < width))
     parts = joined.select(id_col, F.struct("yp", *[piece(c).alias(b) for b, c in zip(bands, map(F.col, (f"`{b}`" for b in bands)))], inside.alias("in_image")).alias("p"))
     whole = parts.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    flat = [F.flatten(_taken("p", b)).alias(b) for b in [*bands, "in_image"]]
+    flat = [flatten_patch(_taken("p", b)).alias(b) for b in [*bands, "in_image"]]
     masks = [F.transform(f"`{b}`", F.isnull).alias(f"{b}_mask") for b in bands]
     return whole.select(id_col, *flat).select(id_col, *_quoted(bands), *masks, "in_image")
 

@@ -390,12 +390,16 @@ def read_ix(spark, sf_dir):
     return o.join(grid(spark, sf_dir), ["x", "y"]).select("o_orderkey", "event_id", "value")
 
 
-def _reader(spark, sf_dir) -> pipeline.FeatureReader:
-    """The grid as an imported feature table, read by the reader."""
+def _features(spark, sf_dir) -> str:
+    """The grid as a feature table."""
     path, g = scratch_folder(spark, "features"), grid(spark, sf_dir)
     features = sidecar.Features(grid_spec(spark, sf_dir), {"value": sidecar.Continuous()}, {"kind": sidecar.Categorical()})
     sidecar.save_table(g.select("y", "x", F.col("value").cast("float").alias("value"), (F.col("event_id") % 7).cast("int").alias("kind")), path, features)
-    return pipeline.FeatureReader(spark, path)
+    return path
+
+
+def _reader(spark, sf_dir) -> pipeline.FeatureReader:
+    return pipeline.FeatureReader(spark, _features(spark, sf_dir))
 
 
 READ_SQL = "cast(g.value as float) as value, g.value is null and g.x is not null as masked, cast(g.event_id % 7 as int) as kind"
@@ -419,6 +423,36 @@ def reader_ix(spark, sf_dir):
     return _reader(spark, sf_dir).read_ix(asked).select("o_orderkey", "ix", "iy", *_read_columns())
 
 
+@registered(
+    f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL}, f as (select *, {FOLD_SQL.format(id='row_id')} as fold from located where iy is not null)"
+    f" select row_id, ix, iy, fold, case when fold = 2 then 'test' else 'train' end as split, cast(cast(c_acctbal as float) as double) as target, {READ_SQL}"
+    " from f join grid g on g.x = ix and g.y = iy join customer on c_custkey = row_id"
+)
+def sample_dataset(spark, sf_dir):
+    """Targets imported, extracted with their pixels into a partitioned dataset, and read back."""
+    targets, out = scratch_folder(spark, "targets"), scratch_folder(spark, "samples")
+    pipeline.import_targets(points(spark, sf_dir), targets, ["target"])
+    pipeline.extract_traintest(spark, _features(spark, sf_dir), targets, out, 2, FOLDS, SEED, outside="drop", arithmetic=True)
+    return spark.read.parquet(out).select("row_id", "ix", "iy", "fold", "split", F.get("y", F.lit(0)).alias("target"), *_read_columns())
+
+
+@registered(f"with {GRID_SQL}, {SIZE_SQL}, {STRIP_SQL} select g.y * 100 + g.x as pixel, g.x as ix, g.y as iy, cast(g.x as double) as cx, cast(h - g.y as double) as cy, {READ_SQL} from grid g join strips using (y), size where strip = 2")
+def strip_dataset(spark, sf_dir):
+    """A strip extracted into a dataset of its own, and read back."""
+    out = scratch_folder(spark, "strip")
+    pipeline.extract_query(spark, _features(spark, sf_dir), out, 2, STRIPS)
+    return spark.read.parquet(out).select(F.col("pixel").cast("long").alias("pixel"), "ix", "iy", "cx", "cy", *_read_columns())
+
+
+@registered("select c_custkey as row_id, (c_custkey % 100) + 0.25 as x, cast(dense_rank() over (order by c_nationkey) - 1 as int) as code from customer")
+def target_table(spark, sf_dir):
+    """Categorical targets imported into a table, in codes."""
+    out = scratch_folder(spark, "classes")
+    classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("code"))
+    pipeline.import_targets(points(spark, sf_dir).join(classes, "row_id"), out, ["code"], "categorical")
+    return spark.read.parquet(out).select("row_id", "x", "code")
+
+
 @registered(
     f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL}, f as (select row_id, ix, iy, {FOLD_SQL.format(id='row_id')} as fold from located where iy is not null)"
     " select row_id, ix, iy, fold, case when fold = 1 then 'test' else 'train' end as split,"

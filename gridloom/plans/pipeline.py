@@ -116,17 +116,18 @@ def _by_cell(arrays: DataFrame, con: list[str], cat: list[str], keys: list[str])
     return one.select("*", *[F.transform(c, F.isnull).alias(f"{c}_mask") for c in ("con", "cat")])
 
 
-def extract_traintest(spark: SparkSession, features_path: str, targets_path: str, out: str, test_fold: int = 1, nfolds: int = 10, seed: int = 666, halfwidth: int = 0, outside: str = "error") -> Training:
-    """Samples of all targets, in partitions ``split=train`` and ``split=test``."""
+def extract_traintest(spark: SparkSession, features_path: str, targets_path: str, out: str, test_fold: int = 1, nfolds: int = 10, seed: int = 666, halfwidth: int = 0, outside: str = "error", arithmetic: bool = False) -> Training:
+    """Samples of all targets, in partitions ``split=train`` and ``split=test``; ``arithmetic``
+    folds can be repeated by any SQL engine."""
     features, targets = sidecar.load_metadata(spark, features_path, Features), sidecar.load_metadata(spark, targets_path, Targets)
     features.halfwidth = halfwidth
     table, points = spark.read.parquet(features_path), spark.read.parquet(targets_path)
     centres = pixels.located(points, features.grid, "x", "y", outside)
     y = F.array(*[F.col(f"`{b}`").cast("double") for b in targets.labels])
     centres = centres.select("row_id", "ix", "iy", F.col("x").alias("cx"), F.col("y").alias("cy"), y.alias("y"))
-    samples = folds.split(folds.with_fold(gathered(centres, table, features, "row_id"), nfolds, "row_id", seed), test_fold, nfolds)
+    samples = folds.split(folds.with_fold(gathered(centres, table, features, "row_id"), nfolds, "row_id", seed, arithmetic), test_fold, nfolds)
     samples.write.mode("overwrite").partitionBy("split").parquet(out)
-    counts = {r.fold: r.n for r in folds.fold_counts(folds.with_fold(centres, nfolds, "row_id", seed), nfolds).collect()}
+    counts = {r.fold: r.n for r in folds.fold_counts(folds.with_fold(centres, nfolds, "row_id", seed, arithmetic), nfolds).collect()}
     training = Training(features, targets, nfolds, test_fold, counts)
     sidecar.save_metadata(spark, out, training)
     return training
