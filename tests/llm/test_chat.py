@@ -58,3 +58,16 @@ def test_digest_of_query(spark):
     text = "<|im_end|><|im_start|>assistant ok"
     assert r.n_turns == 2 and r.loss_chars == len(text)
     assert r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_conversations_and_texts(spark):
+    """Thousands of turns, and texts of a million characters full of control strings."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} <|im_end|>") for k in range(3000)]
+    rows += [(2, 0, "user", "<|im_start|>" * 80_000), (2, 1, "assistant", "é" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).withColumns({"read": chat.read_turns(F.col("formatted")), "loss": chat.read_loss_text(F.col("formatted"), F.col("loss_spans"))})
+    got = {r.conv_id: r for r in out.collect()}
+    for conv in (1, 2):
+        mine = [r for r in rows if r[0] == conv]
+        assert [(t.role, t.text) for t in got[conv].read] == [(r[2], r[3]) for r in mine] and got[conv].valid
+        assert got[conv].loss == "".join(r[3] for r in mine if r[2] == "assistant")
