@@ -480,7 +480,7 @@ def query_extract(spark, sf_dir):
 
 
 @registered(
-    f"with {GRID_SQL}, z as (select x, y, round((value - avg(value) over ()) / stddev_pop(value) over (), 4) as z, cast(dense_rank() over (order by event_id % 11) - 1 as int) as code from grid)"
+    f"with {GRID_SQL}, z as (select x, y, cast((value - avg(value) over ()) / stddev_pop(value) over () as float) as z, cast(dense_rank() over (order by event_id % 11) - 1 as int) as code from grid)"
     " select x, y, z, code from z"
 )
 def import_table(spark, sf_dir):
@@ -489,7 +489,7 @@ def import_table(spark, sf_dir):
     g = grid(spark, sf_dir).select("y", "x", "value", (F.col("event_id") % 11).cast("int").alias("kind"))
     features = pipeline.describe(g, grid_spec(spark, sf_dir), ["value"], ["kind"])
     pipeline.save_features(g, features, path)
-    return spark.read.parquet(path).select("x", "y", F.round(F.col("value").cast("double"), 4).alias("z"), F.col("kind").alias("code"))
+    return spark.read.parquet(path).select("x", "y", F.col("value").alias("z"), F.col("kind").alias("code"))
 
 
 @registered(f"with {GRID_SQL}, k as (select cast(event_id % 11 as int) as value, count(*) as n from grid group by 1) select value, n, (select round(avg(value), 6) from grid) as mean, (select round(stddev_pop(value), 6) from grid) as sd, 100 as width, (select cast(max(y) + 1 as int) from grid) as height from k")
