@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, chat, embeddings, langid, linededup, media, mixing, pii, secrets, simhash
+from gridloom.llm import bpe, chat, embeddings, langid, linededup, media, mixing, pii, secrets, simhash, trie
 from gridloom.llm.shared import scratch_path, spread
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -209,6 +209,64 @@ select d.doc_id, case when d.text is null then null else coalesce(k.text_left, '
 from documents d left join kept k on d.doc_id is not distinct from k.doc_id and d.text = k.text
 """
 
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 6
+    return trie.prefix_trie(*trie.rebranched(turns, conv - conv % 100, shared, 5))
+
+
+OP13_SQL = """
+with recursive bits as (
+  select i, 0 as k, i as c from range(256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8
+), crc_table as (
+  select list(c order by i) as t from bits where k = 8
+), sizes as (
+  select conv_id as conv, count(*) as len from conversations where conv_id is not null group by conv_id
+), crc as (
+  select conv, cast(conv as varchar) as s, 0 as k, cast(4294967295 as bigint) as c from sizes
+  union all
+  select conv, s, k + 1, xor(c >> 8, t[xor(c & 255, ascii(s[k + 1])) + 1]) from crc, crc_table where k < length(s)
+), plan as (
+  select z.conv, z.conv - z.conv % 100 as base, h, least(h, coalesce(b.len, 0)) as head, least(h, coalesce(b.len, 0)) + greatest(z.len - h, 0) as len
+  from sizes z join (select conv, xor(c, 4294967295) % 6 as h from crc where k = length(s)) using (conv) left join sizes b on b.conv = z.conv - z.conv % 100
+), turns as (
+  select conv_id as conv, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) as key, length(coalesce(text, '')) as chars,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as r
+  from conversations where conv_id is not null
+), rebuilt as (
+  select p.conv, r - h + head as depth, key, chars from turns t join plan p on p.conv = t.conv where r > h
+  union all
+  select p.conv, r, key, chars from turns t join plan p on p.base = t.conv where r <= h
+), prefixes as (
+  select conv, depth, chars, string_agg(key, '') over (partition by conv order by depth) as path from rebuilt
+  union all
+  select conv, 0, 0, '' from plan
+), nodes as (
+  select depth, path, min(conv) as m, count(*) as n_convs, min(chars) as chars from prefixes group by depth, path
+), paths as (
+  select p.conv, p.depth, n.m from prefixes p join nodes n on n.depth = p.depth and n.path = p.path
+), trie as (
+  select n.m, n.depth, p.m as pm, n_convs, chars from nodes n left join paths p on p.conv = n.m and p.depth = n.depth - 1
+), kids as (
+  select pm as m, depth - 1 as depth, count(*) as n_children from trie where depth > 0 group by all
+), valued as (
+  select t.*, coalesce(n_children, 0) as n_children from trie t left join kids k on k.m = t.m and k.depth = t.depth
+), sums as (
+  select a.m, a.depth, sum(cast(n_children = 0 as int)) as n_leaves, sum((n_convs - 1) * chars) as saved_tokens
+  from valued v join paths a on a.conv = v.m and a.depth <= v.depth group by a.m, a.depth
+), ends as (
+  select m, p.depth, sha256(string_agg(cast(p.conv as varchar), ',' order by p.conv)) as sha
+  from paths p join plan on plan.conv = p.conv and plan.len = p.depth group by m, p.depth
+)
+select v.m as conv_id, cast(v.depth as bigint) as depth, pm as parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens,
+       coalesce(sha, sha256('')) as ends_sha256
+from valued v join sums s on s.m = v.m and s.depth = v.depth left join ends e on e.m = v.m and e.depth = v.depth
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -220,6 +278,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_line_dedup": op10_line_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -228,4 +287,5 @@ ORACLES = {
     "op2_embedding_dedup": OP2_SQL,
     "op8_mix_sources": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
