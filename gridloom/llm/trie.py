@@ -130,13 +130,13 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, local: int = LOCAL) -> Data
     below.  ``paths``: (conv, depth, m, pm), the node and its parent of each conversation at
     each depth, so that a node's ancestors are those of its conversation m.
     """
-    root = nodes.where("depth = 0").select("m").first()
+    root = nodes.where("depth = 0").select("m", "w").first()
     if root is None:
         return nodes.select("m", "depth", "leaves", "tokens")
-    state, parts, finished = nodes.select("m", "depth", "pm", "w", "leaves", "tokens", F.lit(root.m).alias("cm"), F.lit(0).cast("long").alias("cd")), [], []
+    whole = [F.lit(root.m).alias("cm"), F.lit(0).cast("long").alias("cd"), F.lit(root.w).alias("total")]
+    # As a table: joins on columns that the optimiser knows to be constant would be cross joins.
+    sized, parts, finished = written(nodes.select("m", "depth", "pm", "w", "leaves", "tokens", *whole), "sized"), [], []
     while True:
-        total = written(state.groupBy("cm", "cd").agg(F.max("w").alias("total")), "totals")
-        sized = written(state.join(total, ["cm", "cd"]), "sized")
         finished.append(sized.where(F.col("total") <= local).drop("total"))
         large = sized.where(F.col("total") > local)
         at = F.struct("depth", "m", "w")
@@ -149,7 +149,9 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, local: int = LOCAL) -> Data
         parts.append(moved.where("path or z").select("m", "depth", "cm", "cd").join(written(sums, "sums"), ["cm", "cd"]).select("m", "depth", "leaves", "tokens"))
         under = F.col("below")
         state = moved.where("not z").select("m", "depth", "pm", (F.col("w") - F.when(F.col("path"), F.col("zw")).otherwise(0)).alias("w"), "leaves", "tokens", F.when(under, F.col("child")).otherwise(F.col("cm")).alias("cm"), F.when(under, F.col("zd") + 1).otherwise(F.col("cd")).alias("cd"))
-    parts.append(_finished(reduce(DataFrame.union, finished)))
+        total = written(state.groupBy("cm", "cd").agg(F.max("w").alias("total")), "totals")
+        sized = written(state.join(total, ["cm", "cd"]), "sized")
+    parts.append(_finished(reduce(DataFrame.unionByName, finished)))
     return reduce(DataFrame.union, parts).groupBy("m", "depth").agg(F.sum("leaves").alias("leaves"), F.sum("tokens").alias("tokens"))
 
 
