@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, chat, embeddings, langid, linededup, media, mixing, pii, secrets, simhash, trie
+from gridloom.llm import bpe, chat, embeddings, importance, langid, linededup, media, mixing, pii, secrets, simhash, trie
 from gridloom.llm.shared import scratch_path, spread
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -210,6 +210,11 @@ from documents d left join kept k on d.doc_id is not distinct from k.doc_id and
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.numbered_turns(_table(spark, sf_dir, "conversations"))
     conv = F.col("conv")
@@ -278,6 +283,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_line_dedup": op10_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
