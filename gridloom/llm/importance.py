@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.shared import written
 
@@ -217,8 +218,8 @@ def importance_weights(docs: DataFrame, gains: list[int], text_col: str = "text"
             weight[:] = n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, (words, features, weight))], [*kept, "n_words", "n_features", "weight"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]], "n_words long, n_features long, weight long"])
-    return slim.mapInArrow(weighted, schema)
+    added = [T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight")]
+    return slim.mapInArrow(weighted, T.StructType([*slim.schema.fields[:-1], *added]))
 
 
 def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 100), seed: int = 42, least_words: int = 20, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,8 +240,9 @@ def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 1
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
     scored = importance_weights(packed, gains).withColumn("score", F.col("weight") + noise).withColumn("late", F.col("n_words") < least_words)
+    scored = written(scored, "scored")  # range partitioning reads its input twice
     order = ["late", F.desc("score"), F.asc_nulls_last("id")]
-    placed = written(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "scored")
+    placed = written(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("at", 33)
     sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_if(~F.col("late")).alias("fit")).collect())  # one row a partition
     drawn, before, bases = sum(s.fit for s in sizes) * share[0] // share[1], 0, []

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, chat, embeddings, importance, langid, linededup, media, mixing, pii, secrets, simhash, trie
+from gridloom.llm import bpe, chat, embeddings, importance, langid, linededup, media, mixing, pii, secrets, simhash, suffixes, trie
 from gridloom.llm.shared import scratch_path, spread
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -210,6 +210,12 @@ from documents d left join kept k on d.doc_id is not distinct from k.doc_id and
 """
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return left.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resampled(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -283,6 +289,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_line_dedup": op10_line_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
