@@ -30,7 +30,8 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +39,11 @@ from gridloom.llm.shared import packed, unpacked, written
 
 LENGTH = 400
 #: Contexts of a class that meet in one task.
-GROUP = 2048
+GROUP = 1024
 #: Windows of the runs that too large classes are cut to, one after the other.
 FINER = (16, 1)
 #: Bytes of text that are looked at together, shards of a class, rounds of a merge.
-BATCH, SHARDS, ROUNDS = 1 << 19, 4, 4
+BATCH, SHARDS, ROUNDS = 1 << 18, 4, 4
 # Fixed values of the SplitMix64 generator's finaliser; the other two are odd numbers at will.
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -73,7 +74,7 @@ class Hashes:
 
     def __init__(self, data: bytes):
         n, padded = len(data), data + bytes(16)
-        self.room = 1 << max(21, len(padded).bit_length())
+        self.room = 1 << max(20, len(padded).bit_length())
         eight = np.empty(n + 8, np.uint64)
         for r in range(8):
             eight[r::8] = np.frombuffer(padded, "<u8", len(eight[r::8]), r)
@@ -229,20 +230,32 @@ def _slices(column, length):
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (d1, d2, s0, s1, a, c, x1, x2) of the runs of all texts."""
+    """Rows (doc, run, c, x1, x2) of the runs of all texts, ``run`` as ``_unpacked`` reads it, and for
+    each text one row without a class that tells its digests x1 and x2.  Numbers of texts go on
+    within a task: they are short, unlike digests, and say no more than that row does."""
 
     def rows(batches):
+        doc = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys = [batch.column(k).to_numpy() for k in (0, 1)]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(doc, doc + n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *batch.columns[:2]], names)
             for pieces, places in _slices(batch.column(2), length):
                 ends = np.cumsum([len(p) for p in pieces])
-                first, last, anchor, *names = runs_of(b"".join(pieces), ends, length)
+                first, last, anchor, *digests = runs_of(b"".join(pieces), ends, length)
                 piece = np.searchsorted(ends, first, "right")
                 row, at = (np.array(x) for x in zip(*places))
-                shift = (at - ends + [len(p) for p in pieces])[piece]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*[k[row[piece]] for k in keys], first + shift, last + shift, anchor + shift, *[n.view(np.int64) for n in names])], ["d1", "d2", "s0", "s1", "a", "c", "x1", "x2"])
+                run = ((first + (at - ends + [len(p) for p in pieces])[piece]) * length + last - first) * length + anchor - first
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc + row[piece], run, *[d.view(np.int64) for d in digests])], names)
+            doc += n
 
-    return texts.select("d1", "d2", "text").mapInArrow(rows, "d1 long, d2 long, s0 long, s1 long, a long, c long, x1 long, x2 long")
+    names = ["doc", "run", "c", "x1", "x2"]
+    return texts.select("d1", "d2", "text").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+
+
+def _unpacked(length: int) -> list[Column]:
+    """s0, s1 and a, the first and last start and the anchor of ``run``."""
+    s0 = F.expr(f"run div {length * length}L")
+    return [s0.alias("s0"), (s0 + F.expr(f"run div {length}L % {length}L")).alias("s1"), (s0 + F.expr(f"run % {length}L")).alias("a")]
 
 
 def _with_texts(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -257,9 +270,13 @@ def _met(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     are repeated within their class, counted from the context's first."""
 
     def cut(batches):
+        seen = set()  # copies of a text, which the join brings together, give the same pieces
         for batch in batches:
             out = []
-            for text, wanted in zip(batch.column(0), batch.column(1)):
+            for text, wanted, d1, d2 in zip(*batch.columns):
+                if (d1.as_py(), d2.as_py()) in seen:
+                    continue
+                seen.add((d1.as_py(), d2.as_py()))
                 t = text.as_py()
                 out += [(w["c"], w["x1"], w["x2"], w["n"], t[w["s0"] : w["s1"] + length]) for w in wanted.as_py()]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -279,6 +296,8 @@ def _met(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][:3] == r[:3]:  # a copy from another task
+                    continue
                 if size >= BATCH and held[-1][0] != r[0]:
                     yield out(held)
                     held, size = [], 0
@@ -287,10 +306,8 @@ def _met(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    pieces = _with_texts(texts, contexts, ["c", "x1", "x2", "n", "s0", "s1"]).select("text", "wanted").mapInArrow(cut, "c long, x1 long, x2 long, n long, bytes binary")
-    # Copies of a text give the same pieces, which fall together before they travel.
-    pieces = pieces.groupBy("c", "x1", "x2").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    return pieces.repartition("c").sortWithinPartitions("c").mapInArrow(merged, "c long, x1 long, x2 long, lo long, hi long")
+    pieces = _with_texts(texts, contexts, ["c", "x1", "x2", "n", "s0", "s1"]).mapInArrow(cut, "c long, x1 long, x2 long, n long, bytes binary")
+    return pieces.repartition("c").sortWithinPartitions("c", "x1", "x2").mapInArrow(merged, "c long, x1 long, x2 long, lo long, hi long")
 
 
 def _finer(texts: DataFrame, contexts: DataFrame, width: int, length: int) -> DataFrame:
@@ -334,39 +351,39 @@ def _finer(texts: DataFrame, contexts: DataFrame, width: int, length: int) -> Da
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Rows (d1, d2, start, stop): spans of repeated windows of ``texts`` (d1, d2, text: digests
-    that tell texts apart, and bytes), overlapping ones among them."""
+    """Rows (d1, d2, found): the spans (start, stop) of repeated windows of ``texts`` (d1, d2, text:
+    digests that tell texts apart, and bytes), overlapping ones among them.  Copies of a text
+    have the same spans, and one row."""
     runs = written(_runs(texts, length), "runs")
-    met = runs.groupBy("c").agg(F.count("*").alias("n"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("x1", "x2") for f in (F.min, F.max)]).where("n > 1")
-    met = written(met.select(F.col("c").alias("_c"), ((F.col("x1_min") == F.col("x1_max")) & (F.col("x2_min") == F.col("x2_max"))).alias("one")), "classes")
-    shared = written(runs.join(met, F.col("c") == F.col("_c")).drop("_c"), "shared")
-    spans = [shared.where("one").select("d1", "d2", F.col("s0").alias("start"), (F.col("s1") + length).alias("stop"))]
-    place = ["d1", "d2", "s0", "s1", "a"]
-    contexts = shared.where("not one").groupBy("c", "x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("at"))
-    contexts = contexts.select("c", "x1", "x2", "n", *[F.col(f"at.{p}").alias(p) for p in place])
-    items = written(contexts.select("*", F.col("c").alias("h"), F.col("x1").alias("h1"), F.col("x2").alias("h2"), F.lit(0).cast("long").alias("off")), "items")
-    found = []
+    names = runs.where("c is null").select("doc", F.col("x1").alias("d1"), F.col("x2").alias("d2"))
+    runs = runs.where("c is not null")
+    met = written(runs.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "classes")
+    shared = written(runs.join(met, "c", "left_semi"), "shared")
+    items = shared.groupBy("c", "x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "run")).alias("at")).select("c", "x1", "x2", "n", "at.doc", "at.run")
+    place, home = ["d1", "d2", "s0", "s1", "a"], [F.col("c").alias("h"), F.col("x1").alias("h1"), F.col("x2").alias("h2")]
+    items = items.join(names, "doc").select("c", "x1", "x2", "n", "d1", "d2", *_unpacked(length), *home, F.lit(0).cast("long").alias("off"))
+    located = lambda rows: rows.groupBy("c", "x1", "x2").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("at")).select("c", "x1", "x2", "n", *[F.col(f"at.{p}").alias(p) for p in place])
+    items, found = written(items, "items"), []
     for width in (*FINER, None):
         # Contexts of one content, from whatever runs they were cut, and classes by their number.
-        contexts = items.groupBy("c", "x1", "x2").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("at"))
-        contexts = written(contexts.select("c", "x1", "x2", "n", *[F.col(f"at.{p}").alias(p) for p in place]), "contexts")
+        contexts = items if not found else written(located(items), "contexts")
         sizes = contexts.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("different"), F.sum("n").alias("met"))
         sizes = written(sizes.where("met > 1"), "sizes")
         of = lambda rows, test: rows.join(sizes.where(test).select("_c"), F.col("c") == F.col("_c")).drop("_c")
-        home = [F.col("h").alias("c"), F.col("h1").alias("x1"), F.col("h2").alias("x2")]
-        found.append(of(items, "different = 1").select(*home, F.col("off").alias("lo"), (F.col("off") + F.col("s1") - F.col("s0")).alias("hi")))
+        found.append(of(items, "different = 1").select("h", "h1", "h2", F.col("off").alias("lo"), (F.col("off") + F.col("s1") - F.col("s0")).alias("hi")))
         some = _met(texts, of(contexts, f"different between 2 and {group}"), length).withColumnsRenamed({"c": "m", "x1": "m1", "x2": "m2"})
         some = written(some, "met")
         here = items.join(some, (F.col("c") == F.col("m")) & (F.col("x1") == F.col("m1")) & (F.col("x2") == F.col("m2")))
-        found.append(here.select(*home, (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi")))
+        found.append(here.select("h", "h1", "h2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi")))
         many = written(of(items, f"different > {group}"), "many")
         if width is None or many.isEmpty():
             break
         items = written(_finer(texts, many, width, length), "items")
-    ranges = written(reduce(DataFrame.union, found).withColumnsRenamed({"c": "m", "x1": "m1", "x2": "m2"}), "ranges")
-    back = shared.where("not one").join(ranges, (F.col("c") == F.col("m")) & (F.col("x1") == F.col("m1")) & (F.col("x2") == F.col("m2")))
-    spans.append(back.select("d1", "d2", (F.col("s0") + F.col("lo")).alias("start"), (F.col("s0") + F.col("hi") + length).alias("stop")))
-    return reduce(DataFrame.union, spans)
+    ranges = written(reduce(DataFrame.union, found), "ranges")
+    back = shared.join(ranges, (F.col("c") == F.col("h")) & (F.col("x1") == F.col("h1")) & (F.col("x2") == F.col("h2")))
+    s0 = _unpacked(length)[0]
+    spans = back.groupBy("doc").agg(F.collect_set(F.struct((s0 + F.col("lo")).alias("start"), (s0 + F.col("hi") + length).alias("stop"))).alias("found"))
+    return spans.join(names, "doc").groupBy("d1", "d2").agg(F.first("found").alias("found"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -378,13 +395,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts of ``length`` bytes or more that occur twice go whole.  Null and shorter texts have no spans; an
     empty table stays empty.  Columns named like those added are replaced.
     """
-    rows = packed(docs, text_col).withColumn("bytes", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    digests = [F.xxhash64("bytes").alias("d1"), F.xxhash64(F.lit("second"), "bytes").alias("d2")]
-    texts = rows.select(F.col("bytes").alias("text"), *digests).where(F.length("text") >= length)
-    # Copies of a text have the same spans, which fall together before they are listed.
-    spans = repeated_ranges(texts, length, group).distinct()
-    spans = spans.groupBy(F.col("d1").alias("_1"), F.col("d2").alias("_2")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    known = rows.select("row", "text", "bytes", *digests).join(written(spans, "spans"), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
+    rows = packed(docs, text_col)
+    digests = [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2")]
+    texts = rows.select(F.col("text").cast("binary").alias("text"), *digests).where(F.length("text") >= length)
+    spans = repeated_ranges(texts, length, group).withColumnsRenamed({"d1": "_1", "d2": "_2"})
+    known = rows.select("row", "text", *digests).join(written(spans, "spans"), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
 
     def cut(batches):
         for batch in batches:
@@ -401,7 +416,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)])))
             yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], ["row", "spans", "kept"])
 
-    whole = known.select(F.struct("row", "text").alias("row"), "bytes", "found")
+    whole = known.select(F.struct("row", "text").alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"), "found")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     out = whole.mapInArrow(cut, T.StructType([whole.schema["row"], T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
     return unpacked(out.select(F.col("row.row").alias("row"), F.col("row.text").alias("text"), "spans", "kept"), docs, text_col, spans=F.col("spans"), kept=F.col("kept"))
