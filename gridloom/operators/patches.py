@@ -6,10 +6,19 @@ A patch cell is masked for one of two reasons, which stay apart: it lies outside
 
 from __future__ import annotations
 
+from math import isqrt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.values import flatten_patch
+from gridloom.shipping import ship
+
+#: Values of a block with its overlap, and of the patches that leave a task at once.
+BLOCK_VALUES, SENT_VALUES = 1 << 21, 1 << 21
 
 
 def _quoted(names: list[str]) -> list[Column]:
@@ -96,6 +105,96 @@ def patch_scatter(pixels: DataFrame, halfwidth: int, bands: list[str], width: in
     return out.select("y", "x", *_quoted(bands), *[F.transform(f"`{b}`", F.isnull).alias(f"{b}_mask") for b in bands], "in_image")
 
 
+def block_side(halfwidth: int, bands: int) -> int:
+    """Pixels along the side of a block: many times the overlap, as far as its values allow."""
+    return max(2 * halfwidth + 1, min(512, isqrt(BLOCK_VALUES // max(1, bands)) - 2 * halfwidth))
+
+
+def dealt_to_blocks(pixels: DataFrame, halfwidth: int, bands: list[str], width: int, first: int, stop: int, side: int) -> DataFrame:
+    """Rows (by, bx, y, x, bands...): each pixel once for each block of ``side`` x ``side`` centres of
+    image rows [first, stop) whose patches can reach it, which is 1 + 2 halfwidth / side times in
+    each direction."""
+    y, x = F.col("y").cast("int"), F.col("x").cast("int")
+    near = pixels.where((F.col("y") >= first - halfwidth) & (F.col("y") < stop + halfwidth) & F.col("x").between(0, width - 1))
+
+    def blocks(at: Column, low: int, high: int) -> Column:
+        number = lambda c: F.floor((c - low) / F.lit(side)).cast("int")
+        return F.sequence(number(F.greatest(at - halfwidth, F.lit(low))), number(F.least(at + halfwidth, F.lit(high - 1))))
+
+    across = near.select(F.explode(blocks(y, first, stop)).alias("by"), y.alias("y"), x.alias("x"), *_quoted(bands))
+    return across.select("by", F.explode(blocks(x, 0, width)).alias("bx"), "y", "x", *_quoted(bands))
+
+
+def patch_blocks(pixels: DataFrame, halfwidth: int, bands: list[str], width: int, first: int, stop: int, side: int | None = None) -> DataFrame:
+    """As ``patch_scatter``, by overlapping blocks: a task holds a block of bounded size and slides
+    windows over it, so that a pixel travels about once and not once for each patch it is in.
+    Without a neighbourhood nothing travels.  Each pixel is there once at most."""
+    names = ["y", "x", *bands, *[f"{b}_mask" for b in bands], "in_image"]
+    if halfwidth == 0:
+        here = pixels.where((F.col("y") >= first) & (F.col("y") < stop) & F.col("x").between(0, width - 1))
+        values = [F.array(F.col(f"`{b}`")).alias(b) for b in bands]
+        masks = [F.array(F.col(f"`{b}`").isNull()).alias(f"{b}_mask") for b in bands]
+        return here.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *values, *masks, F.array(F.lit(True)).alias("in_image"))
+    ship(pixels.sparkSession)
+    side = side or block_side(halfwidth, len(bands))
+    wide, cells = side + 2 * halfwidth, (2 * halfwidth + 1) ** 2
+    dealt = dealt_to_blocks(pixels, halfwidth, bands, width, first, stop, side)
+    dealt = dealt.toDF("by", "bx", "y", "x", *[f"v{k}" for k in range(len(bands))])  # names without dots
+    plain = [f"c{k}" for k in range(len(names))]
+    booleans = T.ArrayType(T.BooleanType())
+    kinds = [T.IntegerType(), T.IntegerType(), *[T.ArrayType(f.dataType) for f in dealt.schema.fields[4:]], *[booleans] * (len(bands) + 1)]
+
+    def windows(grid: np.ndarray, rows: slice) -> np.ndarray:
+        """(pixels of the rows, cells of the patch) of a block with its overlap."""
+        view = np.lib.stride_tricks.sliding_window_view(grid, (2 * halfwidth + 1, 2 * halfwidth + 1))
+        return view[rows].reshape(-1, cells)
+
+    def patches_of(block: pa.Table):
+        by, bx = (block.column(k)[0].as_py() for k in (0, 1))
+        y0, x0 = first + by * side, bx * side
+        place = (block.column(2).to_numpy() - y0 + halfwidth) * wide + block.column(3).to_numpy() - x0 + halfwidth
+        there = np.zeros(wide * wide, bool)
+        there[place] = True
+        layers = []
+        for k in range(len(bands)):
+            column = block.column(4 + k).combine_chunks()
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            held = column.drop_null().to_numpy(zero_copy_only=False)
+            values, missing = np.zeros(wide * wide, held.dtype), np.ones(wide * wide, bool)
+            values[place[known]], missing[place[known]] = held, False
+            layers.append((values.reshape(wide, wide), missing.reshape(wide, wide), column.type))
+        there = there.reshape(wide, wide)
+        high, across = min(side, stop - y0), min(side, width - x0)
+        each = max(1, SENT_VALUES // (side * cells * max(1, len(bands))))
+        for a in range(0, high, each):
+            rows = slice(a, min(high, a + each))
+            inside = windows(there, rows)
+            n = rows.stop - a
+            kept = (np.tile(np.arange(side), n) < across) & inside.any(axis=1)
+            at = pa.array(np.arange(kept.sum() + 1, dtype=np.int32) * np.int32(cells))
+            lists = lambda values: pa.ListArray.from_arrays(at, values)
+            yx = [np.repeat(np.arange(a, rows.stop) + y0, side)[kept], (np.tile(np.arange(side), n) + x0)[kept]]
+            hidden = [windows(m, rows)[kept].ravel() for _, m, _ in layers]
+            filled = [pa.array(windows(v, rows)[kept].ravel(), kind, mask=m) for (v, _, kind), m in zip(layers, hidden)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in yx], *map(lists, filled), *[lists(pa.array(m)) for m in hidden], lists(pa.array(inside[kept].ravel()))], plain)
+
+    def blocks(batches):
+        held = []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and any(held[-1].column(k)[0] != batch.column(k)[a] for k in (0, 1)):
+                    yield from patches_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from patches_of(pa.Table.from_batches(held))
+
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(plain, kinds)])
+    return dealt.repartition("by", "bx").sortWithinPartitions("by", "bx").mapInArrow(blocks, schema).toDF(*names)
+
+
 def patch_summary(cells: DataFrame, band: str, id_col: str = "pid") -> DataFrame:
     """Mean of a band over each patch, and how many cells are outside or missing."""
     v = F.col(f"`{band}`")

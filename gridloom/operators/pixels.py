@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from math import sqrt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import GridSpec, pixel_index, pixel_position, strip_bounds, strip_number
+from gridloom.operators import ranking
 
-#: More points than this are not drawn at once.
-MAX_SAMPLE = 10_000_000
 #: Batches of which one range's offsets are summed up in one place.
 GROUP = 100_000
 
@@ -40,20 +37,9 @@ def keyed_order(id_col, seed: int, arithmetic: bool = False):
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 666, arithmetic: bool = False) -> DataFrame:
-    """Exactly ``n`` rows without replacement, the same ones however ``df`` is partitioned."""
-    if n > MAX_SAMPLE:
-        raise ValueError(f"at most {MAX_SAMPLE} rows can be sampled")
-    order = keyed_order(id_col, seed, arithmetic)
-    low, high = (0, 1 << 32) if arithmetic else (-(1 << 63), 1 << 63)
-    whole = df.count()
-    # Orders are even over their range: below this share of it lie n rows, but with a chance of
-    # 1e-15; if there are fewer after all, all rows are sorted.
-    share = (n + 8 * sqrt(n) + 64) / max(whole, 1)
-    if share < 0.5:
-        few = df.where(order < F.lit(int(low + share * (high - low))))
-        if few.count() >= n:
-            df = few
-    return df.orderBy(order, id_col).limit(n)
+    """Exactly ``n`` rows without replacement, or all if there are fewer; the same ones however ``df``
+    is partitioned, in no order.  Rows with one id are drawn one after the other."""
+    return ranking.smallest(df, keyed_order(id_col, seed, arithmetic), n, id_col)
 
 
 def sample_pixels(spark: SparkSession, grid: GridSpec, n: int, seed: int = 666) -> DataFrame:
@@ -74,8 +60,15 @@ def every(df: DataFrame, step: int, id_col: str, seed: int = 666, arithmetic: bo
 
 
 def take(df: DataFrame, n: int | None, *order: str) -> DataFrame:
-    """The first ``n`` rows in an explicit order; None takes all, 0 none."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    """The first ``n`` rows in an explicit order; None takes all, 0 none.  Of a whole-numbered order of one
+    column they are found by its threshold and come in no order; of any other, rows are numbered
+    by range."""
+    if n is None:
+        return df
+    kind = dict(df.dtypes).get(order[0]) if order and isinstance(order[0], str) else None
+    if len(order) == 1 and kind in ("tinyint", "smallint", "int", "bigint"):
+        return ranking.smallest(df, F.col(order[0]), n, order[0])
+    return ranking.numbered(df, *order, out="_place").where(F.col("_place") < n).drop("_place")
 
 
 def repeated(df: DataFrame, epochs: int) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.values import z_score
+from gridloom.operators import ranking
 
 #: Categories whose dictionary may be broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST_CATEGORIES = 1_000_000
@@ -82,10 +82,10 @@ def category_counts(df: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def category_map(df: DataFrame, bands: list[str]) -> DataFrame:
-    """The dictionary: (band, value, code, n), codes from 0 in order of values.  Windows run
-    over distinct values only."""
-    rank = F.dense_rank().over(W.partitionBy("band").orderBy("value")) - 1
-    return category_counts(df, bands).withColumn("code", rank.cast("int")).select("band", "value", "code", "n")
+    """The dictionary: (band, value, code, n), codes from 0 in order of values.  Distinct values are
+    numbered by range partitioning, so that a band may have any number of them."""
+    coded = ranking.within(category_counts(df, bands), "band", "value", out="code")
+    return coded.select("band", "value", F.col("code").cast("int").alias("code"), "n")
 
 
 def category_arrays(mapping: DataFrame) -> DataFrame:

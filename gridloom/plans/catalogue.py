@@ -108,6 +108,12 @@ def category_map(spark, sf_dir):
     return stats.category_map(grid(spark, sf_dir), ["event_type"])
 
 
+@registered("with d as (select l_partkey, dense_rank() over (order by l_partkey) - 1 as code from lineitem) select l_partkey as value, cast(min(code) as int) as code, count(*) as n from d group by 1")
+def part_codes(spark, sf_dir):
+    """A dictionary of very many values."""
+    return stats.category_map(table(spark, sf_dir, "lineitem"), ["l_partkey"]).select("value", "code", "n")
+
+
 @registered(
     f"with {GRID_SQL}, m as (select event_type as v, count(*) as n from grid group by 1)"
     " select 'event_type' as band, string_agg(v, '|' order by v) as \"values\", string_agg(cast(n as varchar), '|' order by v) as counts, cast(count(*) as int) as n_values from m"
@@ -370,6 +376,13 @@ def patch_scatter(spark, sf_dir):
     return _cells_text(out.withColumn("pid", F.col("y").cast("long") * WIDTH + F.col("x")))
 
 
+@registered(PATCH_TEXT_SQL)
+def patch_by_blocks(spark, sf_dir):
+    g = grid(spark, sf_dir).withColumn("cell", F.col("event_id"))
+    out = patches.patch_blocks(g, 1, ["cell"], WIDTH, 0, grid_spec(spark, sf_dir).y.n, side=64)
+    return _cells_text(out.withColumn("pid", F.col("y").cast("long") * WIDTH + F.col("x")))
+
+
 # ----------------------------------------------------------------- extraction
 @registered("select cast(vec_id % 25 as int) as x, cast(vec_id // 25 as int) as y, embedding[1] as a, embedding[2] as b from embeddings")
 def stack_join(spark, sf_dir):
@@ -377,19 +390,6 @@ def stack_join(spark, sf_dir):
     return pixels.stacked(e.select("x", "y", F.get("embedding", F.lit(0)).alias("a")), e.select("x", "y", F.get("embedding", F.lit(1)).alias("b")))
 
 
-@registered(f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL} select row_id, ix, iy, value, event_type from located l left join grid g on g.x = l.ix and g.y = l.iy where iy is not null")
-def read_coords(spark, sf_dir):
-    located = pixels.located(points(spark, sf_dir), grid_spec(spark, sf_dir), "x", "y", "drop").select("row_id", "ix", "iy")
-    g = grid(spark, sf_dir).select(F.col("x").alias("ix"), F.col("y").alias("iy"), "value", "event_type")
-    return located.join(g, ["ix", "iy"], "left").select("row_id", "ix", "iy", "value", "event_type")
-
-
-@registered(f"with {GRID_SQL} select o_orderkey, g.event_id, g.value from orders join grid g on g.x = o_orderkey % 100 and g.y = o_custkey % 100")
-def read_ix(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % WIDTH).cast("int").alias("x"), (F.col("o_custkey") % 100).cast("int").alias("y"))
-    return o.join(grid(spark, sf_dir), ["x", "y"]).select("o_orderkey", "event_id", "value")
-
-
 def _features(spark, sf_dir) -> str:
     """The grid as a feature table."""
     path, g = scratch_folder(spark, "features"), grid(spark, sf_dir)
@@ -416,11 +416,11 @@ def reader_coords(spark, sf_dir):
     return _reader(spark, sf_dir).read_coords(asked, "drop").select("row_id", "copy", "ix", "iy", *_read_columns())
 
 
-@registered(f"with {GRID_SQL} select o_orderkey, g.x as ix, g.y as iy, {READ_SQL} from orders join grid g on g.x = o_orderkey % 100 and g.y = o_custkey % 10")
+@registered(f"with {GRID_SQL} select o_orderkey, g.x as ix, g.y as iy, {READ_SQL} from orders left join grid g on g.x = o_orderkey % 130 - 15 and g.y = o_custkey % 10 - 2")
 def reader_ix(spark, sf_dir):
-    """Orders that ask for the same pixel again and again."""
-    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % WIDTH).cast("int").alias("x"), (F.col("o_custkey") % 10).cast("int").alias("y"))
-    return _reader(spark, sf_dir).read_ix(asked).select("o_orderkey", "ix", "iy", *_read_columns())
+    """Orders that ask for the same pixel again and again, and for some outside the grid."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 130 - 15).cast("int").alias("x"), (F.col("o_custkey") % 10 - 2).cast("int").alias("y"))
+    return _reader(spark, sf_dir).read_ix(asked, "null").select("o_orderkey", "ix", "iy", *_read_columns())
 
 
 @registered(

@@ -19,7 +19,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.grid import strip_bounds
 from gridloom.functions.values import one_hot
+from gridloom.operators import pixels
 from gridloom.operators import score as scores
 from gridloom.sources import sidecar, tiff
 from gridloom.sources.sidecar import Features, Training
@@ -139,7 +141,7 @@ def train(spark: SparkSession, data: str, model, max_points: int | None = None)
     samples = spark.read.parquet(data)
     fit_on = samples.where("split = 'train'")
     if max_points is not None:
-        fit_on = fit_on.orderBy("row_id").limit(max_points)
+        fit_on = pixels.take(fit_on, max_points, "row_id")
     model.fit(fit_on, meta)
     return model, model.score(model.predict(samples.where("split = 'test'")), meta)
 
@@ -184,7 +186,7 @@ def predict(spark: SparkSession, model, query: str, folder: str | None = None) -
     if folder:
         k, n = features.strip
         labels = [c for c in out.columns if c.startswith("predictions_")]
-        first = out.agg(F.min("iy")).first()[0]
+        first = strip_bounds(features.grid.y.n, n)[k - 1][0]
         part = features.grid.strip(k, n)
         tiff.write_rasters(out.select((F.col("iy") - first).alias("y"), F.col("ix").alias("x"), *labels), part, folder, labels, f"{k}of{n}").collect()
     return out

@@ -97,11 +97,15 @@ def import_targets(points: DataFrame, out: str, labels: list[str], kind: str = "
     return meta
 
 
-def gathered(centres: DataFrame, table: DataFrame, features: Features, id_col: str) -> DataFrame:
-    """``centres`` (with ix, iy) and the arrays of their patches."""
+def gathered(centres: DataFrame, table: DataFrame, features: Features) -> DataFrame:
+    """``centres`` (with ix, iy) and the arrays of their patches.  A pixel's patch is read once, however many
+    centres lie in it, and whatever their ids are."""
     con, cat = list(features.continuous), list(features.categorical)
-    cells = patches.patch_cells(centres, table, features.halfwidth, features.bands, id_col, "ix", "iy")
-    return centres.join(_by_cell(patches.patch_arrays(cells, features.bands, id_col), con, cat, [id_col]), id_col)
+    pixel = F.col("iy").cast("long") * features.grid.x.n + F.col("ix")
+    asked = centres.where("ix is not null and iy is not null").select(pixel.alias("_pixel"), "ix", "iy").dropDuplicates(["_pixel"])
+    cells = patches.patch_cells(asked, table, features.halfwidth, features.bands, "_pixel", "ix", "iy")
+    found = _by_cell(patches.patch_arrays(cells, features.bands, "_pixel"), con, cat, ["_pixel"])
+    return centres.withColumn("_pixel", pixel).join(found, "_pixel", "left").drop("_pixel")
 
 
 def _by_cell(arrays: DataFrame, con: list[str], cat: list[str], keys: list[str]) -> DataFrame:
@@ -124,8 +128,10 @@ def extract_traintest(spark: SparkSession, features_path: str, targets_path: str
     table, points = spark.read.parquet(features_path), spark.read.parquet(targets_path)
     centres = pixels.located(points, features.grid, "x", "y", outside)
     y = F.array(*[F.col(f"`{b}`").cast("double") for b in targets.labels])
+    if outside == "null":  # points outside have no sample
+        centres = centres.where("ix is not null and iy is not null")
     centres = centres.select("row_id", "ix", "iy", F.col("x").alias("cx"), F.col("y").alias("cy"), y.alias("y"))
-    samples = folds.split(folds.with_fold(gathered(centres, table, features, "row_id"), nfolds, "row_id", seed, arithmetic), test_fold, nfolds)
+    samples = folds.split(folds.with_fold(gathered(centres, table, features), nfolds, "row_id", seed, arithmetic), test_fold, nfolds)
     samples.write.mode("overwrite").partitionBy("split").parquet(out)
     counts = {r.fold: r.n for r in folds.fold_counts(folds.with_fold(centres, nfolds, "row_id", seed, arithmetic), nfolds).collect()}
     training = Training(features, targets, nfolds, test_fold, counts)
@@ -139,7 +145,7 @@ def extract_query(spark: SparkSession, features_path: str, out: str, strip: int
     features = sidecar.load_metadata(spark, features_path, Features)
     features.halfwidth, features.strip = halfwidth, (strip, strips)
     start, stop = strip_bounds(features.grid.y.n, strips)[strip - 1]
-    arrays = patches.patch_scatter(spark.read.parquet(features_path), halfwidth, features.bands, features.grid.x.n, start, stop)
+    arrays = patches.patch_blocks(spark.read.parquet(features_path), halfwidth, features.bands, features.grid.x.n, start, stop)
     cells = _by_cell(arrays, list(features.continuous), list(features.categorical), ["y", "x"])
     placed = pixels.positioned(cells.withColumn("pixel", F.col("y").cast("long") * features.grid.x.n + F.col("x")), features.grid)
     placed.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy", "con", "cat", "con_mask", "cat_mask").write.mode("overwrite").parquet(out)
@@ -171,16 +177,28 @@ class FeatureReader:
         chosen = pixels.all_pixels(self.spark, self.features.grid) if n is None else pixels.sample_pixels(self.spark, self.features.grid, n, seed)
         return pixels.shuffled(self.read_ix(chosen.select("x", "y")), "pixel", seed)
 
-    def read_ix(self, indices: DataFrame) -> DataFrame:
+    def read_ix(self, indices: DataFrame, outside: str = "error") -> DataFrame:
         """By pixel columns (x, y): one row for each row of ``indices``, with its other columns.
-        Pixels asked for repeatedly are read once."""
-        w = self.features.grid.x.n
-        asked = indices.withColumn("pixel", F.col("y").cast("long") * w + F.col("x"))
-        centres = pixels.positioned(asked.select("pixel", "x", "y").dropDuplicates(["pixel"]), self.features.grid)
-        read = gathered(centres.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy"), self.table, self.features, "pixel")
-        return asked.drop("x", "y").join(read, "pixel")
+        Pixels asked for repeatedly are read once.  An index outside the grid is an error, or its
+        row is dropped (``drop``) or comes without a pixel (``null``), as one with a null index does."""
+        w, h = self.features.grid.x.n, self.features.grid.y.n
+        x, y = F.col("x").cast("long"), F.col("y").cast("long")
+        inside = x.between(0, w - 1) & y.between(0, h - 1)
+        if outside == "drop":
+            indices = indices.where(inside)
+        elif outside == "error":
+            told = F.concat(F.lit("outside the grid: "), x.cast("string"), F.lit(", "), y.cast("string"))
+            inside = F.when(inside, True).when(inside.isNotNull(), F.raise_error(told).cast("boolean"))
+        elif outside != "null":
+            raise ValueError(f"outside must be 'error', 'null' or 'drop', not {outside!r}")
+        asked = indices.withColumn("_inside", inside)
+        held = lambda c: F.when(F.col("_inside"), c.cast("int"))
+        placed = pixels.positioned(asked.withColumns({"ix": held(x), "iy": held(y)}), self.features.grid, "ix", "iy")
+        pixel = F.col("iy").cast("long") * w + F.col("ix")
+        return gathered(placed.drop("x", "y", "_inside").withColumn("pixel", pixel), self.table, self.features)
 
     def read_coords(self, points: DataFrame, outside: str = "error") -> DataFrame:
-        """By world columns (x, y): one row for each point within the grid, with its other columns."""
+        """By world columns (x, y): one row for each point within the grid, with its other columns;
+        ``outside`` as in ``read_ix``."""
         found = pixels.located(points, self.features.grid, "x", "y", outside)
-        return self.read_ix(found.drop("x", "y").withColumnsRenamed({"ix": "x", "iy": "y"}))
+        return self.read_ix(found.drop("x", "y").withColumnsRenamed({"ix": "x", "iy": "y"}), outside)

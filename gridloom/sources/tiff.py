@@ -391,7 +391,10 @@ class _StackReader(DataSourceReader):
                     if hidden is not None:
                         gone |= hidden[:, :, min(k, hidden.shape[2] - 1)].ravel()
                     sentinel = MISSING["int" if target is np.int32 else "float"]
-                    out = np.where(gone, 0, v).astype(target)
+                    kept = np.where(gone, 0, v)
+                    if target is np.int32 and ((kept < -(1 << 31)) | (kept >= 1 << 31) | (kept != np.trunc(kept))).any():
+                        raise ValueError(f"{im.path}, {im.names[k]}: categories must be whole numbers of 32 bits")
+                    out = kept.astype(target)
                     if (out == target(sentinel)).any():
                         raise ValueError(f"{im.path}: a value equals the missing-value sentinel")
                     columns.append(pa.array(out, mask=gone))

@@ -1,4 +1,5 @@
 import math
+import random
 from functools import reduce
 
 import numpy as np
@@ -196,3 +197,19 @@ def test_scratch_must_be_shared_on_a_cluster():
         else:
             with pytest.raises(RuntimeError, match="share"):
                 workspace.scratch_root(session)
+
+
+@pytest.mark.parametrize("h", range(6))
+def test_patches_by_overlapping_blocks(spark, h):
+    """As by sending every pixel to its patches, on a grid with holes; pixels travel about once."""
+    rnd, width, height, side = random.Random(h), 23, 19, 7
+    rows = [(y, x, rnd.choice([None, float(x)]), rnd.choice([None, y * 100 + x])) for y in range(height) for x in range(width) if rnd.random() < 0.8]
+    image = spark.createDataFrame(rows, "y int, x int, `a.b` float, c int")
+    names, cut = ["a.b", "c"], (4, 15)
+    want = patches.patch_scatter(image, h, names, width, *cut)
+    got = patches.patch_blocks(image, h, names, width, *cut, side=side)
+    assert sorted(map(str, got.select(*[f"`{c}`" for c in want.columns]).collect())) == sorted(map(str, want.collect()))
+    if h:
+        sent = patches.dealt_to_blocks(image, h, names, width, *cut, side).count()
+        assert sent <= len(rows) * (1 + 2 * h / side) ** 2 * 1.3 and (h == 1 or sent < len(rows) * (2 * h + 1) ** 2 / 3)
+    assert patches.patch_blocks(image.limit(0), h, names, width, *cut).count() == 0

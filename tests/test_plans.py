@@ -151,6 +151,29 @@ def test_reader(spark, place):
     assert [r.pixel for r in reader.read_coords(pts, "drop").collect()] == [299]
 
 
+def test_reader_refuses_indices_outside(spark, tmp_path):
+    grid = GridSpec(Axis(0.0, 1.0, 4), Axis(3.0, -1.0, 3))
+    table = spark.range(12).selectExpr("cast(id div 4 as int) as y", "cast(id % 4 as int) as x", "cast(id as float) as v")
+    sidecar.save_table(table, str(tmp_path / "f"), sidecar.Features(grid, {"v": sidecar.Continuous()}))
+    reader = pipeline.FeatureReader(spark, str(tmp_path / "f"))
+    asked = spark.createDataFrame([("good", 3, 0), ("bad", -1, 1), ("beyond", 4, 0), ("low", 0, 3), ("none", None, 1)], "who string, x int, y int")
+    got = {r.who: (r.ix, r.iy, r.pixel, r.con) for r in reader.read_ix(asked, "null").collect()}
+    assert got == {"good": (3, 0, 3, [3.0]), **{k: (None, None, None, None) for k in ("bad", "beyond", "low", "none")}}
+    assert [r.who for r in reader.read_ix(asked, "drop").collect()] == ["good"]
+    with pytest.raises(Exception, match="outside the grid: (-1, 1|4, 0|0, 3)"):
+        reader.read_ix(asked).collect()
+    with pytest.raises(ValueError):
+        reader.read_ix(asked, "skip")
+
+
+def test_points_that_share_an_id_keep_their_own_pixels(spark):
+    grid = GridSpec(Axis(0.0, 1.0, 4), Axis(3.0, -1.0, 3))
+    table = spark.range(12).selectExpr("cast(id div 4 as int) as y", "cast(id % 4 as int) as x", "cast(id as float) as v")
+    centres = spark.createDataFrame([(1, 0, 0), (1, 3, 2), (1, 3, 2), (2, 0, 0), (3, None, 1)], "row_id long, ix int, iy int")
+    got = sorted(((r.row_id, r.con) for r in pipeline.gathered(centres, table, sidecar.Features(grid, {"v": sidecar.Continuous()})).collect()), key=str)
+    assert got == [(1, [0.0]), (1, [11.0]), (1, [11.0]), (2, [0.0]), (3, None)]
+
+
 def test_every_and_normalised_targets(spark, place, tmp_path):
     at, *_ = place
     points = shapefile.read_points(spark, str(at / "p.shp"), ["value"], "continuous")

@@ -297,3 +297,13 @@ def test_tfrecords(spark, tmp_path):
     raw = tfrecord.frame(b"data")
     with pytest.raises(ValueError):
         list(tfrecord.frames(raw[:-1] + b"\0"))
+
+
+@pytest.mark.parametrize("value,dtype", [(3_000_000_000, "<u4"), (1.2, "<f4"), (-3e9, "<f8"), (float("inf"), "<f4")])
+def test_categories_that_are_no_32_bit_numbers_are_refused(spark, tmp_path, value, dtype):
+    v = np.ones((7, 12), dtype)
+    v[2, 3] = value
+    path = write(tmp_path / "kinds.tif", v)
+    with pytest.raises(Exception, match="kinds.tif, kinds: categories must be whole numbers"):
+        tiff.read_stack(spark, [path], "categorical").collect()
+    assert tiff.read_stack(spark, [write(tmp_path / "whole.tif", np.full((7, 12), 7, dtype))], "categorical").first()["whole"] == 7
