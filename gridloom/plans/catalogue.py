@@ -508,8 +508,8 @@ def metadata_round_trip(spark, sf_dir):
 def raster_round_trip(spark, sf_dir):
     g, folder = grid_spec(spark, sf_dir), scratch_folder(spark, "rasters")
     full = pixels.all_pixels(spark, g).select("x", "y").join(grid(spark, sf_dir).select("x", "y", F.col("value").cast("float").alias("value")), ["x", "y"], "left")
-    paths = [r.path for r in tiff.write_rasters(full, g, folder, ["value"]).collect()]  # one row a file
-    return tiff.read_blocks(spark, paths, g, "value").join(grid(spark, sf_dir).select("x", "y"), ["x", "y"], "left_semi").select("y", "x", "value")
+    tiff.write_rasters(full, g, folder, ["value"])
+    return tiff.read_blocks(spark, folder, g, "value").join(grid(spark, sf_dir).select("x", "y"), ["x", "y"], "left_semi").select("y", "x", "value")
 
 
 @registered("select cast(vec_id as int) as ix, label as iy, round(list_sum(list_transform(embedding, lambda v: cast(v as double))), 6) as total, cast(len(embedding) as int) as n from embeddings")
@@ -519,8 +519,8 @@ def tfrecord_round_trip(spark, sf_dir):
         F.col("embedding").cast("array<float>").alias("con"), F.transform("embedding", lambda v: v.isNull()).alias("con_mask"), none.alias("cat"), none.cast("array<boolean>").alias("cat_mask"),
         F.array(F.col("label").cast("double")).alias("y"), F.col("vec_id").cast("int").alias("ix"), F.col("label").alias("iy"), F.col("vec_id").cast("double").alias("cx"), F.lit(0.0).alias("cy"),
     )
-    paths = [r.path for r in tfrecord.write_tfrecords(e, folder, "train").collect()]  # one row a file
-    back = tfrecord.read_tfrecords(spark, paths, BANDS, 0, 1)
+    tfrecord.write_tfrecords(e, folder, "train")
+    back = tfrecord.read_tfrecords(spark, folder, BANDS, 0, 1)
     return back.select("ix", "iy", F.round(F.aggregate("con", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size("con").alias("n"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.shipping import ship
+from gridloom.sources.committed import FolderSink, FolderWriter, committed, save_files
 
 # The features of a record and the types of their items.
 FEATURES = {"x_con": "<f4", "x_con_mask": "<u1", "x_cat": "<i4", "x_cat_mask": "<u1", "y": None, "indices": "<i4", "coords": "<f8"}
@@ -149,40 +150,38 @@ def _arrays(batch: pa.RecordBatch, targets: str) -> dict[str, bytes]:
 
 
 def write_tfrecords(samples: DataFrame, folder: str, tag: str, targets: str = "<f4", batch: int = 1000) -> DataFrame:
-    """Each task writes files ``<tag>.<number>.<unique>.tfrecord``; returns (path, rows).
-
-    ``samples`` has the columns of SCHEMA.  A retried or repeated task writes under new names
-    and leaves its first files behind, so read back the returned paths and not the folder.
-    """
+    """Each task writes files ``<tag>.<number>.<unique>.tfrecord``, which begin to count all at once;
+    returns (label, path, rows) with the tag as label.  ``samples`` has the columns of SCHEMA."""
     ship(samples.sparkSession)
     names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+    return save_files(samples.select(*names), TfRecordSink, folder, {"tag": tag, "targets": targets, "batch": batch})
 
-    def write(batches):
-        files, inner = fs.FileSystem.from_uri(folder)
-        files.create_dir(inner, recursive=True)
-        out, packed, size, rows, number, name = None, None, 0, 0, 0, ""
-
-        def closed():
-            out.write(packed.flush())
-            out.close()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["path", "rows"])
 
+class _RecordWriter(FolderWriter):
+    def files(self, batches):
+        pieces, packed, size, rows, number = [], zlib.compressobj(), 0, 0, 0
+        unique = uuid.uuid4().hex[:12]
+        name = lambda: f"{self.plan['tag']}.{number:05d}.{unique}.tfrecord"
         for whole in batches:
-            for a in range(0, whole.num_rows, batch):
-                part = whole.slice(a, batch)
-                if out is None:
-                    name = f"{folder}/{tag}.{number:05d}.{uuid.uuid4().hex[:12]}.tfrecord"
-                    out, packed, size, rows = files.open_output_stream(f"{inner}/{name.rpartition('/')[2]}"), zlib.compressobj(), 0, 0
-                data = packed.compress(frame(encode_example(_arrays(part, targets))))
-                out.write(data)
-                size, rows = size + len(data), rows + part.num_rows
+            for a in range(0, whole.num_rows, self.plan["batch"]):
+                part = whole.slice(a, self.plan["batch"])
+                pieces.append(packed.compress(frame(encode_example(_arrays(part, self.plan["targets"])))))
+                size, rows = size + len(pieces[-1]), rows + part.num_rows
                 if size > FILE_BYTES:
-                    yield closed()
-                    out, number = None, number + 1
-        if out is not None:
-            yield closed()
+                    yield name(), [*pieces, packed.flush()], rows, self.plan["tag"]
+                    pieces, packed, size, rows, number = [], zlib.compressobj(), 0, 0, number + 1
+        if rows:
+            yield name(), [*pieces, packed.flush()], rows, self.plan["tag"]
+
+
+class TfRecordSink(FolderSink):
+    """Writes samples as compressed records, some in a file."""
 
-    return samples.select(*names).mapInArrow(write, "path string, rows long")
+    writer_class = _RecordWriter
+
+    @classmethod
+    def name(cls):
+        return "tfrecordfiles"
 
 
 @dataclass
@@ -212,6 +211,10 @@ class _RecordReader(DataSourceReader):
     def partitions(self):
         if "paths" in self.options:
             return [File(p) for p in sorted(json.loads(self.options["paths"]))]
+        known = committed(self.options["path"])
+        if known is not None:
+            inner = fs.FileSystem.from_uri(self.options["path"])[1]
+            return [File(f"{inner}/{p.rpartition('/')[2]}") for p in known if p.endswith(".tfrecord")]
         files, inner = fs.FileSystem.from_uri(self.options["path"])
         found = files.get_file_info(fs.FileSelector(inner))
         return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".tfrecord")]

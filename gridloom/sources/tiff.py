@@ -10,6 +10,7 @@ import json
 import struct
 import zlib
 from dataclasses import dataclass, field
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gridloom.functions.grid import Axis, GridSpec
 from gridloom.functions.sizing import rows_for
 from gridloom.functions.values import MISSING
 from gridloom.shipping import ship
+from gridloom.sources.committed import FolderSink, FolderWriter, committed, save_files
 
 # Tag numbers and field sizes of the TIFF and GeoTIFF formats.
 TAGS = {
@@ -109,34 +111,38 @@ class Tiff:
             crs["geoascii"] = b"".join(self.tags["geoascii"]).rstrip(b"\0").decode("latin-1")
         return GridSpec(Axis(x, sx, self.width), Axis(y, sy, self.height), crs)
 
-    def hidden_rows(self, start: int, stop: int) -> np.ndarray | None:
-        """Cells that the mask hides, (rows, width, 1 or samples), or None without a mask."""
-        return self.mask.read_rows(start, stop) == 0 if self.mask else None
+    def hidden_rows(self, start: int, stop: int, left: int = 0, right: int | None = None) -> np.ndarray | None:
+        """Cells that the mask hides, (rows, columns, 1 or samples), or None without a mask."""
+        return self.mask.read_rows(start, stop, left, right) == 0 if self.mask else None
 
     @property
     def block_rows(self) -> int:
         return self.tags["tile_height"][0] if "tile_offsets" in self.tags else min(self.height, self.tags.get("rows_per_strip", [self.height])[0])
 
-    def read_rows(self, start: int, stop: int) -> np.ndarray:
-        """Rows [start, stop) as (rows, width, samples)."""
+    def read_rows(self, start: int, stop: int, left: int = 0, right: int | None = None, wanted: set[int] | None = None) -> np.ndarray:
+        """Rows [start, stop) and columns [left, right) as (rows, columns, samples).  Only blocks that hold
+        some of them are read, and of images whose bands lie apart only ``wanted`` bands, the others being 0."""
+        right = self.width if right is None else right
         tiled, planar = "tile_offsets" in self.tags, self.tags.get("planar", [1])[0] == 2
         th = self.block_rows
         tw = self.tags["tile_width"][0] if tiled else self.width
         offsets, counts = (self.tags[f"{'tile' if tiled else 'strip'}_{x}"] for x in ("offsets", "counts"))
         across, down = -(-self.width // tw), -(-self.height // th)
         deep, planes = (1, self.samples) if planar else (self.samples, 1)
-        out = np.zeros((stop - start, self.width, self.samples), self.dtype.newbyteorder("="))
+        out = np.zeros((stop - start, right - left, self.samples), self.dtype.newbyteorder("="))
         with open_file(self.path) as f:
             for plane in range(planes):
+                if planar and wanted is not None and plane not in wanted:
+                    continue
                 for row in range(start // th, -(-stop // th)):
                     high = th if tiled else min(th, self.height - row * th)
-                    for col in range(across):
+                    for col in range(left // tw, -(-right // tw)):
                         k = (plane * down + row) * across + col
                         block = self._block(f.read_at(counts[k], offsets[k]), high, tw, deep)
                         a, b = max(start, row * th), min(stop, row * th + high)
-                        to = min(self.width, (col + 1) * tw)
-                        part = block[a - row * th : b - row * th, : to - col * tw]
-                        out[a - start : b - start, col * tw : to, plane : plane + deep] = part
+                        of, to = max(left, col * tw), min(right, (col + 1) * tw)
+                        part = block[a - row * th : b - row * th, of - col * tw : to - col * tw]
+                        out[a - start : b - start, of - left : to - left, plane : plane + deep] = part
         return out
 
     def _block(self, raw: bytes, rows: int, width: int, deep: int) -> np.ndarray:
@@ -302,9 +308,13 @@ def encode_tiff(values: np.ndarray, grid: GridSpec, nodata=None, rows_per_strip:
 
 # ------------------------------------------------------------------- discovery
 def find_rasters(spark: SparkSession, *places: str) -> list[str]:
-    """Files ending in .tif or .gtif among ``places`` and below them, sorted, each once."""
+    """Files ending in .tif or .gtif among ``places`` and below them, sorted, each once.  Of a folder that this
+    library has written, those that its manifests name."""
     files = [p for p in places if p.endswith((".tif", ".gtif"))]
     folders = [p for p in places if p not in files]
+    known = {p: committed(p) for p in folders}
+    files += [f for found in known.values() for f in found or () if f.endswith((".tif", ".gtif"))]
+    folders = [p for p in folders if known[p] is None]
     if folders:
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tif,gtif}").load(folders)
         files += [r.path.removeprefix("file:") for r in listed.select("path").collect()]
@@ -336,9 +346,10 @@ class Rows(InputPartition):
 class RasterStack(DataSource):
     """Options: ``paths`` (JSON list), ``kind`` (continuous: float, categorical: int),
     ``ignore_crs``, ``rows`` (rows a task reads; by default such that it reads some megabytes),
-    ``first`` and ``stop`` (half-open range of rows; all by default).
+    ``first`` and ``stop`` (half-open range of rows; all by default), ``bands`` (JSON list; by default all).
 
-    Cells that the file marks as missing, and NaN, are NULL.
+    Filters on y and x reach the reader: tasks are made for the rows, and blocks read for the rows and columns,
+    that can pass.  Images without a band asked for are not opened by tasks.  Cells that the file marks as missing, and NaN, are NULL.
     """
 
     @classmethod
@@ -355,35 +366,65 @@ class RasterStack(DataSource):
 
     def schema(self):
         kind = T.FloatType() if self.options.get("kind", "continuous") == "continuous" else T.IntegerType()
-        bands = [T.StructField(n, kind) for im in self.images() for n in im.names]
+        there = [n for im in self.images() for n in im.names]
+        asked = json.loads(self.options.get("bands", "null")) or there
+        if unknown := set(asked) - set(there):
+            raise ValueError(f"no bands {sorted(unknown)} among {there}")
+        bands = [T.StructField(n, kind) for n in there if n in asked]
         return T.StructType([T.StructField("y", T.IntegerType(), False), T.StructField("x", T.IntegerType(), False), *bands])
 
     def reader(self, schema):
         return _StackReader(self.images(), schema, *(int(self.options.get(k, 0)) for k in ("rows", "first", "stop")))
 
 
-class _StackReader(DataSourceReader):
+class _WindowReader(DataSourceReader):
+    """Reads rows first to last and columns left to right, both included."""
+
+    def pushFilters(self, filters):
+        """Narrows rows and columns; Spark tests all filters again."""
+        for f in filters:
+            values = f.value if isinstance(f, In) else [getattr(f, "value", None)]
+            if getattr(f, "attribute", None) not in (("y",), ("x",)) or not all(isinstance(v, (int, float)) for v in values) or not values:
+                continue
+            low, high = ("first", "last") if f.attribute == ("y",) else ("left", "right")
+            if isinstance(f, (EqualTo, EqualNullSafe, In, GreaterThan, GreaterThanOrEqual)):
+                least = floor(min(values)) + 1 if isinstance(f, GreaterThan) else ceil(min(values))
+                setattr(self, low, max(getattr(self, low), least))
+            if isinstance(f, (EqualTo, EqualNullSafe, In, LessThan, LessThanOrEqual)):
+                most = ceil(max(values)) - 1 if isinstance(f, LessThan) else floor(max(values))
+                setattr(self, high, min(getattr(self, high), most))
+        return filters
+
+
+class _StackReader(_WindowReader):
     def __init__(self, images: list[Tiff], schema: T.StructType, rows: int, first: int, stop: int):
-        self.images, self.schema, self.first, self.last = images, schema, first, min(stop or images[0].height, images[0].height) - 1
+        self.schema, self.first, self.last, self.left, self.right = schema, first, min(stop or images[0].height, images[0].height) - 1, 0, images[0].width - 1
+        names = set(schema.names)
+        self.width, self.images = images[0].width, [im for im in images if names & set(im.names)] or images[:1]
+        images = self.images
         block = max(im.block_rows for im in images)
         wanted = rows or rows_for(32, images[0].width, len(schema), 0)
         self.step = -(-wanted // block) * block
 
     def partitions(self):
+        if self.left > self.right:
+            return [Rows(0, 0)]
         starts = range(self.first // self.step * self.step, self.last + 1, self.step)
         return [Rows(max(self.first, s), min(self.last + 1, s + self.step)) for s in starts] or [Rows(0, 0)]
 
     def read(self, part: Rows):
         names = [f.name for f in self.schema.fields]
         target = np.int32 if isinstance(self.schema.fields[-1].dataType, T.IntegerType) else np.float32
-        each = max(1, (8 << 20) // (self.images[0].width * 4 * len(names)))
+        left, right = self.left, self.right + 1
+        w = right - left
+        each = max(1, (8 << 20) // (self.width * 4 * len(names)))
         for a in range(part.start, part.stop, each):
             b = min(part.stop, a + each)
-            w = self.images[0].width
-            columns = [pa.array(np.repeat(np.arange(a, b, dtype=np.int32), w)), pa.array(np.tile(np.arange(w, dtype=np.int32), b - a))]
+            columns = [pa.array(np.repeat(np.arange(a, b, dtype=np.int32), w)), pa.array(np.tile(np.arange(left, right, dtype=np.int32), b - a))]
             for im in self.images:
-                cells, nodata, hidden = im.read_rows(a, b), im.nodata, im.hidden_rows(a, b)
-                for k in range(im.samples):
+                asked = [k for k, n in enumerate(im.names) if n in names]
+                cells, nodata, hidden = im.read_rows(a, b, left, right, set(asked)), im.nodata, im.hidden_rows(a, b, left, right)
+                for k in asked:
                     v = cells[:, :, k].ravel()
                     gone = np.isnan(v) if v.dtype.kind == "f" else np.zeros(len(v), bool)
                     if nodata is not None and not np.isnan(nodata):
@@ -401,13 +442,15 @@ class _StackReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous", ignore_crs: bool = False, rows: int = 0, first: int = 0, stop: int = 0) -> DataFrame:
-    """Pixels of images of one grid; rows [first, stop), or all."""
+def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous", ignore_crs: bool = False, rows: int = 0, first: int = 0, stop: int = 0, bands: list[str] | None = None) -> DataFrame:
+    """Pixels of images of one grid; rows [first, stop), or all; ``bands``, or all.  Turns on Spark's setting for
+    filters that reach Python data sources."""
     if not paths:
         raise NoRasters("no files to read")
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterStack)
-    return spark.read.format("rasterstack").option("paths", json.dumps(paths)).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).option("first", first).option("stop", stop).load()
+    return spark.read.format("rasterstack").option("paths", json.dumps(paths)).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).option("first", first).option("stop", stop).option("bands", json.dumps(bands)).load()
 
 
 class RasterBlocks(RasterStack):
@@ -453,22 +496,32 @@ class BlockRows(InputPartition):
     part: Rows
 
 
-class _BlocksReader(DataSourceReader):
+class _BlocksReader(_WindowReader):
     def __init__(self, blocks: list[tuple[int, Tiff]], schema: T.StructType, rows: int):
-        self.schema = schema
-        self.parts = [BlockRows(above, im, p) for above, im in blocks for p in _StackReader([im], schema, rows, 0, 0).partitions()]
+        self.blocks, self.schema, self.rows = blocks, schema, rows
+        self.first, self.last, self.left, self.right = 0, blocks[-1][0] + blocks[-1][1].height - 1, 0, blocks[0][1].width - 1
+        for _, im in blocks:
+            im.names = schema.names[2:]
 
     def partitions(self):
-        return self.parts
+        if self.left > self.right:
+            return []
+        cut = [(above, im, max(0, self.first - above), min(im.height, self.last + 1 - above)) for above, im in self.blocks]
+        return [BlockRows(above, im, p) for above, im, a, b in cut if a < b for p in _StackReader([im], self.schema, self.rows, a, b).partitions()]
 
     def read(self, part: BlockRows):
-        for batch in _StackReader([part.image], self.schema, 0, 0, 0).read(part.part):
+        reader = _StackReader([part.image], self.schema, 0, 0, 0)
+        reader.left, reader.right = self.left, self.right
+        for batch in reader.read(part.part):
             y = pa.array(batch.column(0).to_numpy() + np.int32(part.above))
             yield pa.RecordBatch.from_arrays([y, *batch.columns[1:]], batch.schema.names)
 
 
-def read_blocks(spark: SparkSession, paths: list[str], grid: GridSpec, band: str, kind: str = "continuous", ignore_crs: bool = False, rows: int = 0) -> DataFrame:
-    """Pixels of one image of ``grid`` from the files of its blocks, as ``write_rasters`` makes them."""
+def read_blocks(spark: SparkSession, paths: str | list[str], grid: GridSpec, band: str, kind: str = "continuous", ignore_crs: bool = False, rows: int = 0) -> DataFrame:
+    """Pixels of one image of ``grid`` from the files of its blocks, as ``write_rasters`` makes them: the
+    files, or their folder, of which those of label ``band`` count."""
+    paths = (committed(paths, band) or []) if isinstance(paths, str) else paths
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     if not paths:
         raise NoRasters("no files to read")
     ship(spark)
@@ -484,9 +537,10 @@ FILE_BYTES = 32 << 20
 def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[str], tag: str = "", rows_per_file: int | None = None) -> DataFrame:
     """One image per label and block of rows, ``<label>_<tag>[_<first row>].tif``; NULL becomes
     the missing value.  Each task writes whole files, so a mosaic of any size is written in
-    parallel; by default a file holds as many rows as make 32 MB.
+    parallel; by default a file holds as many rows as make 32 MB.  All files begin to count at once,
+    when the last one is there; if a task fails there is none of them.
 
-    Returns (label, path, rows).  A block that lacks pixels is an error, as is a whole number
+    Returns (label, path, rows) of the files.  A block that lacks pixels is an error, as is a whole number
     of over 32 bits and a value that is itself the missing value.
     """
     ship(pixels.sparkSession)
@@ -495,28 +549,57 @@ def write_rasters(pixels: DataFrame, grid: GridSpec, folder: str, labels: list[s
     if bad:
         raise ValueError(f"predictions must be single numbers: {bad}")
     per = rows_per_file or max(1, FILE_BYTES // (grid.x.n * 8))
-    one = per >= grid.y.n
-    long = pixels.select("y", "x", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("v")) for c in labels]))).withColumn("block", F.floor(F.col("y") / F.lit(per)))
+    values = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("v")) for c in labels])
+    long = pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.inline(values)).withColumn("block", F.floor(F.col("y") / F.lit(per)))
     types = {c: {"float": "<f4", "double": "<f8"}.get(kinds[c], "<i4") for c in labels}
-
-    def write(key, pdf):
-        label, block = key[0], int(key[1])
+    plan = {"grid": grid.to_dict(), "per": per, "tag": tag, "types": types}
+    return save_files(long.repartition("label", "block").sortWithinPartitions("label", "block"), RasterMosaic, folder, plan)
+
+
+class _MosaicWriter(FolderWriter):
+    def files(self, batches):
+        """A file for each label and block of rows, which come one after the other."""
+        key, held = None, []
+        for batch in batches:
+            y, x, label, v, block = (batch.column(self.names.index(c)) for c in ("y", "x", "label", "v", "block"))
+            codes = label.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (np.diff(block.to_numpy()) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                here = label[a].as_py(), block[a].as_py()
+                if held and here != key:
+                    yield self.image(key, held)
+                    held = []
+                key = here
+                held.append([c.slice(a, b - a).to_numpy(zero_copy_only=False) for c in (y, x, v)])
+        if held:
+            yield self.image(key, held)
+
+    def image(self, key, held):
+        (label, block), (y, x, v) = key, (np.concatenate(c) for c in zip(*held))
+        grid, per = GridSpec.from_dict(self.plan["grid"]), self.plan["per"]
         first, h = block * per, min(per, grid.y.n - block * per)
-        if len(pdf) != h * grid.x.n or len(pdf[["y", "x"]].drop_duplicates()) != len(pdf):
-            raise ValueError(f"{label}: rows {first} to {first + h} have {len(pdf)} of {h * grid.x.n} pixels")
-        dtype = np.dtype(types[label])
+        place = (y - first) * grid.x.n + x
+        if len(v) != h * grid.x.n or (x < 0).any() or (x >= grid.x.n).any() or len(np.unique(place)) != len(v):
+            raise ValueError(f"{label}: rows {first} to {first + h} have {len(v)} of {h * grid.x.n} pixels")
+        dtype = np.dtype(self.plan["types"][label])
         nodata = MISSING["int" if dtype.kind == "i" else "float" if dtype.itemsize == 4 else "double"]
-        v = pdf["v"].to_numpy()
+        v = v.astype(float)
         if dtype.kind == "i" and (np.abs(v[~np.isnan(v)]) >= 1 << 31).any() or (v == float(nodata)).any():
             raise ValueError(f"{label}: a value is the missing value, or does not fit {dtype}")
-        image = np.empty((h, grid.x.n), dtype)
-        image[pdf["y"].to_numpy() - first, pdf["x"].to_numpy()] = np.where(np.isnan(v), nodata, v).astype(dtype)
+        image = np.empty(h * grid.x.n, dtype)
+        image[place] = np.where(np.isnan(v), nodata, v).astype(dtype)
         part = GridSpec(grid.x, Axis(first * grid.y.step + grid.y.origin, grid.y.step, h), grid.crs)
-        files, inner = fs.FileSystem.from_uri(folder)
-        files.create_dir(inner, recursive=True)
-        name = f"{label}_{tag}".rstrip("_") + ("" if one else f"_{first:08d}") + ".tif"
-        with files.open_output_stream(f"{inner}/{name}") as out:
-            out.write(encode_tiff(image, part, nodata))
-        return pdf.head(1).assign(path=f"{folder}/{name}", rows=h)[["label", "path", "rows"]]
-
-    return long.groupBy("label", "block").applyInPandas(write, "label string, path string, rows int")
+        name = f"{label}_{self.plan['tag']}".rstrip("_") + ("" if per >= grid.y.n else f"_{first:08d}") + ".tif"
+        return name, encode_tiff(image.reshape(h, grid.x.n), part, nodata), h, label
+
+
+class RasterMosaic(FolderSink):
+    """Writes rows (y, x, label, v, block), each label's blocks together, as images."""
+
+    writer_class = _MosaicWriter
+
+    @classmethod
+    def name(cls):
+        return "rastermosaic"

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -8,7 +9,7 @@ from tests.test_catalogue import compare
 
 from gridloom.functions.grid import Axis, GridSpec
 from gridloom.plans.catalogue import ORACLES, QUERIES
-from gridloom.sources import shapefile, tfrecord, tiff
+from gridloom.sources import committed, shapefile, tfrecord, tiff
 
 GRID = GridSpec(Axis(100.0, 0.5, 12), Axis(-20.0, -0.25, 7), {"geokeys": "1,1,0,1,1024,0,1,2"})
 
@@ -307,3 +308,70 @@ def test_categories_that_are_no_32_bit_numbers_are_refused(spark, tmp_path, valu
     with pytest.raises(Exception, match="kinds.tif, kinds: categories must be whole numbers"):
         tiff.read_stack(spark, [path], "categorical").collect()
     assert tiff.read_stack(spark, [write(tmp_path / "whole.tif", np.full((7, 12), 7, dtype))], "categorical").first()["whole"] == 7
+
+
+class Counted:
+    """Blocks decoded in this process, by file."""
+
+    def __init__(self, monkeypatch):
+        self.seen, plain = [], tiff.Tiff._block
+        monkeypatch.setattr(tiff.Tiff, "_block", lambda im, *a: (self.seen.append(im.path.rpartition("/")[2]), plain(im, *a))[1])
+
+    def read(self, reader):
+        self.seen.clear()
+        for part in reader.partitions():
+            for _ in reader.read(part):
+                pass
+        return len(self.seen)
+
+
+def test_filters_and_bands_reach_the_blocks(spark, tmp_path, monkeypatch):
+    """160 x 128 pixels in ten images of strips of 16 rows, and one of tiles of 16."""
+    grid = GridSpec(Axis(0.0, 1.0, 128), Axis(0.0, -1.0, 160))
+    v = np.arange(160 * 128, dtype="<f4").reshape(160, 128)
+    paths = [write(tmp_path / f"b{k}.tif", v + k, grid, rows_per_strip=16) for k in range(10)]
+    tiled = write(tmp_path / "tiled.tif", v, grid, tile=16)
+    counted = Counted(monkeypatch)
+
+    def reader(files, filters=(), bands=None):
+        r = tiff.RasterStack({"paths": json.dumps(files), "bands": json.dumps(bands)})
+        got = r.reader(r.schema())
+        assert list(got.pushFilters(list(filters))) == list(filters)
+        return got
+
+    ge, lt, eq = tiff.GreaterThanOrEqual, tiff.LessThan, tiff.EqualTo
+    assert counted.read(reader(paths)) == 100 and counted.read(reader([tiled])) == 80
+    assert counted.read(reader(paths, [ge(("y",), 40), lt(("y",), 48)])) == 10
+    assert counted.read(reader([tiled], [ge(("y",), 40), lt(("y",), 48), eq(("x",), 17)])) == 1
+    assert counted.read(reader(paths, bands=["b3"])) == 10 and set(counted.seen) == {"b3.tif"}
+    assert counted.read(reader(paths, [eq(("y",), 500)])) == 0 and counted.read(reader(paths, [eq(("x",), -1)])) == 0
+    assert counted.read(reader(paths, [tiff.In(("y",), (3, 20))])) == 20
+    df = tiff.read_stack(spark, [*paths, tiled])
+    cut = df.where("y between 37 and 50 and x > 100 and b2 is not null").select("y", "x", "b2", "tiled")
+    want = sorted((y, x, float(v[y, x] + 2), float(v[y, x])) for y in range(37, 51) for x in range(101, 128))
+    assert sorted(map(tuple, cut.collect())) == want
+    assert tiff.read_stack(spark, paths, bands=["b7"]).columns == ["y", "x", "b7"]
+    assert sorted(map(tuple, tiff.read_stack(spark, paths, bands=["b7"]).where("y = 3 and x < 2").collect())) == [(3, 0, float(v[3, 0] + 7)), (3, 1, float(v[3, 1] + 7))]
+    with pytest.raises(Exception, match="no bands"):
+        tiff.read_stack(spark, paths, bands=["none"]).collect()
+
+
+def test_files_count_all_at_once(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    full = spark.range(GRID.pixels).selectExpr("cast(id div 12 as int) as y", "cast(id % 12 as int) as x", "cast(id as float) as p")
+    failing = full.where("y < 6 or x > 0")
+    with pytest.raises(Exception, match="have 11 of 12 pixels"):  # other blocks have been written by then
+        tiff.write_rasters(failing, GRID, folder, ["p"], rows_per_file=1)
+    assert committed.committed(folder) is None and [p.name for p in (tmp_path / "out").glob("*")] == []
+    (tmp_path / "out").mkdir(exist_ok=True)
+    (tmp_path / "out" / "p_00000000.tif.part").write_bytes(b"left behind")
+    out = tiff.write_rasters(full, GRID, folder, ["p"], rows_per_file=2).collect()
+    assert [r.rows for r in out] == [2, 2, 2, 1] and tiff.find_rasters(spark, folder) == [r.path for r in out]
+    write(tmp_path / "out" / "stray.tif", np.zeros((7, 12), "<f4"))
+    assert tiff.find_rasters(spark, folder) == [r.path for r in out]
+    back = tiff.read_blocks(spark, folder, GRID, "p")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, full.collect()))
+    assert sorted(map(tuple, back.where("y in (1, 6) and x < 3").collect())) == sorted((y, x, float(y * 12 + x)) for y in (1, 6) for x in range(3))
+    again = tiff.write_rasters(full, GRID, folder, ["p"], rows_per_file=2).collect()  # a name written again is one file
+    assert again == out and len(committed.manifests(folder)) == 2 and tiff.find_rasters(spark, folder) == [r.path for r in out]
+    assert not [p for p in (tmp_path / "out").glob("_job-*")]
