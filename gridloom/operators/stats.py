@@ -54,6 +54,35 @@ def array_stats(df: DataFrame, column: str, bands: int) -> DataFrame:
     return _by_place(df.select(values.alias("v")))
 
 
+def band_states(df: DataFrame, bands: list[str]) -> DataFrame:
+    """Partial statistics that can be stored and merged, one row a band: ``n``, ``mean``, ``m2`` (the sum of
+    squared distances from the mean), ``masked``, ``low``, ``high``; a band without values has n 0."""
+    found = band_stats(df, bands)
+    return found.select("band", "n", "mean", (F.col("sd") * F.col("sd") * F.col("n")).alias("m2"), "masked", "low", "high")
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """Statistics, as ``band_stats`` has them, of all that any number of states saw: the images that arrive later need no
+    second look at those before.  Distances are taken from the common mean, state by state, so that
+    nothing cancels; two partial aggregates over states, never over pixels."""
+    mean = (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("_mean")
+    means = states.groupBy(F.col("band").alias("_band")).agg(mean)
+    off = F.col("mean") - F.col("_mean")
+    joined = states.join(means, F.col("band").eqNullSafe(F.col("_band")))
+    sums = joined.groupBy("band").agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"), F.sum("masked").alias("masked"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return sums.select("band", "n", "mean", F.sqrt(F.col("m2") / F.nullif("n", F.lit(0))).alias("sd"), "masked", "low", "high")
+
+
+def add_states(states: DataFrame, path: str, part: str) -> None:
+    """Stores the states of one part, say a day's images, among others'; the same part again replaces itself."""
+    states.coalesce(1).write.mode("overwrite").parquet(f"{path}/part={part}")  # a row a band
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Counts of categories, as ``category_counts`` has them, of several parts together."""
+    return counts.groupBy("band", "value").agg(F.sum("n").alias("n"))
+
+
 def check_deviation(stats: DataFrame) -> dict[str, tuple[float, float]]:
     """(mean, sd) by band, one row each; bands without spread are refused by name.  Bands
     without any value keep NULLs."""

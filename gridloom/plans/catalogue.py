@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom import streaming
 from gridloom.functions import values
 from gridloom.functions.grid import Axis, GridSpec, edge, in_box, pixel_index, strip_bounds
-from gridloom.operators import folds, patches, pixels, score, stats
+from gridloom.operators import folds, intervals, patches, pixels, score, stats
 from gridloom.plans import pipeline
 from gridloom.sources import sidecar, tfrecord, tiff
 from gridloom.sources.workspace import scratch_folder
@@ -114,6 +114,29 @@ def part_codes(spark, sf_dir):
     return stats.category_map(table(spark, sf_dir, "lineitem"), ["l_partkey"]).select("value", "code", "n")
 
 
+@registered(f"with {GRID_SQL} select count(value) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, count(*) - count(value) as masked, min(value) as low, max(value) as high from grid")
+def merged_stats(spark, sf_dir):
+    """Statistics of ten parts of the grid, stored part by part and merged."""
+    path, g = scratch_folder(spark, "states"), grid(spark, sf_dir)
+    for part in range(10):
+        stats.add_states(stats.band_states(g.where(F.col("event_id") % 10 == part), ["value"]), path, str(part))
+    whole = stats.merged_states(spark.read.parquet(path).drop("part"))
+    return whole.select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "masked", "low", "high")
+
+
+@registered(
+    "with i as (select l_orderkey, l_linenumber, cast(l_extendedprice as double) * 4 as low, cast(l_extendedprice as double) * 4 + cast(l_quantity as double) * (l_linenumber % 5) / 10 as high from lineitem)"
+    " select o_orderkey, l_orderkey, l_linenumber from orders join i on cast(o_totalprice as double) >= low and cast(o_totalprice as double) < high"
+)
+def interval_lookup(spark, sf_dir):
+    """Orders' prices in irregular intervals, as many as there are lines, overlapping and partly empty."""
+    line = table(spark, sf_dir, "lineitem")
+    low = F.col("l_extendedprice").cast("double") * 4
+    high = low + F.col("l_quantity").cast("double") * (F.col("l_linenumber") % 5) / 10
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return intervals.interval_join(asked, line.select("l_orderkey", "l_linenumber", low.alias("low"), high.alias("high")), "o_totalprice", "low", "high").select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
 @registered(
     f"with {GRID_SQL}, m as (select event_type as v, count(*) as n from grid group by 1)"
     " select 'event_type' as band, string_agg(v, '|' order by v) as \"values\", string_agg(cast(n as varchar), '|' order by v) as counts, cast(count(*) as int) as n_values from m"
@@ -416,7 +439,7 @@ def reader_coords(spark, sf_dir):
     return _reader(spark, sf_dir).read_coords(asked, "drop").select("row_id", "copy", "ix", "iy", *_read_columns())
 
 
-@registered(f"with {GRID_SQL} select o_orderkey, g.x as ix, g.y as iy, {READ_SQL} from orders left join grid g on g.x = o_orderkey % 130 - 15 and g.y = o_custkey % 10 - 2")
+@registered(f"with {GRID_SQL} select o_orderkey, g.x as ix, g.y as iy, cast(g.value as float) as value, case when g.x is not null then g.value is null end as masked, cast(g.event_id % 7 as int) as kind from orders left join grid g on g.x = o_orderkey % 130 - 15 and g.y = o_custkey % 10 - 2")
 def reader_ix(spark, sf_dir):
     """Orders that ask for the same pixel again and again, and for some outside the grid."""
     asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 130 - 15).cast("int").alias("x"), (F.col("o_custkey") % 10 - 2).cast("int").alias("y"))
