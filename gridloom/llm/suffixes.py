@@ -42,6 +42,8 @@ LENGTH = 400
 GROUP = 1024
 #: Windows of the runs that too large classes are cut to, one after the other.
 FINER = (16, 1)
+#: Texts whose digests may be broadcast, so that only these texts travel; more meet by a shuffle of all.
+FEW = 200_000
 #: Bytes of text that are looked at together, shards of a class, rounds of a merge.
 BATCH, SHARDS, ROUNDS = 1 << 18, 4, 4
 # Fixed values of the SplitMix64 generator's finaliser; the other two are odd numbers at will.
@@ -258,14 +260,18 @@ def _unpacked(length: int) -> list[Column]:
     return [s0.alias("s0"), (s0 + F.expr(f"run div {length}L % {length}L")).alias("s1"), (s0 + F.expr(f"run % {length}L")).alias("a")]
 
 
-def _with_texts(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (text, wanted): for each text the list of what is wanted of it."""
+def _with_texts(texts: DataFrame, wanted: DataFrame, columns: list[str], few: bool) -> DataFrame:
+    """Rows (text, wanted): for each text the list of what is wanted of it.  Where ``few`` texts are
+    expected, the others are left out before any text travels."""
     lists = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
     lists = written(lists.withColumnsRenamed({"d1": "_1", "d2": "_2"}), "wanted")
+    if few and lists.count() <= FEW:
+        keys = lists.select(F.col("_1").alias("k1"), F.col("_2").alias("k2"))
+        texts = texts.join(F.broadcast(keys), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left_semi")
     return texts.join(lists, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).select("text", "wanted", "d1", "d2")
 
 
-def _met(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+def _met(texts: DataFrame, contexts: DataFrame, length: int, few: bool) -> DataFrame:
     """Rows (c, x1, x2, lo, hi): ranges of windows of contexts (c, x1, x2, n, d1, d2, s0, s1) that
     are repeated within their class, counted from the context's first."""
 
@@ -306,7 +312,7 @@ def _met(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    pieces = _with_texts(texts, contexts, ["c", "x1", "x2", "n", "s0", "s1"]).mapInArrow(cut, "c long, x1 long, x2 long, n long, bytes binary")
+    pieces = _with_texts(texts, contexts, ["c", "x1", "x2", "n", "s0", "s1"], few).mapInArrow(cut, "c long, x1 long, x2 long, n long, bytes binary")
     return pieces.repartition("c").sortWithinPartitions("c", "x1", "x2").mapInArrow(merged, "c long, x1 long, x2 long, lo long, hi long")
 
 
@@ -345,7 +351,7 @@ def _finer(texts: DataFrame, contexts: DataFrame, width: int, length: int) -> Da
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols[:10], *[_mixed(x).view(np.int64) for x in (name, *digests)])], names)
 
     names = ["h", "h1", "h2", "off", "n", "d1", "d2", "s0", "s1", "a", "c", "x1", "x2"]
-    wanted = _with_texts(texts, contexts, ["h", "h1", "h2", "off", "n", "s0", "s1", "a", "c"])
+    wanted = _with_texts(texts, contexts, ["h", "h1", "h2", "off", "n", "s0", "s1", "a", "c"], True)
     # Copies of a text give the same runs.
     return wanted.mapInArrow(rows, ", ".join(f"{n} long" for n in names)).distinct()
 
@@ -371,7 +377,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP)
         sizes = written(sizes.where("met > 1"), "sizes")
         of = lambda rows, test: rows.join(sizes.where(test).select("_c"), F.col("c") == F.col("_c")).drop("_c")
         found.append(of(items, "different = 1").select("h", "h1", "h2", F.col("off").alias("lo"), (F.col("off") + F.col("s1") - F.col("s0")).alias("hi")))
-        some = _met(texts, of(contexts, f"different between 2 and {group}"), length).withColumnsRenamed({"c": "m", "x1": "m1", "x2": "m2"})
+        some = _met(texts, of(contexts, f"different between 2 and {group}"), length, width != FINER[0]).withColumnsRenamed({"c": "m", "x1": "m1", "x2": "m2"})
         some = written(some, "met")
         here = items.join(some, (F.col("c") == F.col("m")) & (F.col("x1") == F.col("m1")) & (F.col("x2") == F.col("m2")))
         found.append(here.select("h", "h1", "h2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi")))
