@@ -111,7 +111,8 @@ def test_gradients_equal_differences():
     weights = neural.Network.start(3, [2], (5, 4), 2, 2, 1)
     con, cat, y = rng.normal(size=(6, 3)), rng.integers(0, 3, (6, 4, 1)), rng.normal(size=(6, 2))
     loss = lambda: 0.5 * ((neural.Network(weights, 1).forward(con, cat)[-1] - y) ** 2).sum() / 6
-    got = neural.Network(weights, 1).gradients(con, cat, lambda phi: phi - y)
+    phi, got = neural.Network(weights, 1).gradients(con, cat, lambda phi: phi - y)
+    assert np.array_equal(phi, neural.Network(weights, 1).forward(con, cat)[-1])
     for name, w in weights.items():
         for place_ in list(np.ndindex(w.shape))[:10]:
             w[place_] += 1e-6
@@ -122,6 +123,33 @@ def test_gradients_equal_differences():
             assert abs((high - low) / 2e-6 - got[name][place_]) < 1e-5
 
 
+def samples_of(spark, at, folder, kind, label, halfwidth):
+    points = shapefile.read_points(spark, str(at / "p.shp"), [label], kind)
+    pipeline.import_targets(points, str(folder / "t"), [label], kind)
+    meta = pipeline.extract_traintest(spark, str(at / "features"), str(folder / "t"), str(folder / "d"), 2, 4, 7, halfwidth)
+    return spark.read.parquet(str(folder / "d")).where("split = 'train'"), meta
+
+
+@pytest.mark.parametrize("kind,label,steps", [("continuous", "value", 3), ("categorical", "class", 1)])
+def test_networks_do_not_depend_on_partitions(spark, place, tmp_path, kind, label, steps):
+    rows, meta = samples_of(spark, place[0], tmp_path, kind, label, 1)
+    one, seven = (neural.NeuralModel(rounds=8, batch=b, steps=steps).fit(rows.repartition(n, "row_id"), meta) for n, b in ((1, 1000), (7, 5)))
+    for k, w in one.weights.items():
+        assert np.allclose(w, seven.weights[k], rtol=0, atol=1e-9)
+    assert np.allclose(one.losses, seven.losses, rtol=1e-9) and len(one.losses) == 8 * steps
+    assert np.mean(one.losses[-steps:]) < 0.9 * np.mean(one.losses[:steps])
+
+
+def test_networks_stop_when_nothing_is_gained(spark, place, tmp_path):
+    rows, meta = samples_of(spark, place[0], tmp_path, "continuous", "value", 0)
+    fitted = neural.NeuralModel(rounds=None, patience=2, tolerance=0.2).fit(rows, meta)
+    least = np.minimum.accumulate(fitted.losses)
+    assert 3 <= len(fitted.losses) < 100 and least[-3] - min(fitted.losses[-2:]) <= 0.2
+    assert neural.NeuralModel(rounds=None, patience=2).fit(rows.limit(0), meta).losses == []
+    with pytest.raises(ValueError):
+        neural.NeuralModel(rounds=None)
+
+
 def test_strips_join_without_seams(spark, place):
     at, *_ = place
     pipeline.extract_query(spark, str(at / "features"), str(at / "whole"), 1, 1, 1)
