@@ -40,7 +40,8 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def _signed(directions: dict[str, bool] | None):
+def signed_score(directions: dict[str, bool] | None):
+    """The score of ``metric``, negative where less is better."""
     sign = F.lit(1.0)
     for name, larger in {**LARGER_IS_BETTER, **(directions or {})}.items():
         sign = F.when(F.col("metric") == name, F.lit(1.0 if larger else -1.0)).otherwise(sign)
@@ -51,7 +52,7 @@ def best_scores(scores: DataFrame, directions: dict[str, bool] | None = None) ->
     """From rows (step, metric, score): the best step of each metric, the latest of equals.
     NaN and NULL scores never win."""
     good = scores.where(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
-    rank = F.struct(_signed(directions), F.col("step"))
+    rank = F.struct(signed_score(directions), F.col("step"))
     return good.groupBy("metric").agg(F.max_by("step", rank).alias("step"), F.max_by("score", rank).alias("score"))
 
 
@@ -61,7 +62,7 @@ def running_best(scores: DataFrame, directions: dict[str, bool] | None = None) -
     Best scores of ranges of STEPS steps run on over the ranges, and steps within their range,
     so that a metric of very many steps is not one task's.
     """
-    signed = scores.withColumns({"_signed": _signed(directions), "_range": F.floor(F.col("step") / STEPS)})
+    signed = scores.withColumns({"_signed": signed_score(directions), "_range": F.floor(F.col("step") / STEPS)})
     before = lambda value, w: F.max(value).over(w.rowsBetween(W.unboundedPreceding, -1))
     ranges = signed.groupBy("metric", "_range").agg(F.max("_signed").alias("_best"))
     ranges = ranges.select(F.col("metric").alias("_metric"), F.col("_range").alias("_at"), before("_best", W.partitionBy("metric").orderBy("_range")).alias("_base"))

@@ -631,6 +631,55 @@ def _complete(spark, aggregated: DataFrame) -> DataFrame:
     return spark.read.schema(aggregated.schema).parquet(f"{folder}/out")
 
 
+#: Arrivals of a stream that is stopped and started again.
+ARRIVALS = 3
+
+
+def _arrivals(spark, rows: DataFrame, make) -> DataFrame:
+    """What a keyed stream hands over, in the order of arrivals: ``rows`` arrive by ``part``, and after each part the
+    stream is started again from its checkpoint."""
+    folder = scratch_folder(spark, "arrivals")
+    for part in range(ARRIVALS):
+        rows.where(F.col("part") == part).drop("part").write.parquet(f"{folder}/in/part{part}")
+        stream = spark.readStream.schema(rows.drop("part").schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        keyed = make(stream)
+        work = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        streaming.each_batch_update(keyed, work, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(keyed.schema).parquet(f"{folder}/out")
+
+
+PARTS_SQL = f"cast(event_id * {ARRIVALS} // ((select max(event_id) from events) + 1) as int)"
+
+
+def _parted(spark, sf_dir, ids):
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return F.floor(F.col(ids) * ARRIVALS / F.lit(last + 1)).cast("int").alias("part")
+
+
+@registered(
+    f"with s as (select event_id as step, event_type as metric, round(value, 1) as score, {PARTS_SQL} as part, case when event_type in ('view', 'click') then round(value, 1) else -round(value, 1) end as r from events),"
+    " b as (select * from s where score is not null qualify row_number() over (partition by part, metric order by r desc, step desc) = 1)"
+    " select metric, step, score from b qualify r >= coalesce(max(r) over (partition by metric order by part rows between unbounded preceding and 1 preceding), r)"
+)
+def stream_running_best(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    names = [r.metric for r in s.select("metric").distinct().collect()]  # one row a metric
+    parted = s.select("*", _parted(spark, sf_dir, "step"))
+    got = _arrivals(spark, parted, lambda stream: streaming.streaming_best(stream, {m: m in DIRECTIONS for m in names}))
+    return got.select("metric", "step", "score")
+
+
+@registered(
+    f"with s as (select user_id, value, {PARTS_SQL} as part from events), m as (select part, 'value' as band, count(v) as n, sum(v) as t, sum(v * v) as q from (select part, value as v from s) group by 1"
+    " union all select part, 'user_id', count(v), sum(v), sum(v * v) from (select part, cast(user_id as double) as v from s) group by 1)"
+    " select band, cast(sum(n) over w as bigint) as n, round(sum(t) over w / sum(n) over w, 4) as mean, round(sqrt(sum(q) over w / sum(n) over w - (sum(t) over w / sum(n) over w) * (sum(t) over w / sum(n) over w)), 4) as sd from m window w as (partition by band order by part)"
+)
+def stream_moments(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("value", F.col("user_id").cast("double").alias("user_id"), _parted(spark, sf_dir, "event_id"))
+    got = _arrivals(spark, e, lambda stream: streaming.streaming_moments(stream, ["value", "user_id"]))
+    return got.select("band", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
 # -------------------------------------------------------------------- flagship
 @registered(
     f"with {GRID_SQL}, {SIZE_SQL}, {POINTS_SQL}, z as (select x, y, (value - avg(value) over ()) / stddev_pop(value) over () as z from grid)"
