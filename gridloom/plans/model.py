@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib.util
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,11 +19,13 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.functions.grid import strip_bounds
+from gridloom.functions.grid import Axis, strip_bounds
 from gridloom.functions.values import one_hot
 from gridloom.operators import pixels
 from gridloom.operators import score as scores
+from gridloom.plans import pipeline
 from gridloom.sources import sidecar, tiff
 from gridloom.sources.sidecar import Features, Training
 from gridloom.streaming import each_batch
@@ -204,6 +207,33 @@ def predict_arriving(spark: SparkSession, model, strips: str, out: str, checkpoi
     return each_batch(stream, work, checkpoint)
 
 
+def predict_images(spark: SparkSession, model, folder: str, checkpoint: str, continuous: list[str] = (), categorical: list[str] = (), block: int = 1024, normalise: bool = True) -> StreamingQuery:
+    """Predictions from images to images as a stream, block of rows by block of rows, each with the rows that its
+    patches reach.  The images may be of another grid than those that the model was trained on, but have its bands;
+    ``normalise`` as they were imported.  The query waits when all blocks are done; stopped and started again, it goes on.
+    A block that is done twice replaces its images.  ``tiff.read_blocks`` reads the mosaic.
+    """
+    found = {k: tiff.find_rasters(spark, *v) for k, v in (("continuous", continuous), ("categorical", categorical)) if v}
+    known = model.meta.features
+    stream = tiff.stream_stack(spark, found.get("continuous", []), found.get("categorical", []), block, known.halfwidth)
+    if set(known.bands) - set(stream.columns):
+        raise MismatchedFeatures(f"trained on {known.bands}, the images have {stream.columns[4:]}")
+    grid = tiff.read_header(next(iter(found.values()))[0]).grid
+    features = replace(known, grid=grid, strip=(1, 1))
+
+    def work(batch: DataFrame, number: int) -> None:
+        table = batch.persist()
+        for first, stop in table.select("first", "stop").distinct().collect():  # one block
+            rows = pipeline.encoded_features(table.where(F.col("first") == first).drop("first", "stop"), features, normalise)
+            out = model.predict(pipeline.samples_of_rows(rows, features, first, stop))
+            labels = [c for c in out.columns if c.startswith("predictions_")]
+            part = replace(grid, y=Axis(grid.y.origin + first * grid.y.step, grid.y.step, stop - first))
+            tiff.write_rasters(out.select((F.col("iy") - first).alias("y"), F.col("ix").alias("x"), *labels), part, folder, labels, f"{first:08d}")
+        table.unpersist()
+
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
+
+
 def save_scores(path: str, got: dict[str, float]) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(got, f, indent=1, sort_keys=True)

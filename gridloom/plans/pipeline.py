@@ -66,13 +66,22 @@ def _arrays(mapping: DataFrame) -> dict:
 
 
 def save_features(table: DataFrame, features: Features, out: str, normalise: bool = True, mapping: DataFrame | None = None) -> None:
+    if mapping is None and features.categorical:
+        mapping = stats.category_map(table, list(features.categorical))
+    sidecar.save_table(encoded_features(table, features, normalise, mapping), out, features)
+
+
+def encoded_features(table: DataFrame, features: Features, normalise: bool = True, mapping: DataFrame | None = None) -> DataFrame:
+    """Continuous bands of a pixel table as z-scores and categorical ones as codes; by default those of the metadata's
+    own dictionaries, in which every value must be."""
     known = {b: c for b, c in features.continuous.items() if normalise and c.mean is not None}
     done = table.withColumns({b: ((F.col(f"`{b}`").cast("double") - c.mean) / c.sd).cast("float") for b, c in known.items()})
     if mapping is None and features.categorical:
-        mapping = stats.category_map(table, list(features.categorical))
+        rows = [(b, int(v), k) for b, c in features.categorical.items() for k, v in enumerate(c.values)]
+        mapping = table.sparkSession.createDataFrame(rows, "band string, value int, code int")
     for b in features.categorical:
         done = stats.encoded(done, b, mapping)
-    sidecar.save_table(done, out, features)
+    return done
 
 
 def import_targets(points: DataFrame, out: str, labels: list[str], kind: str = "continuous", normalise: bool = False, every: int = 1, seed: int = 666) -> Targets:
@@ -145,14 +154,19 @@ def extract_query(spark: SparkSession, features_path: str, out: str, strip: int
     features = sidecar.load_metadata(spark, features_path, Features)
     features.halfwidth, features.strip = halfwidth, (strip, strips)
     start, stop = strip_bounds(features.grid.y.n, strips)[strip - 1]
-    arrays = patches.patch_blocks(spark.read.parquet(features_path), halfwidth, features.bands, features.grid.x.n, start, stop)
-    cells = _by_cell(arrays, list(features.continuous), list(features.categorical), ["y", "x"])
-    placed = pixels.positioned(cells.withColumn("pixel", F.col("y").cast("long") * features.grid.x.n + F.col("x")), features.grid)
-    placed.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy", "con", "cat", "con_mask", "cat_mask").write.mode("overwrite").parquet(out)
+    samples_of_rows(spark.read.parquet(features_path), features, start, stop).write.mode("overwrite").parquet(out)
     sidecar.save_metadata(spark, out, features)
     return features
 
 
+def samples_of_rows(table: DataFrame, features: Features, start: int, stop: int) -> DataFrame:
+    """Samples of all pixels of the rows [start, stop), from a feature table with the rows that their patches reach."""
+    arrays = patches.patch_blocks(table, features.halfwidth, features.bands, features.grid.x.n, start, stop)
+    cells = _by_cell(arrays, list(features.continuous), list(features.categorical), ["y", "x"])
+    placed = pixels.positioned(cells.withColumn("pixel", F.col("y").cast("long") * features.grid.x.n + F.col("x")), features.grid)
+    return placed.select("pixel", F.col("x").alias("ix"), F.col("y").alias("iy"), "cx", "cy", "con", "cat", "con_mask", "cat_mask")
+
+
 class FeatureReader:
     """Samples straight from a feature table."""
 

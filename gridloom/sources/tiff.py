@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gridloom.functions.grid import Axis, GridSpec
 from gridloom.functions.sizing import rows_for
@@ -453,6 +453,78 @@ def read_stack(spark: SparkSession, paths: list[str], kind: str = "continuous",
     return spark.read.format("rasterstack").option("paths", json.dumps(paths)).option("kind", kind).option("ignore_crs", str(ignore_crs)).option("rows", rows).option("first", first).option("stop", stop).option("bands", json.dumps(bands)).load()
 
 
+class RasterStream(DataSource):
+    """A stream of blocks of rows of images of one grid.  Options: ``continuous`` and ``categorical`` (JSON lists of
+    paths), ``ignore_crs``, ``block`` (rows of a block) and ``reach`` (rows above and below that come with it).
+
+    Rows (first, stop, y, x, bands...), where the block is [first, stop).  Each batch is the next block, and offsets are
+    rows, so that a stream that is started again goes on with the block after the last that was finished.
+    """
+
+    @classmethod
+    def name(cls):
+        return "rasterstream"
+
+    def stacks(self) -> list[RasterStack]:
+        told = [{**self.options, "paths": self.options[k], "kind": k} for k in ("continuous", "categorical")]
+        stacks = [RasterStack(o) for o in told if json.loads(o["paths"])]
+        shared_grid([im for s in stacks for im in s.images()], self.options.get("ignore_crs", "false").lower() == "true")
+        return stacks
+
+    def schema(self):
+        fields = [T.StructField(n, T.IntegerType(), False) for n in ("first", "stop", "y", "x")]
+        return T.StructType([*fields, *(f for s in self.stacks() for f in s.schema().fields[2:])])
+
+    def streamReader(self, schema):
+        readers = [_StackReader(s.images(), s.schema(), 0, 0, 0) for s in self.stacks()]
+        return _StreamReader(readers, schema.names, int(self.options["block"]), int(self.options["reach"]))
+
+
+@dataclass
+class StreamRows(InputPartition):
+    first: int
+    stop: int
+    part: Rows
+
+
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, readers: list[_StackReader], names: list[str], block: int, reach: int):
+        self.readers, self.names, self.block, self.reach = readers, names, block, reach
+        self.height, self.at = readers[0].last + 1, 0
+
+    def initialOffset(self):
+        return {"row": 0}
+
+    def latestOffset(self):
+        return {"row": min(self.height, self.at + self.block)}
+
+    def partitions(self, start, end):
+        """Spark asks for the last batch, or for an empty one at its end, when a stream is started again."""
+        self.at = max(self.at, end["row"])
+        blocks = [(a, min(a + self.block, end["row"])) for a in range(start["row"], end["row"], self.block)]
+        step = max(r.step for r in self.readers)
+        return [StreamRows(a, b, Rows(s, min(s + step, b + self.reach, self.height))) for a, b in blocks for s in range(max(0, a - self.reach), min(self.height, b + self.reach), step)]
+
+    def read(self, part: StreamRows):
+        width = self.readers[0].width
+        each = max(1, (8 << 20) // (width * 4 * len(self.names)))
+        for a in range(part.part.start, part.part.stop, each):
+            tables = [pa.Table.from_batches(r.read(Rows(a, min(part.part.stop, a + each)))).combine_chunks() for r in self.readers]
+            place = [pa.array(np.full(len(tables[0]), v, np.int32)) for v in (part.first, part.stop)]
+            columns = [*place, *tables[0].columns[:2], *(c for t in tables for c in t.columns[2:])]
+            yield from pa.Table.from_arrays(columns, self.names).combine_chunks().to_batches()
+
+
+def stream_stack(spark: SparkSession, continuous: list[str] = (), categorical: list[str] = (), block: int = 1024, reach: int = 0, ignore_crs: bool = False) -> DataFrame:
+    """A stream of images' pixels by blocks of ``block`` rows, ``reach`` rows around each; see ``RasterStream``."""
+    if not continuous and not categorical:
+        raise NoRasters("no files to read")
+    ship(spark)
+    spark.dataSource.register(RasterStream)
+    told = {"continuous": json.dumps(list(continuous)), "categorical": json.dumps(list(categorical)), "block": block, "reach": reach, "ignore_crs": str(ignore_crs)}
+    return spark.readStream.format("rasterstream").options(**told).load()
+
+
 class RasterBlocks(RasterStack):
     """Options: ``paths`` (JSON list) of files of one band that hold blocks of rows of one image,
     ``band``, its column; ``origin`` and ``step`` of the image's y axis, ``height``; and ``kind``,

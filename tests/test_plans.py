@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -150,6 +152,38 @@ def test_networks_stop_when_nothing_is_gained(spark, place, tmp_path):
         neural.NeuralModel(rounds=None)
 
 
+def test_images_are_predicted_as_a_stream(spark, place, tmp_path):
+    at, *_ = place
+    rows, meta = samples_of(spark, at, tmp_path, "continuous", "value", 1)
+    fitted = neural.NeuralModel(rounds=2).fit(rows, meta)
+    pipeline.extract_query(spark, str(at / "features"), str(tmp_path / "q"), 1, 1, 1)
+    whole = {(r.iy, r.ix): r.predictions_value for r in model.predict(spark, fitted, str(tmp_path / "q")).collect()}
+    out, seen = str(tmp_path / "out"), []
+    images = dict(continuous=[str(at / "con")], categorical=[str(at / "cat")], block=4)
+
+    def run(until):
+        """As a driver that ends after some blocks: the query stops while others wait."""
+        query = model.predict_images(spark, fitted, out, str(tmp_path / "check"), **images)
+        while query.isActive and len(tiff.committed(out) or []) < until:
+            time.sleep(0.2)
+        if until == 4:
+            query.processAllAvailable()
+        query.stop()
+        assert query.exception() is None
+        seen.append(len(tiff.committed(out)))
+
+    run(2)
+    assert 2 <= seen[0]
+    run(4)
+    run(4)
+    done = [f for f in os.listdir(tmp_path / "check" / "commits") if f.isdigit()]
+    assert seen[1:] == [4, 4] and len(done) == 4
+    got = {(r.y, r.x): r[2] for r in tiff.read_blocks(spark, out, GRID, "predictions_value").collect()}
+    assert got == whole and len(got) == 300
+    with pytest.raises(model.MismatchedFeatures):
+        model.predict_images(spark, fitted, out, str(tmp_path / "other"), continuous=[str(at / "con")])
+
+
 def test_strips_join_without_seams(spark, place):
     at, *_ = place
     pipeline.extract_query(spark, str(at / "features"), str(at / "whole"), 1, 1, 1)
