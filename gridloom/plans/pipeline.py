@@ -23,8 +23,7 @@ def import_rasters(spark: SparkSession, out: str, continuous: list[str] = (), ca
     found = {k: tiff.find_rasters(spark, *v) for k, v in (("continuous", continuous), ("categorical", categorical)) if v}
     if not found:
         raise tiff.NoRasters("neither continuous nor categorical images")
-    headers = [tiff.read_header(p) for paths in found.values() for p in paths]
-    grid = tiff.shared_grid(headers, ignore_crs)
+    grid = tiff.registered(spark, [p for paths in found.values() for p in paths], ignore_crs)
     frames = {k: tiff.read_stack(spark, paths, k, ignore_crs) for k, paths in found.items()}
     table = _written(pixels.stacked(*frames.values()), "pixels")
     bands = [bands_of(frames.get(k)) for k in ("continuous", "categorical")]

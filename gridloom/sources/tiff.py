@@ -336,6 +336,56 @@ def shared_grid(images: list[Tiff], ignore_crs: bool = False) -> GridSpec:
     return first
 
 
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, width, height, affine, crs, bands) of files, whose headers tasks read."""
+    ship(spark)
+
+    def work(batches):
+        for batch in batches:
+            found = [read_header(p) for p in batch.column(0).to_pylist()]
+            grids = [im.grid for im in found]
+            crs = [json.dumps(g.crs, sort_keys=True) for g in grids]
+            columns = [[im.path for im in found], [g.x.n for g in grids], [g.y.n for g in grids], [[float(v) for v in g.affine] for g in grids], crs, [list(im.names) for im in found]]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "width", "height", "affine", "crs", "bands"])
+
+    tasks = max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    asked = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
+    return asked.mapInArrow(work, "path string, width int, height int, affine array<double>, crs string, bands array<string>")
+
+
+#: Values that an error about images that differ names at most; ``mismatches`` has them all.
+NAMED_VALUES = 100
+
+
+def mismatches(found: DataFrame, ignore_crs: bool = False) -> DataFrame:
+    """(property, value, n, files) of the properties in which ``headers`` differ from the first path's: how many files
+    have each value, and the least and the greatest path of them.  Transforms are equal within 1e-9."""
+    first = found.groupBy().agg(F.min_by(F.struct("width", "height", "affine", "crs"), "path").alias("one"))
+    near = lambda p, q: F.abs(p - q) <= 1e-9 + 1e-9 * F.abs(q)
+    both = found.crossJoin(F.broadcast(first))  # one row
+    alike = {c: F.col(c) == F.col(f"one.{c}") for c in ("width", "height", *([] if ignore_crs else ["crs"]))}
+    alike["affine"] = F.forall(F.zip_with("affine", "one.affine", near), lambda ok: ok)
+    shown = lambda c, ok: F.when(ok, F.col(f"one.{c}")).otherwise(F.col(c)).cast("string")
+    told = F.array(*[F.struct(F.lit(c).alias("property"), shown(c, ok).alias("value"), (~ok).alias("_off")) for c, ok in alike.items()])
+    sides = both.select("path", F.inline(told)).groupBy("property", "value")
+    counted = sides.agg(F.count("*").alias("n"), F.max("_off").alias("_off"), F.min("path").alias("_least"), F.max("path").alias("_most"))
+    off = counted.where("_off").select("property").distinct()
+    files = F.array_distinct(F.array("_least", "_most")).alias("files")
+    return counted.join(off, "property").select("property", "value", "n", files)
+
+
+def registered(spark: SparkSession, paths: list[str], ignore_crs: bool = False) -> GridSpec:
+    """The one grid of all files, or an error that names each differing property's values, how many files have each and
+    files that have it.  Tasks read the headers; one row for each value that differs reaches the driver."""
+    found = headers(spark, paths).persist()  # read once, used by all parts of the report
+    rows = mismatches(found, ignore_crs).orderBy("property", F.desc("n"), "value").limit(NAMED_VALUES).collect()
+    found.unpersist()
+    if rows:
+        raise MismatchedStack("images differ:\n" + "\n".join(f"{r.property} {r.value}: {r.n} files, {', '.join(r.files)}" for r in rows))
+    return read_header(min(paths)).grid
+
+
 # ----------------------------------------------------------------- data source
 @dataclass
 class Rows(InputPartition):

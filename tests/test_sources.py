@@ -375,3 +375,19 @@ def test_files_count_all_at_once(spark, tmp_path):
     again = tiff.write_rasters(full, GRID, folder, ["p"], rows_per_file=2).collect()  # a name written again is one file
     assert again == out and len(committed.manifests(folder)) == 2 and tiff.find_rasters(spark, folder) == [r.path for r in out]
     assert not [p for p in (tmp_path / "out").glob("_job-*")]
+
+
+def test_mismatches_name_values_and_files(spark, tmp_path):
+    one, moved, wide = GridSpec(Axis(0.0, 1.0, 4), Axis(3.0, -1.0, 3)), GridSpec(Axis(0.5, 1.0, 4), Axis(3.0, -1.0, 3)), GridSpec(Axis(0.0, 1.0, 5), Axis(3.0, -1.0, 3))
+    near = GridSpec(Axis(1e-12, 1.0, 4), Axis(3.0, -1.0, 3))
+    paths = []
+    for name, g in (("a", one), ("b", one), ("c", moved), ("d", wide), ("e", near)):
+        paths.append(str(tmp_path / f"{name}.tif"))
+        (tmp_path / f"{name}.tif").write_bytes(tiff.encode_tiff(np.zeros((3, g.x.n, 1), "<f4"), g))
+    found = tiff.headers(spark, paths)
+    assert {r.path: (r.width, r.height) for r in found.collect()} == {p: (5 if p.endswith("d.tif") else 4, 3) for p in paths}
+    off = {(r.property, r.n, tuple(f[-5:] for f in r.files)) for r in tiff.mismatches(found).collect()}
+    assert off == {("width", 4, ("a.tif", "e.tif")), ("width", 1, ("d.tif",)), ("affine", 4, ("a.tif", "e.tif")), ("affine", 1, ("c.tif",))}
+    assert tiff.registered(spark, [paths[0], paths[1], paths[4]]) == one
+    with pytest.raises(tiff.MismatchedStack, match="width 5: 1 files, .*d.tif"):
+        tiff.registered(spark, paths)
