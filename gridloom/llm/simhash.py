@@ -132,9 +132,10 @@ def partitions_for(n: int, radius: int) -> int:
     return min(range(2, radius + 1), key=work) if radius >= 2 else 2
 
 
-def correlated_groups(counts: np.ndarray, n: int, m: int) -> tuple[tuple[int, ...], ...]:
+def correlated_groups(counts: np.ndarray, n: int, m: int, wide: int | None = None) -> tuple[tuple[int, ...], ...]:
     """Greedy groups of bits: each starts at the bit most correlated with those left
-    and takes the bits most correlated with the group; evenest bits come first."""
+    and takes the bits most correlated with the group; evenest bits come first.  A group has
+    ``wide`` bits, which can leave some over, or else the ``m`` groups share all 64."""
     p = np.diag(counts) / max(n, 1)
     cov = counts / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
@@ -142,7 +143,7 @@ def correlated_groups(counts: np.ndarray, n: int, m: int) -> tuple[tuple[int, ..
     np.fill_diagonal(cor, 0)
     left, groups = list(range(64)), []
     for k in range(m):
-        width = 64 // m + (k < 64 % m)
+        width = wide or 64 // m + (k < 64 % m)
         group = [max(left, key=lambda b: cor[b, left].sum())]
         left.remove(group[0])
         while len(group) < width:
@@ -153,9 +154,9 @@ def correlated_groups(counts: np.ndarray, n: int, m: int) -> tuple[tuple[int, ..
     return tuple(groups)
 
 
-def plan_partitions(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None, known: int = HISTOGRAM_BITS) -> Partitioning:
+def plan_partitions(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None, known: int = HISTOGRAM_BITS, width: int | None = None) -> Partitioning:
     """Statistics over all distinct fingerprints in column ``fp``, a long or, for several
-    ``lanes``, an array of longs; each lane has ``parts`` partitions.
+    ``lanes``, an array of longs; each lane has ``parts`` partitions, of ``width`` bits if given.
 
     What reaches the driver is bounded by the method, whatever the input: a 64 x 64 matrix
     for each lane, and 2**known counts for each partition.
@@ -178,7 +179,7 @@ def plan_partitions(fps: DataFrame, radius: int, lanes: int = 1, parts: int | No
     if rows.num_rows:
         counts[rows["at"].to_numpy()] = rows["c"].to_numpy()
     m = parts or partitions_for(n, radius)
-    bits = tuple(tuple(64 * lane + b for b in group) for lane, c in enumerate(counts.reshape(lanes, 64, 64)) for group in correlated_groups(c, n, m))
+    bits = tuple(tuple(64 * lane + b for b in group) for lane, c in enumerate(counts.reshape(lanes, 64, 64)) for group in correlated_groups(c, n, m, width))
 
     def histograms(batches):
         total = [np.zeros(1 << min(len(b), known), np.int64) for b in bits]

@@ -19,36 +19,63 @@ def brute(docs, least=0.8):
     return components(ids, pairs), pairs
 
 
-def test_recall_of_candidates():
-    """Of pairs at a similarity just above 0.8, at least 99 % agree in a whole partition and are
-    near on their first lanes, so that they are compared exactly."""
+def recall(search, least, most, pairs):
+    """The share of pairs at a similarity of 0.8 exactly, or a little above, of sets of so many
+    shingles, that agree in a whole partition and are near on their first lanes."""
     rng = np.random.default_rng(4)
     met = 0
-    for _ in range(1000):
-        n = int(rng.integers(30, 400))
-        both = rng.integers(0, 2**63, n).astype(np.uint64)
-        one, two = (np.r_[both, rng.integers(0, 2**63, n // 8).astype(np.uint64)] for _ in range(2))
-        a, b = neardup.wide_fingerprint(one), neardup.wide_fingerprint(two)
+    places = [64 * lane + search.width * k for lane in range(search.lanes) for k in range(search.parts)]
+    for _ in range(pairs):
+        each = int(rng.integers(max(1, least // 9), most // 9 + 1))  # in one set only
+        both = rng.integers(0, 2**63, 8 * each).astype(np.uint64)
+        one, two = (np.r_[both, rng.integers(0, 2**63, each).astype(np.uint64)] for _ in range(2))
+        a, b = neardup.wide_fingerprint(one, search.lanes), neardup.wide_fingerprint(two, search.lanes)
         near = np.bitwise_count(a[:2] ^ b[:2]).sum() <= neardup.NEAR
-        met += bool(near and (a.view(np.uint16) == b.view(np.uint16)).any())
-    assert met >= 990
+        differ = np.cumsum(np.r_[0, np.unpackbits((a ^ b).view(np.uint8), bitorder="little")])
+        met += bool(near and any(differ[p] == differ[p + search.width] for p in places))
+    return met / pairs
+
+
+@pytest.mark.parametrize("n,pairs", [(0, 1000), (10**8, 300), (4 * 10**10, 150)])
+def test_recall_of_candidates(n, pairs):
+    """At any number of documents at least 99 % of pairs just at the similarity are compared exactly."""
+    assert recall(neardup.search_for(n), 9, 400, pairs) >= 0.99
+
+
+def test_recall_of_short_sets():
+    """Sets of four and five shingles with four in common."""
+    rng, search, met = np.random.default_rng(6), neardup.search_for(0), 0
+    for _ in range(500):
+        two = rng.integers(0, 2**63, 5).astype(np.uint64)
+        a, b = neardup.wide_fingerprint(two[:4], search.lanes), neardup.wide_fingerprint(two, search.lanes)
+        met += bool(np.bitwise_count(a[:2] ^ b[:2]).sum() <= neardup.NEAR and (a.view(np.uint16) == b.view(np.uint16)).any())
+    assert met >= 0.93 * 500
+
+
+def test_keys_grow_with_the_documents():
+    assert neardup.search_for(0) == neardup.search_for(14 * 10**6) == (20, 4, 16)
+    for n in (10**6, 10**9, 4 * 10**10, 10**12):
+        search = neardup.search_for(n)
+        assert n / 2**search.width <= neardup.KEY_ROWS and search.parts * search.width <= 64
+        # Keys a document grow as the power of n that keeps the chance to meet.
+        assert search.lanes * search.parts <= 2 * 80 * max(1, n / (neardup.KEY_ROWS << 16)) ** 0.235
 
 
 def test_wide_fingerprint_is_a_majority():
     rng = np.random.default_rng(5)
-    for n in (0, 1, 2, 255, 256, 1000):
+    for n, wide in ((0, 20), (1, 20), (2, 7), (255, 20), (256, 33), (1000, 20)):
         h = rng.integers(0, 2**63, n).astype(np.uint64)
-        got = neardup.wide_fingerprint(h)
+        got = neardup.wide_fingerprint(h, wide)
         lanes = []
         for x in h.tolist():
             row = []
-            for k in range(1, neardup.LANES + 1):
+            for k in range(1, wide + 1):
                 z = (x + k * 0x9E3779B97F4A7C15) % 2**64
                 z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
                 z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
                 row.append(z ^ z >> 31)
             lanes.append(row)
-        for k in range(neardup.LANES):
+        for k in range(wide):
             assert int(got[k]) == sum(1 << b for b in range(64) if sum(r[k] >> b & 1 for r in lanes) * 2 > n)
 
 
@@ -59,8 +86,8 @@ def edited(rnd, base, words):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_stage_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,n", [(512, 0), (7, 0), (512, 10**9)])
+def test_stage_equals_brute_force(spark, block, n):
     rnd = random.Random(1)
     docs = []
     for _ in range(60):
@@ -71,9 +98,9 @@ def test_stage_equals_brute_force(spark, block):
     docs = list(enumerate(docs))
     want, pairs = brute(docs)
     assert len(pairs) > 300 and len(set(want.values())) > 60
-    kept = neardup.keep_one_of_near(documents(spark, docs), block=block).collect()
+    kept = neardup.keep_one_of_near(documents(spark, docs), block=block, search=neardup.search_for(n)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
-    if block == neardup.BLOCK:
+    if block == neardup.BLOCK and not n:
         stage = corpus_pipeline.near_dedup_stage(spark, documents(spark, docs), "")
         assert sorted(r.doc_id for r in stage.collect()) == sorted(set(want.values()))
 
