@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import packed, unpacked, written
 
+#: A character that is no white space; windows without any are blank.
+TEXT = r"[^ \t\x0B\f\r]"
+
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """Rows (id, text_hash, at, h1, h2): windows by 0-based place of their first line.
 
-    Windows of blank lines only are left out.  128 bits of hash tell windows apart.
+    Windows of blank lines only, of whatever white space, are left out.  128 bits of hash tell windows apart.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), lines.alias("lines")).where(F.size("lines") >= size)
 
     def window(k):
         parts = [F.get("lines", k + F.lit(j)) for j in range(size)]
-        blank = F.trim(F.concat(*parts)) == ""
-        return F.when(~blank, F.struct(k.alias("at"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("h2")))
+        return F.when(F.concat(*parts).rlike(TEXT), F.struct(k.alias("at"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("h2")))
 
     found = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window), lambda w: w.isNotNull())
     return cut.select("id", "text_hash", F.inline(found))
@@ -55,7 +57,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays; a text may become empty.  Null texts stay null, texts of fewer lines
     than a window stay as they are, and rows with the same id and text are one document.
     Rows with a null id come last in the order of occurrences.  Windows can overlap and
-    repeat within one document.
+    repeat within one document.  Very long texts are cut into lines like others; an empty table
+    gives none.
     """
     gone = repeated_positions(docs, id_col, text_col, size).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     rows = packed(docs, text_col, id=id_col).withColumn("hash", F.xxhash64("text"))

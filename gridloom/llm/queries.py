@@ -194,7 +194,7 @@ with lines as (
   select doc_id, text, pos, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c
   from lines window w as (partition by doc_id, text order by pos)
 ), full_windows as (
-  select * from windows where b is not null and c is not null and trim(a || b || c, ' ') <> ''
+  select * from windows where b is not null and c is not null and regexp_matches(a || b || c, '[^ \t\x0B\f\r]')
 ), marked as (
   select *, row_number() over (partition by a, b, c order by doc_id nulls last, pos) as k from full_windows
 ), gone as (

@@ -13,14 +13,14 @@ def brute(docs, size=3):
         lines = (t or "").split("\n")
         for i in range(len(lines) - size + 1):
             w = tuple(lines[i : i + size])
-            if "".join(w).strip(" ") and seen.setdefault(w, (k, t, i)) != (k, t, i):
+            if "".join(w).strip(" \t\x0b\f\r") and seen.setdefault(w, (k, t, i)) != (k, t, i):
                 gone.setdefault((k, t), set()).update(range(i, i + size))
     return {d: None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone.get(d, ())) for d in unique}
 
 
 def test_equals_brute_force(spark):
     rnd = random.Random(3)
-    lines = [f"line {k}" for k in range(6)] + ["", " "]
+    lines = [f"line {k}" for k in range(6)] + ["", " ", "\t"]
     docs = [(k, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 14)))) for k in range(150)]
     want = brute(docs)
     out = linededup.dedup_lines(documents(spark, docs).withColumnRenamed("lang", "gone")).collect()
