@@ -167,6 +167,19 @@ def test_equals_a_plain_version(spark):
             assert entity[0] != "card" or luhn(p.surrogate) == luhn(value)
 
 
+def test_what_is_no_card(spark):
+    got = replaced(spark, "at 1700000000000 ms", "ISBN 9780306406157", "378282246310005", "4111 1111 1111 1112")
+    assert [t for t, _ in got[:2]] == ["at 1700000000000 ms", "ISBN 9780306406157"]
+    assert got[2][0] != "378282246310005" and luhn(got[2][0]) and got[3][1][0].kind == "card"
+
+
+def test_octets_and_short_addresses(spark):
+    got = [t for t, _ in replaced(spark, "1.2.3.9", "1.2.3.09", "::1", "at ::ffff:10.2.3.4", "a::b std::end 12:30:45", ("x" * 300) + "@y.org", "Prof J. van der van der van der van der Berg")]
+    assert got[0] == got[1] != "1.2.3.9" and ipaddress.ip_address(got[2]) != ipaddress.ip_address("::1")
+    assert got[3].startswith("at ::ffff:10.") and got[3] != "at ::ffff:10.2.3.4" and got[4].endswith("std::end 12:30:45")
+    assert re.fullmatch(r"[a-z]{300}@\w+\.example\.net", got[5]) and "xxx" not in got[5] and "Berg" not in got[6]
+
+
 def test_the_key_matters(spark):
     assert replaced(spark, "x@y.org")[0][0] != replaced(spark, "x@y.org", key="other")[0][0]
     assert replaced(spark, "x@y.org") == replaced(spark, "x@y.org")
