@@ -37,9 +37,9 @@ def impute_array(values: Column, fill) -> Column:
     return F.transform(values, lambda v: F.coalesce(v, F.lit(fill)))
 
 
-def one_hot(code: Column, k: int) -> Column:
+def one_hot(code: Column, k: int | Column) -> Column:
     """Array of k floats, 1 at the code; all 0 for NULL."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(code == i, F.lit(False)).cast("int").cast("float"))
+    return F.transform(F.sequence(F.lit(0), (k if isinstance(k, Column) else F.lit(k)) - 1), lambda i: F.coalesce(code == i, F.lit(False)).cast("int").cast("float"))
 
 
 def top_class(scores: Column) -> Column:

@@ -15,9 +15,9 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +35,16 @@ class MismatchedFeatures(ValueError):
     """A query's features are not those that a model was trained on."""
 
 
+def _places(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def _number(column: str, i: Column) -> Column:
+    """An entry of an array as a double; null for what it lacks and for NaN."""
+    value = F.get(column, i).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 class ForestModel:
     """A Spark ML forest on imputed, one-hot features of whole patches: regression for
     continuous targets, classification for categorical ones.  ``kind`` may also be gbt
@@ -44,46 +54,62 @@ class ForestModel:
         self.kind, self.trees, self.seed, self.strategy = kind, trees, seed, strategy
         self.fitted = None
 
-    def features(self, samples: DataFrame, meta: Features) -> DataFrame:
-        """Scalar columns c0.. for continuous and h0.. for one-hot categorical cells; a missing
-        category is a category of its own."""
-        cells = (2 * meta.halfwidth + 1) ** 2
-        n_con, cats = len(meta.continuous), list(meta.categorical.values())
-        con = [F.get("con", F.lit(i)).cast("double").alias(f"c{i}") for i in range(cells * n_con)]
-        hot = []
-        for cell in range(cells):
-            for k, c in enumerate(cats):
-                code = F.coalesce(F.get("cat", F.lit(cell * len(cats) + k)), F.lit(c.n_values))
-                hot += [F.get(one_hot(code, c.n_values + 1), F.lit(j)).cast("double").alias(f"h{len(hot) + j}") for j in range(c.n_values + 1)]
-        return samples.select("*", *con, *hot)
+    def features(self, samples: DataFrame, meta: Features, fills: list[float]) -> DataFrame:
+        """``samples`` with one vector ``features``, whatever the number of cells and bands: the continuous cells, where
+        missing (null or NaN) the number of their place in ``fills``, then the one-hot categorical cells; a missing
+        category is a category of its own.  The plan has the same size for one cell as for thousands."""
+        cells, cats = (2 * meta.halfwidth + 1) ** 2, [c.n_values for c in meta.categorical.values()]
+        parts = [F.array().cast("array<double>")]
+        if meta.continuous:
+            known = F.split(F.lit(",".join(map(repr, fills))), ",").cast("array<double>")  # folded into one literal
+            parts.append(F.transform(_places(cells * len(meta.continuous)), lambda i: F.coalesce(_number("con", i), F.get(known, i))))
+        if cats:
+            widths = F.array(*[F.lit(n) for n in cats])
+
+            def hot(i):
+                n = F.get(widths, i % len(cats))
+                return one_hot(F.coalesce(F.get("cat", i), n), n + 1).cast("array<double>")
+
+            parts.append(F.flatten(F.transform(_places(cells * len(cats)), hot)))
+        return samples.withColumn("features", array_to_vector(F.concat(*parts)))
+
+    def fills(self, train: DataFrame, meta: Features) -> list[float]:
+        """What stands for a missing value in each place of ``con``: its mean, median or most frequent value (the smallest
+        of several), and 0 in a place without any value.  One aggregate by place, however many there are."""
+        n = (2 * meta.halfwidth + 1) ** 2 * len(meta.continuous)
+        if not n:
+            return []
+        values = F.transform(_places(n), lambda i: _number("con", i))
+        by_place = train.select(F.posexplode(values).alias("place", "v")).where("v is not null")
+        if self.strategy == "mode":
+            by_place = by_place.groupBy("place", "v").count().groupBy("place").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("fill"))
+        else:
+            by_place = by_place.groupBy("place").agg((F.avg("v") if self.strategy == "mean" else F.percentile_approx("v", 0.5, 1000)).alias("fill"))
+        found = {r.place: r.fill for r in by_place.collect()}  # a row a place
+        return [found.get(i, 0.0) for i in range(n)]
 
     def fit(self, train: DataFrame, meta: Training) -> ForestModel:
-        ready = self.features(train, meta.features)
-        con = [c for c in ready.columns if c[0] == "c" and c[1:].isdigit()]
-        hot = [c for c in ready.columns if c[0] == "h" and c[1:].isdigit()]
-        classes = meta.targets.kind == "categorical"
-        stages = [Imputer(strategy=self.strategy, inputCols=con, outputCols=[f"i{c}" for c in con])] if con else []
-        stages.append(VectorAssembler(inputCols=[*(f"i{c}" for c in con), *hot], outputCol="features", handleInvalid="keep"))
-        self.fitted = {}
+        classes, cells = meta.targets.kind == "categorical", (2 * meta.features.halfwidth + 1) ** 2
+        self.fitted, self.filled = {}, {}
         for k, label in enumerate(meta.targets.labels):
             options = dict(featuresCol="features", labelCol="label", predictionCol=f"predictions_{label}")
             if self.kind == "mlp" and classes:
-                width = len(con) + len(hot)
+                width = cells * (len(meta.features.continuous) + sum(c.n_values + 1 for c in meta.features.categorical.values()))
                 last = MultilayerPerceptronClassifier(layers=[width, 2 * width, meta.targets.maps[label].n_values], seed=self.seed, **options)
             elif self.kind == "gbt" and not classes:
                 last = GBTRegressor(seed=self.seed, **options)
             else:
                 last = (RandomForestClassifier if classes else RandomForestRegressor)(numTrees=self.trees, seed=self.seed, **options)
-            known = ready.withColumn("label", F.get("y", F.lit(k))).where("label is not null")
-            self.fitted[label] = Pipeline(stages=[*stages, last]).fit(known)
+            known = train.withColumn("label", F.get("y", F.lit(k))).where("label is not null")
+            self.filled[label] = self.fills(known, meta.features)
+            self.fitted[label] = Pipeline(stages=[last]).fit(self.features(known, meta.features, self.filled[label]))
         self.meta = meta
         return self
 
     def predict(self, samples: DataFrame) -> DataFrame:
-        out = self.features(samples, self.meta.features)
+        out = samples
         for label, model in self.fitted.items():
-            out = model.transform(out).drop("features", "rawPrediction", "probability", *[c for c in out.columns if c.startswith("ic")])
-            out = out.drop(*[c for c in out.columns if c.startswith("ic") and c[2:].isdigit()])
+            out = model.transform(self.features(out, self.meta.features, self.filled[label])).drop("features", "rawPrediction", "probability")
         kind = "int" if self.meta.targets.kind == "categorical" else "float"
         named = [F.col(f"predictions_{label}").cast(kind).alias(f"predictions_{label}") for label in self.fitted]
         return out.select(*samples.columns, *named)
@@ -95,11 +121,13 @@ class ForestModel:
             model.write().overwrite().save(f"{folder}/label-{k}")
         sidecar.save_metadata(spark, f"{folder}/training", self.meta)
         sidecar.save_json(spark, f"{folder}/options", {"kind": self.kind, "trees": self.trees, "seed": self.seed, "strategy": self.strategy})
+        sidecar.save_json(spark, f"{folder}/fills", self.filled)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> ForestModel:
         out = cls(**sidecar.load_json(spark, f"{folder}/options"))
         out.meta = sidecar.load_metadata(spark, f"{folder}/training", Training)
+        out.filled = sidecar.load_json(spark, f"{folder}/fills")
         out.fitted = {label: PipelineModel.load(f"{folder}/label-{k}") for k, label in enumerate(out.meta.targets.labels)}
         return out
 

@@ -7,6 +7,7 @@ column for each band).  Tasks read ranges of rows and only the strips or tiles t
 from __future__ import annotations
 
 import json
+import lzma
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -34,7 +35,7 @@ TAGS = {
     34736: "geodoubles", 34737: "geoascii", 42113: "nodata",
 }
 FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, LZMA, ZSTD = 1, 5, 8, 32946, 32773, 34925, 50000
 MASK, RASTER_TYPE, POINT = 4, 1025, 2
 
 
@@ -150,6 +151,10 @@ class Tiff:
         how, size = self.tags.get("compression", [NONE])[0], rows * (-(-width * deep // 8) if one else width * deep * self.dtype.itemsize)
         if how in (DEFLATE, OLD_DEFLATE):
             raw = zlib.decompress(raw)
+        elif how == LZMA:
+            raw = lzma.decompress(raw)
+        elif how == ZSTD:
+            raw = pa.input_stream(pa.BufferReader(raw), compression="zstd").read()
         elif how == LZW:
             raw = unpack_lzw(raw, size)
         elif how == PACKBITS:
@@ -273,8 +278,12 @@ def encode_tiff(values: np.ndarray, grid: GridSpec, nodata=None, rows_per_strip:
         blocks = [zlib.compress(b) for b in blocks]
     elif compression == PACKBITS:
         blocks = [b"".join(bytes([len(b[k : k + 128]) - 1]) + b[k : k + 128] for k in range(0, len(b), 128)) for b in blocks]
+    elif compression == LZMA:
+        blocks = [lzma.compress(b) for b in blocks]
+    elif compression == ZSTD:
+        blocks = [pa.compress(b, codec="zstd", asbytes=True) for b in blocks]
     elif compression != NONE:
-        raise ValueError("written with deflate, packbits or no compression")
+        raise ValueError("written with deflate, packbits, lzma, zstandard or no compression")
     at, offsets = 8, []
     for b in blocks:
         offsets.append(at)

@@ -327,6 +327,36 @@ def test_models_last(spark, place, tmp_path, kind, label):
     assert sorted(map(tuple, model.predict(other, again, str(tmp_path / "q")).select("pixel", f"predictions_{label}").collect())) == want and len(want) > 0
 
 
+@pytest.mark.parametrize("strategy,want", [("mean", [2.0, 5.0, 0.0]), ("median", [2.0, 5.0, 0.0]), ("mode", [1.0, 5.0, 0.0])])
+def test_forest_features(spark, strategy, want):
+    """One vector: cells with their place's fill where null, NaN or lacking, then one-hot categories, missing ones apart."""
+    rows = [(1, [1.0, None, None], [0, 1]), (2, [3.0, 5.0, float("nan")], [None, 3]), (3, [2.0], [1, 0]), (4, None, None), (5, [], [2, 9])]
+    df = spark.createDataFrame(rows, "id long, con array<float>, cat array<int>")
+    meta = sidecar.Features(GRID, dict.fromkeys("abc"), {"k": sidecar.Categorical([10, 11, 12]), "l": sidecar.Categorical([7, 8, 9, 10])}, 0)
+    forest = model.ForestModel(strategy=strategy)
+    fills = forest.fills(df, meta)
+    assert fills == want
+    got = {r.id: r.features.toArray().tolist() for r in forest.features(df, meta, fills).collect()}
+
+    def vector(con, cat):
+        con = [want[i] if i >= len(con or []) or con[i] is None or con[i] != con[i] else con[i] for i in range(3)]
+        cat = [n if cat is None or c is None else c for n, c in zip((3, 4), cat or (None, None))]
+        return con + [float(j == c) for n, c in zip((3, 4), cat) for j in range(n + 1)]
+
+    assert got == {i: vector(con, cat) for i, con, cat in rows}
+
+
+def test_forest_features_of_wide_patches(spark):
+    """12,100 places, as patches of 11 x 11 cells and 100 bands have, are an expression of the size that one place has."""
+    meta = sidecar.Features(GRID, dict.fromkeys(f"b{k}" for k in range(100)), {}, 5)
+    df = spark.range(20).select(F.transform(F.sequence(F.lit(0), F.lit(12099)), lambda i: F.when((i + F.col("id")) % 3 > 0, (i % 7).cast("float"))).alias("con"))
+    forest = model.ForestModel()
+    fills = forest.fills(df, meta)
+    assert fills == pytest.approx([float(i % 7) for i in range(12100)])
+    out = forest.features(df, meta, fills)
+    assert len(out.columns) == 2 and all(r.features.toArray().tolist() == fills for r in out.collect())
+
+
 def test_command_line(spark, place, tmp_path):
     at, *_ = place
     run = lambda *a: cli.main([str(x) for x in a])

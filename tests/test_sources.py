@@ -50,7 +50,7 @@ def lzw(data):
     return bytes(out)
 
 
-@pytest.mark.parametrize("compression", [tiff.NONE, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.DEFLATE, tiff.PACKBITS, tiff.LZMA, tiff.ZSTD])
 @pytest.mark.parametrize("tile", [None, 16])
 @pytest.mark.parametrize("dtype,bands", [("<f4", 1), ("<f8", 2), ("<u1", 3), ("<i2", 1)])
 def test_codec_round_trip(tmp_path, compression, tile, dtype, bands):
