@@ -12,7 +12,8 @@ with their components under the directions that are left, and compared.
 
 Near vectors share a direction with a probability that several independent rotations bring
 close to one: with the defaults 99.9 % of pairs at cosine 0.93 exactly meet, and closer
-pairs more surely (see the tests and the README).
+pairs more surely (see the tests and the README).  The directions are the same for tables of
+any size, so that rows which are added never change whether two vectors meet under one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from gridloom.llm.shared import connected_components, written
 #: Vectors under one direction that a task compares; more are dealt out as pairs of blocks.
 BLOCK = 2048
 MAX_BROADCAST_KEYS = 500_000
+#: Runs of at most so many sketches, or vectors, are compared all at once.
+SHORT_SKETCHES, SHORT = 128, 32
 #: Bits of a sketch, and standard deviations that its distance may lie above its mean.
 SKETCH_BITS, SKETCH_SPREAD = 128, 5.0
 
@@ -39,19 +42,17 @@ class ProductCodes:
     """``rotations`` codes of ``blocks`` blocks with ``words`` unit vectors each; ``margin``
     is in units of the spread 1/sqrt(dimension) of random inner products."""
 
-    rotations: int = 8
+    rotations: int = 10
     blocks: int = 2
-    words: int = 16
-    margin: float = 0.1
+    words: int = 128
+    margin: float = 0.12
     seed: int = 11
 
     @staticmethod
     def for_rows(n: int) -> ProductCodes:
-        """Codes whose directions grow with the ``n`` vectors of the largest label, so that few
-        vectors meet by chance; recall is alike."""
-        if n <= 200_000:
-            return ProductCodes()
-        return ProductCodes(4, 4, 8 if n <= 2_000_000 else 16 if n <= 100_000_000 else 32, 0.2)
+        """Codes for ``n`` vectors of the largest label: the same for any number, since other
+        codes would find other links."""
+        return ProductCodes()
 
     def blocks_of(self, dim: int) -> int:
         """Blocks of at least eight coordinates: in fewer, random words hardly differ and lists
@@ -65,7 +66,8 @@ class ProductCodes:
         d = -(-dim // blocks) * blocks
         rng = np.random.default_rng([self.seed, d])
         turn = np.stack([np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(self.rotations)])
-        code = rng.standard_normal((self.rotations, blocks, self.words, d // blocks))
+        words = min(self.words, 1 << min(d // blocks, 62))  # more in few coordinates would hardly differ
+        code = rng.standard_normal((self.rotations, blocks, words, d // blocks))
         return turn, code / np.linalg.norm(code, axis=3, keepdims=True)
 
     def decode(self, unit: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ class ProductCodes:
         n, d = len(unit), turn.shape[1]
         x = np.zeros((n, d))
         x[:, : unit.shape[1]] = unit
-        blocks, width, limit = code.shape[1], code.shape[3], self.margin / np.sqrt(d)
+        (blocks, words, width), limit = code.shape[1:], self.margin / np.sqrt(d)
         rows, names = [], []
         for r in range(self.rotations):
             y = x @ turn[r]
@@ -88,9 +90,9 @@ class ProductCodes:
                 short = s.max(axis=1, keepdims=True) - s
                 total = lost[:, None] + short[row]
                 i, w = np.nonzero(total <= limit)
-                row, name, lost = row[i], name[i] * self.words + w, total[i, w]
+                row, name, lost = row[i], name[i] * words + w, total[i, w]
             rows.append(row)
-            names.append(name + r * self.words**blocks)
+            names.append(name + r * words**blocks)
         row, name = np.concatenate(rows), np.concatenate(names)
         order = np.lexsort((name, row))
         return row[order], name[order]
@@ -172,7 +174,26 @@ def _met(sketched: DataFrame, cosine: float, block: int) -> DataFrame:
     keys = ["label", "direction", "cell"]
 
     def near(batches):
-        for key, part in _runs(batches, 3, lambda batch, starts, ends: ends - starts > 1):
+        found = []
+
+        def short(batch, starts, ends):
+            """Compares short runs all at once and asks for the long ones."""
+            lengths = ends - starts
+            may, node, direction = lengths > SHORT_SKETCHES, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 1))
+            s = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (4, 5)]
+            room = np.repeat(np.where(may, 0, ends), lengths)
+            met = np.zeros(batch.num_rows, bool)
+            at = np.arange(batch.num_rows)
+            for d in range(1, SHORT_SKETCHES):
+                at = at[at + d < room[at]]
+                if not len(at):
+                    break
+                hit = at[sum(np.bitwise_count(x[at] ^ x[at + d]).astype(np.int16) for x in s) <= most]
+                met[hit] = met[hit + d] = True
+            found.append(pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(direction[met])], ["node", "direction"]))
+            return may
+
+        for key, part in _runs(batches, 3, short):
             node = part.column(3).to_numpy(zero_copy_only=False)
             s = np.stack([part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (4, 5)])
             met = np.zeros(len(node), bool)
@@ -181,9 +202,12 @@ def _met(sketched: DataFrame, cosine: float, block: int) -> DataFrame:
                 np.fill_diagonal(far[:, at:], True)
                 met[at : at + 256] = ~far.all(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(np.full(int(met.sum()), key[1]))], ["node", "direction"])
+            yield from found
+            found.clear()
+        yield from found
 
     rows = _dealt(sketched, block).select(*keys, "node", "s0", "s1").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(near, "node long, direction long").groupBy("node").agg(F.collect_set("direction").alias("directions"))
+    return rows.mapInArrow(lambda batches: _gathered(near(batches)), "node long, direction long").groupBy("node").agg(F.collect_set("direction").alias("directions"))
 
 
 def _listed(kinds: DataFrame, codes: ProductCodes) -> DataFrame:
@@ -217,17 +241,23 @@ def _compare(ids, weight, side, mixed, unit, names, direction, cut, columns=1024
     n = len(ids)
     linked = unit @ unit.T >= cut
     np.fill_diagonal(linked, False)
-    # Columns for directions before this one: a product above 0 tells pairs that meet earlier.
-    flat, owner = np.concatenate(names), np.repeat(np.arange(n), [len(x) for x in names])
-    early = flat < direction
-    known, column = np.unique(flat[early], return_inverse=True)
-    owner, counted = owner[early], linked.copy()
-    for c in range(0, len(known) if linked.any() else 0, columns):
-        some = (column >= c) & (column < c + columns)
-        listed = np.zeros((n, columns), np.float32)
-        listed[owner[some], column[some] - c] = 1
-        for r in range(0, n, columns):
-            counted[r : r + columns] &= ~(listed[r : r + columns] @ listed.T > 0)
+    # Pairs that share a direction before this one meet earlier.
+    counted, some = linked.copy(), np.argwhere(np.triu(linked))
+    if len(some) <= SHORT:
+        for i, j in some:
+            if (names[i][names[i] < direction][:, None] == names[j]).any():
+                counted[i, j] = counted[j, i] = False
+    else:  # columns for these directions: a product above 0 tells such pairs
+        flat, owner = np.concatenate(names), np.repeat(np.arange(n), [len(x) for x in names])
+        early = flat < direction
+        known, column = np.unique(flat[early], return_inverse=True)
+        owner = owner[early]
+        for c in range(0, len(known), columns):
+            these = (column >= c) & (column < c + columns)
+            listed = np.zeros((n, columns), np.float32)
+            listed[owner[these], column[these] - c] = 1
+            for r in range(0, n, columns):
+                counted[r : r + columns] &= ~(listed[r : r + columns] @ listed.T > 0)
     if mixed:  # pairs within a block meet in that block's own cell
         counted &= side[:, None] != side
     partners = counted @ weight
@@ -246,7 +276,7 @@ def _compare(ids, weight, side, mixed, unit, names, direction, cut, columns=1024
     return partners, ids[np.concatenate([none, *a])], ids[np.concatenate([none, *b])]
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, codes: ProductCodes | None = None, block: int = BLOCK) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, codes: ProductCodes = ProductCodes(), block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: its id, ``n_links`` (other rows linked directly),
     ``component_id`` (smallest id reachable, its own included) and ``kept``.
 
@@ -262,8 +292,6 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = {"k0": F.xxhash64("label", "v"), "k1": F.xxhash64(F.lit(1), "label", "v")}
     kinds = good.withColumns(kind).groupBy("k0", "k1").agg(F.count("*").alias("weight"), F.min("id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
-    if codes is None:
-        codes = ProductCodes.for_rows(kinds.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     met = _met(_sketched(kinds, codes), cosine, block)
     cells = _dealt(written(_listed(kinds.join(met, "node"), codes), "listed"), block)
 
@@ -282,7 +310,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     keys = ["label", "direction", "cell"]
     sorted_cells = cells.select(*keys, "side", "mixed", "node", "weight", "v", "names").repartition(*keys).sortWithinPartitions(*keys)
-    found = written(sorted_cells.mapInArrow(links, "a long, n long, b long, edge boolean"), "links")
+    found = written(sorted_cells.mapInArrow(lambda batches: _gathered(links(batches)), "a long, n long, b long, edge boolean"), "links")
     parts = connected_components(found.where("edge").select("a", "b"))
     counts = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n"))
     known = kinds.drop("v").join(parts, "node", "left").join(counts.select(F.col("a").alias("node"), "n"), "node", "left")
@@ -298,7 +326,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _hold_links(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, cut: float, short: int = 32) -> np.ndarray:
+def _hold_links(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, cut: float, short: int = SHORT) -> np.ndarray:
     """Whether each run may hold a link: short runs are compared all at once, long ones may."""
     lengths = ends - starts
     may = lengths > short
@@ -344,5 +372,19 @@ def _runs(batches, width: int, wanted):
         yield held_key, _joined(held)
 
 
+def _gathered(batches, rows: int = 8192):
+    """Batches of few rows put together to some of ``rows`` or more."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
